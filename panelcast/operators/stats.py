@@ -49,12 +49,13 @@ def with_stats(
     """
     source = df if fit_on is None else fit_on
     packed = F.struct(*[c.alias(n) for n, c in stats.items()]).alias("__stats")
-    if not by:
-        one = source.agg(packed).scalar()
-        return df.select(*build(lambda name: one.getField(name)))
-    per_group = source.groupBy(*[named(c) for c in by]).agg(packed)
-    joined = df.join(per_group, list(by), "left")
-    return joined.select(*build(lambda name: F.col("__stats").getField(name)))
+    if by:
+        per_group = source.groupBy(*[named(c) for c in by]).agg(packed)
+        known = df.join(per_group, list(by), "left")
+    else:
+        # One row, computed once; a column of its own so that it is planned once as well.
+        known = df.withColumn("__stats", source.agg(packed).scalar())
+    return known.select(*build(lambda name: F.col("__stats").getField(name)))
 
 
 def _replace(df: DataFrame, new: dict[str, Column]) -> list[Column]:

@@ -48,8 +48,9 @@ def forest(label: str = "y", seed: int = 21, **params: object) -> RandomForestRe
 def fit_predict(
     df: DataFrame, features: Sequence[str], estimator: Estimator, keep: Sequence[str]
 ) -> DataFrame:
-    """Fit on all rows and return (keep, yhat)."""
-    assembled, _ = prepare(df, features)
+    """Fit on all rows and return (keep, yhat). The prepared table is read many times by the
+    trainer, so it is written once to the checkpoint folder."""
+    assembled = cut(prepare(df, features)[0])
     model = estimator.fit(assembled)
     scored = model.transform(assembled)
     return scored.select(*[named(c) for c in keep], F.col("prediction").alias("yhat"))

@@ -179,23 +179,21 @@ def linear_phi(panel: DataFrame) -> DataFrame:
     ``inline`` without a join.
     """
     names = list(LINEAR_MODEL)
-    means = panel.agg(
-        F.struct(*[F.round(F.avg(c), 6).alias(c) for c in names]).alias("m")
-    ).scalar()
+    means = panel.agg(F.struct(*[F.round(F.avg(c), 6).alias(c) for c in names]).alias("m"))
     entries = F.array(
         *[
             F.struct(
                 F.lit(c).alias("feature"),
                 F.round(F.col(c), 6).alias("value"),
                 F.round(
-                    F.lit(b) * (F.round(F.col(c), 6) - means.getField(c)), 6
+                    F.lit(b) * (F.round(F.col(c), 6) - F.col("__m").getField(c)), 8
                 ).alias("phi"),
             )
             for c, b in LINEAR_MODEL.items()
         ]
     )
     rows = panel.filter(" and ".join(f"{c} is not null" for c in names))
-    return rows.select(
+    return rows.withColumn("__m", means.scalar()).select(
         F.concat_ws("|", "series_id", F.col("ds").cast("string")).alias("row_id"),
         F.inline(entries),
     )

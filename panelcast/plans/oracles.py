@@ -195,7 +195,7 @@ half AS (SELECT *, 1 - {poly} * t * exp(-x * x) AS e FROM erf),
 p AS (
   SELECT *, CASE WHEN statistic > {r["high"]} THEN 1 WHEN statistic < {r["low"]} THEN 0
             WHEN z >= 0 THEN (1 + e) / 2 ELSE (1 - e) / 2 END AS p_value FROM half)
-SELECT series_id, {_r("statistic", 4, "statistic")},
+SELECT series_id, {_r("statistic", 5, "statistic")},
        round(CAST(p_value AS DOUBLE), 5) AS p_value, CAST(0 AS INTEGER) AS used_lag, n_obs,
        p_value <= 0.05 AS stationary
 FROM p"""
@@ -205,7 +205,7 @@ def _phi_sql() -> str:
     parts = " UNION ALL ".join(
         f"""SELECT concat_ws('|', series_id, CAST(ds AS VARCHAR)) AS row_id, '{c}' AS feature,
        round({c}, 6) AS value,
-       round(CAST({b} AS DOUBLE) * (round({c}, 6) - (SELECT round(avg({c}), 6) FROM panel)), 6)
+       round(CAST({b} AS DOUBLE) * (round({c}, 6) - (SELECT round(avg({c}), 6) FROM panel)), 8)
          AS phi FROM complete"""
         for c, b in LINEAR_MODEL.items()
     )
@@ -318,6 +318,7 @@ FROM market WINDOW s AS (PARTITION BY series_id), w AS (PARTITION BY series_id O
         "SELECT event_id, ts AS ds, CAST(date_trunc('month', ts) AS DATE) AS month FROM events"
     )
     features = ", ".join(FEATURES)
+    s_features = ", ".join(f"s.{c}" for c in FEATURES)
     sql["left_join_features"] = (
         _with(PANEL, f" scaled AS (SELECT series_id, ds, {scaled} FROM panel)")
         + f"SELECT p.series_id, p.ds, {features} FROM (SELECT series_id, ds FROM panel) p "
@@ -325,7 +326,7 @@ FROM market WINDOW s AS (PARTITION BY series_id), w AS (PARTITION BY series_id O
     )
     sql["join_target"] = (
         _with(PANEL, f" scaled AS (SELECT series_id, ds, {scaled} FROM panel)")
-        + f"SELECT s.series_id, s.ds, {features}, round(p.y, 6) AS y "
+        + f"SELECT s.series_id, s.ds, {s_features}, round(p.y, 6) AS y "
         "FROM scaled s JOIN panel p USING (series_id, ds)"
     )
     sql["align_actual_forecast"] = (
@@ -521,7 +522,7 @@ ranked AS (
         )
         + """SELECT row_id, CASE WHEN rn < 3 OR n <= 3 THEN feature ELSE 'other' END AS part,
        CAST(CASE WHEN rn < 3 OR n <= 3 THEN rn ELSE 3 END AS INTEGER) AS rank,
-       round(SUM(phi), 6) AS phi
+       round(SUM(phi), 8) AS phi
 FROM ranked GROUP BY 1, 2, 3"""
     )
     sql["phi_distribution"] = (

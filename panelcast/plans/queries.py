@@ -10,8 +10,20 @@ from pyspark.sql import functions as F
 from panelcast.functions.expressions import changepoint_features as add_changepoints
 from panelcast.functions.expressions import fourier_features as add_fourier
 from panelcast.functions.names import feature_cols
-from panelcast.operators import attribution, grid, metrics, ordered, sarx, search, shape
-from panelcast.operators import stationarity, stats, trees, trend_season
+from panelcast.operators import (
+    attribution,
+    grid,
+    metrics,
+    ordered,
+    sarx,
+    search,
+    shape,
+    stationarity,
+    stats,
+    trees,
+    trend_season,
+)
+from panelcast.operators.lineage import cut
 from panelcast.plans import market
 from panelcast.plans.market import MODEL_FEATURES
 from panelcast.sources import load_panel
@@ -584,18 +596,14 @@ def forest_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _importances(spark: SparkSession, sf: str) -> DataFrame:
-    panel = _tree_panel(spark, sf)
-    assembled, names = trees.prepare(panel, MODEL_FEATURES)
-    table = assembled.select("features", "y").persist()
-    try:
-        fitted = {
-            "gbt": trees.gbt(**SMALL_GBT).fit(table),
-            "forest": trees.forest(**SMALL_FOREST).fit(table),
-        }
-    finally:
-        table.unpersist()
+    table, names = trees.prepare(_tree_panel(spark, sf), MODEL_FEATURES)
+    table = cut(table.select("features", "y"))
+    fitted = {
+        "gbt": trees.gbt(**SMALL_GBT).fit(table),
+        "forest": trees.forest(**SMALL_FOREST).fit(table),
+    }
     return metrics.union_trials(
-        [trees.importance_frame(panel, model, names, label) for label, model in fitted.items()]
+        [trees.importance_frame(table, model, names, label) for label, model in fitted.items()]
     )
 
 
@@ -611,11 +619,12 @@ def importance_ranked(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def project_topk_features(spark: SparkSession, sf: str) -> DataFrame:
-    panel = _tree_panel(spark, sf)
-    assembled, names = trees.prepare(panel, MODEL_FEATURES)
-    model = trees.forest(**SMALL_FOREST).fit(assembled)
-    ranking = trees.importance_frame(panel, model, names, "forest")
-    return rounded(shape.select_ranked(panel, ranking, 2, ["series_id", "ds"]), 6)
+    table, names = trees.prepare(_tree_panel(spark, sf), MODEL_FEATURES)
+    table = cut(table)
+    ranking = trees.importance_frame(
+        table, trees.forest(**SMALL_FOREST).fit(table), names, "forest"
+    )
+    return rounded(shape.select_ranked(table, ranking, 2, ["series_id", "ds"]), 6)
 
 
 @query
@@ -647,14 +656,11 @@ def refit_topk_score(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def shapley_values(spark: SparkSession, sf: str) -> DataFrame:
-    panel = _tree_panel(spark, sf)
-    filled = stats.fill_own_mean(panel, MODEL_FEATURES)
-    assembled, _ = trees.prepare(panel, MODEL_FEATURES)
-    model = trees.gbt(**SMALL_GBT).fit(assembled)
+    table, names = trees.prepare(_tree_panel(spark, sf), MODEL_FEATURES)
+    table = cut(table)
+    model = trees.gbt(**SMALL_GBT).fit(table)
     key = ["series_id", "ds"]
-    return rounded(
-        attribution.shapley(model, filled, filled, MODEL_FEATURES, key, n_background=20), 6
-    )
+    return rounded(attribution.shapley(model, table, table, names, key, n_background=20), 6)
 
 
 @query
@@ -666,7 +672,7 @@ def shap_importance(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def row_decomposition(spark: SparkSession, sf: str) -> DataFrame:
     phi = market.linear_phi(market.model_panel(spark, sf, fine=True))
-    return rounded(attribution.decompose_rows(phi, 3), 6)
+    return rounded(attribution.decompose_rows(phi, 3), 8)
 
 
 @query
