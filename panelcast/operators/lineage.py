@@ -29,6 +29,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder and go on from there."""
+    """Write the rows to the checkpoint folder and go on from there.
+
+    For tables that several passes read: a panel before a fit, a training table, fitted models.
+    A lost executor costs a read of the folder, not a recomputation.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()

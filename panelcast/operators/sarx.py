@@ -96,10 +96,26 @@ def seasonal_differences(
     phase. Both variances follow from sums per (series, phase).
     """
     keys = [named(c) for c in by]
+    everyone = panel.select(*keys).distinct()
+    strength = _seasonal_strength(panel, m, y, by, order)
+    return _with_seasonal_d(everyone.join(strength, list(by), "left"))
+
+
+def _with_seasonal_d(df: DataFrame) -> DataFrame:
+    """A series too short for one season has strength 0."""
+    strength = F.coalesce("strength", F.lit(0.0))
+    return df.withColumns(
+        {"strength": strength, "seasonal_d": (strength > SEASONAL_STRENGTH).cast("int")}
+    )
+
+
+def _seasonal_strength(
+    panel: DataFrame, m: int, y: str, by: Sequence[str], order: Sequence[str]
+) -> DataFrame:
+    """(by, strength) for the series that span a season."""
+    keys = [named(c) for c in by]
     if m < 2:
-        return panel.select(*keys).distinct().select(
-            *keys, F.lit(0.0).alias("strength"), F.lit(0).alias("seasonal_d")
-        )
+        return panel.select(*keys, F.lit(0.0).alias("strength")).limit(0)
     half = m // 2
 
     def build(w: WindowSpec, position: Column, total: Column) -> dict[str, Column]:
@@ -133,15 +149,7 @@ def seasonal_differences(
     strength = F.greatest(
         F.lit(0.0), F.lit(1.0) - within / F.nullif(within + between, F.lit(0.0))
     )
-    measured = phases.groupBy(*keys).agg(strength.alias("strength"))
-    everyone = panel.select(*keys).distinct()
-    return everyone.join(measured, list(by), "left").select(
-        *keys,
-        F.coalesce("strength", F.lit(0.0)).alias("strength"),
-        F.coalesce((F.col("strength") > SEASONAL_STRENGTH).cast("int"), F.lit(0)).alias(
-            "seasonal_d"
-        ),
-    )
+    return phases.groupBy(*keys).agg(strength.alias("strength"))
 
 
 def _order_search(width: int, subsets: list[list[int]]):
@@ -278,9 +286,9 @@ def fit_sarx(
     keys = [named(c) for c in by]
     rows = panel.select(*keys, *[named(c) for c in order], named(y), *[named(c) for c in exog])
     rows = rows.na.drop(subset=[y, *exog])
-    facts = _scales(rows, y, exog, by).join(
-        seasonal_differences(rows, orders.m, y, by, order), list(by)
-    )
+    scales = _scales(rows, y, exog, by)
+    seasonal = _seasonal_strength(rows, orders.m, y, by, order)
+    facts = _with_seasonal_d(scales.join(seasonal, list(by), "left"))
     flat = _stationary(rows.join(facts, list(by)), y, exog, orders.m, by, order)
 
     h = orders.long_ar

@@ -88,7 +88,7 @@ def random_search(
     """Random draws from a grid, scored by mean R2 over contiguous time folds.
 
     Returns the trial log (trial_id, params, mean_score) and the best model, refitted on all rows.
-    The assembled table is persisted while the fits run.
+    The assembled table is written once to the checkpoint folder; all fits read it there.
     """
     builder = ParamGridBuilder()
     for name in sorted(grid):
@@ -98,18 +98,15 @@ def random_search(
     maps = [points[i] for i in sorted(draws)]
     assembled, _ = prepare(time_folds(df, folds, ds), features)
     label = estimator.getOrDefault("labelCol")
-    table = assembled.select("features", named(label), (F.col("fold") - 1).alias("fold")).persist()
-    try:
-        searched = CrossValidator(
-            estimator=estimator,
-            estimatorParamMaps=maps,
-            evaluator=RegressionEvaluator(labelCol=label, metricName="r2"),
-            numFolds=folds,
-            foldCol="fold",
-            parallelism=parallelism,
-        ).fit(table)
-    finally:
-        table.unpersist()
+    table = cut(assembled.select("features", named(label), (F.col("fold") - 1).alias("fold")))
+    searched = CrossValidator(
+        estimator=estimator,
+        estimatorParamMaps=maps,
+        evaluator=RegressionEvaluator(labelCol=label, metricName="r2"),
+        numFolds=folds,
+        foldCol="fold",
+        parallelism=parallelism,
+    ).fit(table)
     log = [
         (i, {p.name: str(v) for p, v in m.items()}, float(s))
         for i, (m, s) in enumerate(zip(maps, searched.avgMetrics), 1)

@@ -165,13 +165,16 @@ def fit_trend_season(
     counts = sorted({n for _, n in designs})
     room = F.greatest(F.floor(F.col("n_rows") * KNOT_SHARE) - 1, F.lit(0))
 
+    def with_knots(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("n_knots", F.least(F.col("n_changepoints"), room).cast("int"))
+
     def spread(frame: DataFrame, requested: Sequence[int]) -> DataFrame:
         asked = F.explode(F.array(*[F.lit(n) for n in requested]))
-        return frame.select("*", asked.alias("n_changepoints")).withColumn(
-            "n_knots", F.least(F.col("n_changepoints"), room).cast("int")
-        )
+        return with_knots(frame.select("*", asked.alias("n_changepoints")))
 
     kept = ("t_start", "t_end", "y_scale", "x_mean", "x_scale", "n_knots", "n_rows")
+    # The facts come back to the sums by a join of small tables: arrays among the aggregates
+    # would force a sort of the data rows.
     group = [*by, "n_changepoints"]
     trend_width = 2 + knots
     target = named(y) / F.col("y_scale")
@@ -181,7 +184,7 @@ def fit_trend_season(
         if weight is not None:
             season = [weight * c for c in season]
         terms = [*_trend_terms(frame, ds, knots), *season, target]
-        return gram(frame, group, terms, [F.first(c).alias(c) for c in kept])
+        return with_knots(gram(frame, group, terms).join(facts, list(by)))
 
     n_terms = trend_width + 2 * fourier_order + len(exog)
     ridge = _ridge(n_terms + 1, trend_width)

@@ -168,13 +168,7 @@ def _polynomial(coefficients: tuple[float, ...]) -> str:
     return text
 
 
-def _df_sql() -> str:
-    r = RESPONSE["c"]
-    # Fixed values of the error-function approximation, highest power first.
-    poly = "CAST(1.061405429 AS DOUBLE)"
-    for a in (-1.453152027, 1.421413741, -0.284496736, 0.254829592):
-        poly = f"({poly} * t + CAST({a} AS DOUBLE))"
-    return f"""{MARKET},
+LAG_ZERO = """
 steps AS (
   SELECT series_id, y - lag(y) OVER w AS dy, lag(y) OVER w AS y1 FROM market
   WINDOW w AS (PARTITION BY series_id ORDER BY ds)),
@@ -182,23 +176,156 @@ sums AS (
   SELECT series_id, COUNT(*) AS n_obs, regr_slope(dy, y1) AS slope, regr_sxx(dy, y1) AS sxx,
          regr_syy(dy, y1) AS syy, regr_sxy(dy, y1) AS sxy
   FROM steps WHERE dy IS NOT NULL GROUP BY series_id),
-stat AS (
-  SELECT series_id, n_obs, slope / sqrt((syy - slope * sxy) / (n_obs - 2) / sxx) AS statistic
-  FROM sums),
+tested AS (
+  SELECT series_id, n_obs, slope / sqrt((syy - slope * sxy) / (n_obs - 2) / sxx) AS statistic,
+         CAST(0 AS INTEGER) AS used_lag
+  FROM sums)"""
+
+
+def _residual_chain(source: str, columns: list[str], kept: list[str], label: str) -> list[str]:
+    """CTEs that make ``columns[1:]`` orthogonal to the columns before them, one at a time.
+
+    ``source`` has series_id, the columns and ``kept``; an all-zero column is passed over.
+    """
+    ctes = []
+    previous = source
+    for j in range(len(columns) - 1):
+        pivot = columns[j]
+        done = [f"{c}" for c in columns[: j + 1]]
+        new = [
+            f"{c} - {pivot} * COALESCE(SUM({c} * {pivot}) OVER s "
+            f"/ NULLIF(SUM({pivot} * {pivot}) OVER s, 0), 0) AS {c}"
+            for c in columns[j + 1 :]
+        ]
+        name = f"{label}_{j}"
+        ctes.append(
+            f"{name} AS (SELECT series_id, {', '.join(kept + done + new)} FROM {previous} "
+            "WINDOW s AS (PARTITION BY series_id))"
+        )
+        previous = name
+    return ctes
+
+
+def _adf_statistics(width: int, trend: bool, lag_rule: str | None) -> str:
+    """CTEs ending in ``tested(series_id, statistic, used_lag, n_obs)`` from ``input(series_id, ds,
+    y)``: least squares by orthogonalising the rows themselves, one regressor after the other.
+
+    ``lag_rule`` is an expression in n for a fixed lag; without it the lag minimises AIC.
+    """
+    fixed = ["one", "t"] if trend else ["one"]
+    k = len(fixed) + 1
+    lags = ", ".join(f"lag(z, {i}) OVER w AS l{i}" for i in range(1, width + 2))
+    top = lag_rule or "ceil(12 * pow(n / CAST(100 AS DOUBLE), CAST(0.25 AS DOUBLE)))"
+    ctes = [
+        f"""
+sized AS (
+  SELECT series_id, ds, count(*) OVER s AS n, (y - avg(y) OVER s) / stddev_pop(y) OVER s AS z
+  FROM input WINDOW s AS (PARTITION BY series_id)),
+placed AS (
+  SELECT *, least({top}, floor(n / 2) - {k}) AS top, row_number() OVER w AS pos, {lags}
+  FROM sized WINDOW w AS (PARTITION BY series_id ORDER BY ds)),
+design AS (
+  SELECT series_id, n, top, pos, CAST(1 AS DOUBLE) AS one, pos / CAST(n AS DOUBLE) AS t,
+         l1 AS level, z - l1 AS dy, """
+        + ", ".join(
+            f"CASE WHEN {i} <= least(top, pos - 2) THEN l{i} - l{i + 1} ELSE CAST(0 AS DOUBLE) END"
+            f" AS d{i}"
+            for i in range(1, width + 1)
+        )
+        + " FROM placed WHERE pos >= 2)"
+    ]
+    if lag_rule is None:
+        names = [*fixed, "level", *[f"d{i}" for i in range(1, width + 1)], "dy"]
+        ctes.append("common AS (SELECT * FROM design WHERE pos > top + 1)")
+        chain = _residual_chain("common", names[:-1], ["top", "dy"], "nested")
+        ctes += chain
+        last = f"nested_{len(names) - 3}"
+        explained = ", ".join(
+            f"COALESCE(pow(SUM(dy * {c}), 2) / NULLIF(SUM({c} * {c}), 0), 0) AS e_{c}"
+            for c in names[:-1]
+        )
+        ctes.append(
+            f"explained AS (SELECT series_id, max(top) AS top, count(*) AS rows, "
+            f"SUM(dy * dy) AS total, {explained} FROM {last} GROUP BY series_id)"
+        )
+        options = []
+        for p in range(width + 1):
+            parts = " - ".join(f"e_{c}" for c in names[: k + p])
+            options.append(
+                f"SELECT series_id, {p} AS p, rows * ln((total - {parts}) / rows) + 2 * {k + p} "
+                f"AS aic FROM explained WHERE {p} <= top"
+            )
+        ctes.append(
+            "chosen AS (SELECT series_id, p FROM (SELECT *, row_number() OVER "
+            "(PARTITION BY series_id ORDER BY aic, p) AS rn FROM ("
+            + " UNION ALL ".join(options)
+            + ")) WHERE rn = 1)"
+        )
+    else:
+        ctes.append("chosen AS (SELECT DISTINCT series_id, CAST(top AS BIGINT) AS p FROM design)")
+    ctes.append("final AS (SELECT * FROM design JOIN chosen USING (series_id) WHERE pos >= p + 2)")
+    masked = ", ".join(
+        f"CASE WHEN {i} <= p THEN d{i} ELSE CAST(0 AS DOUBLE) END AS d{i}"
+        for i in range(1, width + 1)
+    )
+    ctes.append(
+        f"masked AS (SELECT series_id, n, p, one, t, level, dy, {masked} FROM final)"
+    )
+    names = [*fixed, *[f"d{i}" for i in range(1, width + 1)], "level", "dy"]
+    ctes += _residual_chain("masked", names, ["n", "p"], "fit")
+    before, after = f"fit_{len(names) - 3}", f"fit_{len(names) - 2}"
+    ctes.append(
+        f"""
+slopes AS (SELECT series_id, SUM(dy * level) / SUM(level * level) AS slope,
+  SUM(level * level) AS spread FROM {before} GROUP BY series_id),
+noise AS (SELECT series_id, SUM(dy * dy) AS sse, count(*) AS n_obs, max(p) AS used_lag
+  FROM {after} GROUP BY series_id),
+tested AS (
+  SELECT series_id, slope / sqrt(sse / (n_obs - {k} - used_lag) / spread) AS statistic,
+         CAST(used_lag AS INTEGER) AS used_lag, n_obs
+  FROM slopes JOIN noise USING (series_id))"""
+    )
+    return ",".join(ctes)
+
+
+def _p_value_ctes(regression: str) -> str:
+    """CTEs from ``tested`` to ``p`` with the unit-root p-value of the statistic."""
+    r = RESPONSE[regression]
+    # Fixed values of the error-function approximation, highest power first.
+    poly = "CAST(1.061405429 AS DOUBLE)"
+    for a in (-1.453152027, 1.421413741, -0.284496736, 0.254829592):
+        poly = f"({poly} * t + CAST({a} AS DOUBLE))"
+    root = f"CAST({math.sqrt(2.0)} AS DOUBLE)"
+    return f"""
 z AS (
   SELECT *, CASE WHEN statistic <= {r["split"]} THEN {_polynomial(r["left"])}
-            ELSE {_polynomial(r["right"])} END AS z FROM stat),
-erf AS (
-  SELECT *, 1 / (1 + CAST(0.3275911 AS DOUBLE) * abs(z) / CAST({math.sqrt(2.0)} AS DOUBLE)) AS t,
-         abs(z) / CAST({math.sqrt(2.0)} AS DOUBLE) AS x FROM z),
+            ELSE {_polynomial(r["right"])} END AS z FROM tested),
+erf AS (SELECT *, 1 / (1 + CAST(0.3275911 AS DOUBLE) * abs(z) / {root}) AS t, abs(z) / {root} AS x
+  FROM z),
 half AS (SELECT *, 1 - {poly} * t * exp(-x * x) AS e FROM erf),
 p AS (
-  SELECT *, CASE WHEN statistic > {r["high"]} THEN 1 WHEN statistic < {r["low"]} THEN 0
-            WHEN z >= 0 THEN (1 + e) / 2 ELSE (1 - e) / 2 END AS p_value FROM half)
-SELECT series_id, {_r("statistic", 5, "statistic")},
-       round(CAST(p_value AS DOUBLE), 5) AS p_value, CAST(0 AS INTEGER) AS used_lag, n_obs,
-       p_value <= 0.05 AS stationary
-FROM p"""
+  SELECT *, CAST(CASE WHEN statistic > {r["high"]} THEN 1 WHEN statistic < {r["low"]} THEN 0
+            WHEN z >= 0 THEN (1 + e) / 2 ELSE (1 - e) / 2 END AS DOUBLE) AS p_value FROM half)"""
+
+
+TESTED = (
+    "SELECT series_id, round(statistic, 5) AS statistic, round(p_value, 5) AS p_value, "
+    "used_lag, n_obs, p_value <= 0.05 AS stationary FROM p"
+)
+
+STRENGTH = """
+moving AS (
+  SELECT series_id, row_number() OVER w AS pos, lag(y, 6) OVER w AS centre,
+         (SUM(y) OVER (w ROWS BETWEEN 11 PRECEDING AND 1 PRECEDING)
+           + (y + lag(y, 12) OVER w) / 2) / 12 AS mean
+  FROM market WINDOW w AS (PARTITION BY series_id ORDER BY ds)),
+detrended AS (
+  SELECT series_id, (pos - 6) % 12 AS phase, centre - mean AS d FROM moving WHERE pos >= 13),
+seasonal AS (
+  SELECT series_id, d, avg(d) OVER (PARTITION BY series_id, phase) AS s FROM detrended),
+strengths AS (
+  SELECT series_id, greatest(CAST(0 AS DOUBLE), 1 - var_pop(d - s) / var_pop(d)) AS strength
+  FROM seasonal GROUP BY series_id)"""
 
 
 def _phi_sql() -> str:
@@ -222,7 +349,7 @@ def _corr_sql() -> str:
         tests.append(
             f"SELECT '{names[i]}' AS \"column\" WHERE "
             + " OR ".join(
-                f"(SELECT corr({names[i]}, {names[j]}) FROM panel) > 0.8" for j in range(i)
+                f"(SELECT corr({names[i]}, {names[j]}) FROM panel) > 0.5" for j in range(i)
             )
         )
     return _with(FINE) + " UNION ALL ".join(tests)
@@ -506,7 +633,43 @@ calendar AS (
     )
     sql["fourier_features"] = _fourier_sql()
     sql["changepoint_features"] = _changepoint_sql()
-    sql["df_test_lag0"] = _with(_df_sql())
+    sql["df_test_lag0"] = _with(MARKET, LAG_ZERO, _p_value_ctes("c")) + TESTED
+    sql["adf_test"] = (
+        _with(
+            FINE,
+            " input AS (SELECT series_id, ds, y FROM panel)",
+            _adf_statistics(12, False, None),
+            _p_value_ctes("c"),
+        )
+        + TESTED
+    )
+    sql["adf_test_difference"] = (
+        _with(
+            MARKET,
+            """
+input AS (SELECT * FROM (
+  SELECT series_id, ds, y - lag(y) OVER (PARTITION BY series_id ORDER BY ds) AS y FROM market)
+  WHERE y IS NOT NULL)""",
+            _adf_statistics(12, False, None),
+            _p_value_ctes("c"),
+        )
+        + TESTED
+    )
+    sql["should_diff"] = (
+        _with(
+            MARKET,
+            " input AS (SELECT series_id, ds, y FROM market)",
+            _adf_statistics(4, True, "floor(cbrt(n - 1) + CAST(1e-9 AS DOUBLE))"),
+            _p_value_ctes("ct"),
+        )
+        + "SELECT series_id, round(statistic, 5) AS statistic, round(p_value, 5) AS p_value, "
+        "p_value > 0.05 AS diff FROM p"
+    )
+    sql["seasonal_strength"] = (
+        _with(MARKET, STRENGTH)
+        + "SELECT series_id, round(strength, 5) AS strength, "
+        "CAST(strength > 0.64 AS INTEGER) AS seasonal_d FROM strengths"
+    )
     phi = _with(_phi_sql())
     sql["shap_importance"] = (
         phi + "SELECT feature, round(avg(abs(phi)), 4) AS importance FROM phi GROUP BY feature"

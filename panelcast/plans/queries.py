@@ -292,7 +292,7 @@ def cv_mean_score(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def corr_prune(spark: SparkSession, sf: str) -> DataFrame:
     panel = market.model_panel(spark, sf, fine=True)
-    return stats.correlated_columns(panel, ["y", *MODEL_FEATURES], 0.8)
+    return stats.correlated_columns(panel, ["y", *MODEL_FEATURES], 0.5)
 
 
 @query
@@ -462,19 +462,19 @@ def df_test_lag0(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def adf_test(spark: SparkSession, sf: str) -> DataFrame:
-    panel = market.model_panel(spark, sf, fine=True)
+    panel = cut(market.model_panel(spark, sf, fine=True))
     return rounded(stationarity.adf_test(panel, max_lag=None))
 
 
 @query
 def adf_test_difference(spark: SparkSession, sf: str) -> DataFrame:
-    steps = ordered.difference(market.market_size(spark, sf), "y", name="dy")
+    steps = ordered.difference(cut(market.market_size(spark, sf)), "y", name="dy")
     return rounded(stationarity.adf_test(steps.filter("dy is not null"), y="dy"))
 
 
 @query
 def should_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(stationarity.should_diff(market.market_size(spark, sf)))
+    return rounded(stationarity.should_diff(cut(market.market_size(spark, sf))))
 
 
 # --- seasonal autoregression ---------------------------------------------------------------------
@@ -484,7 +484,7 @@ ORDERS = sarx.Orders(m=12, history=48)
 
 
 def _train_test(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    panel = market.model_panel(spark, sf)
+    panel = cut(market.model_panel(spark, sf))
     split = ordered.time_split(panel, horizon=HORIZON)
     return (
         split.filter("split = 'train'").drop("split"),
@@ -492,6 +492,11 @@ def _train_test(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
+@query
+def seasonal_strength(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(sarx.seasonal_differences(market.market_size(spark, sf)))
+
+
 @query
 def sarx_order_search(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = _train_test(spark, sf)
@@ -518,7 +523,8 @@ def sarx_forecast(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    split = ordered.three_way_split(market.model_panel(spark, sf), HORIZON, HORIZON)
+    panel = cut(market.model_panel(spark, sf))
+    split = ordered.three_way_split(panel, HORIZON, HORIZON)
     train, validate, test = (
         split.filter(F.col("split") == name).drop("split")
         for name in ("train", "validate", "test")
