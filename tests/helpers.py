@@ -32,7 +32,8 @@ def least_squares(x: np.ndarray, y: np.ndarray):
     beta, *_ = np.linalg.lstsq(x, y, rcond=None)
     residual = y - x @ beta
     sse = float(residual @ residual)
-    se = np.sqrt(np.diag(np.linalg.pinv(x.T @ x)) * sse / (len(y) - x.shape[1]))
+    spread = (np.linalg.pinv(x) ** 2).sum(axis=1)
+    se = np.sqrt(spread * sse / max(len(y) - x.shape[1], 1))
     return beta, se, sse
 
 
