@@ -690,10 +690,10 @@ FROM ranked GROUP BY 1, 2, 3"""
     )
     sql["phi_distribution"] = (
         phi
-        + """SELECT feature, COUNT(*) AS n, round(avg(phi), 6) AS mean_phi,
-       round(min(phi), 6) AS min_phi, round(quantile_disc(phi, 0.25), 6) AS q25_phi,
-       round(quantile_disc(phi, 0.5), 6) AS q50_phi, round(quantile_disc(phi, 0.75), 6) AS q75_phi,
-       round(max(phi), 6) AS max_phi FROM phi GROUP BY feature"""
+        + """SELECT feature, COUNT(*) AS n, round(avg(phi), 4) + CAST(0 AS DOUBLE) AS mean_phi,
+       round(min(phi), 8) AS min_phi, round(quantile_disc(phi, 0.25), 8) AS q25_phi,
+       round(quantile_disc(phi, 0.5), 8) AS q50_phi, round(quantile_disc(phi, 0.75), 8) AS q75_phi,
+       round(max(phi), 8) AS max_phi FROM phi GROUP BY feature"""
     )
     sql["phi_dependence"] = (
         _with(

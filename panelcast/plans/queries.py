@@ -684,7 +684,9 @@ def row_decomposition(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def phi_distribution(spark: SparkSession, sf: str) -> DataFrame:
     phi = market.linear_phi(market.model_panel(spark, sf, fine=True))
-    return rounded(attribution.phi_distribution(phi, 1_000_000), 6)
+    spread = rounded(attribution.phi_distribution(phi, 1_000_000), 8)
+    # The mean is zero but for rounding; adding zero drops the sign of a negative zero.
+    return spread.withColumn("mean_phi", F.round("mean_phi", 4) + F.lit(0.0))
 
 
 @query
