@@ -20,11 +20,14 @@ from panelcast.functions.expressions import named
 NATIVE_COLUMNS = 40
 
 
-def gram_columns(terms: Sequence[Column]) -> Column:
-    """Upper triangle of the sums of products, row by row, as one array aggregate."""
-    return F.array(
-        *[F.sum(terms[i] * terms[j]) for i in range(len(terms)) for j in range(i, len(terms))]
-    )
+def gram_columns(names: Sequence[str]) -> Column:
+    """Upper triangle of the sums of products, row by row, as one array of aggregates.
+
+    Written as one SQL expression: hundreds of single column objects would take longer to build
+    than the query takes to run.
+    """
+    sums = [f"sum({a} * {b})" for i, a in enumerate(names) for b in names[i:]]
+    return F.expr(f"array({', '.join(sums)})")
 
 
 def gram(
@@ -42,12 +45,10 @@ def gram(
     """
     keys = [named(c) for c in by]
     if len(terms) <= NATIVE_COLUMNS:
-        named_terms = df.select(
-            "*", *[t.cast("double").alias(f"__t{i}") for i, t in enumerate(terms)]
-        )
-        columns = [F.col(f"__t{i}") for i in range(len(terms))]
+        names = [f"__t{i}" for i in range(len(terms))]
+        named_terms = df.select("*", *[t.cast("double").alias(n) for t, n in zip(terms, names)])
         return named_terms.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"), gram_columns(columns).alias("gram"), *extra
+            F.count(F.lit(1)).alias("n"), gram_columns(names).alias("gram"), *extra
         )
     rows = df.select(*keys, F.array(*[t.cast("double") for t in terms]).alias("__x"))
     sums = _wide_gram(rows, by, len(terms))

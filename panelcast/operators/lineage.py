@@ -1,10 +1,12 @@
-"""Cutting long lineages at a shared, durable place."""
+"""Cutting long lineages at a shared, durable place, and joins that depend on a measured size."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -36,3 +38,29 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """The session's broadcast threshold in bytes; 0 where broadcasting is switched off."""
+    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
+    units = {"k": 2**10, "m": 2**20, "g": 2**30, "t": 2**40}
+    digits = text.rstrip("bkmgt")
+    unit = text[len(digits) :].rstrip("b")
+    return max(int(digits) * units.get(unit, 1), 0)
+
+
+def attach_facts(
+    df: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "left"
+) -> DataFrame:
+    """Join a table of one row per group to the data rows without moving them, if it is small.
+
+    The optimizer cannot know how few groups an aggregation leaves, and would shuffle all data
+    rows to meet them. So the facts are written once and their size is measured. Within the
+    session's broadcast threshold they are broadcast; beyond it the join shuffles both sides, and
+    adaptive execution splits a crowded group.
+    """
+    stored = cut(facts)
+    size = stored.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    if size <= broadcast_limit(df.sparkSession):
+        stored = F.broadcast(stored)
+    return df.join(stored, list(keys), how)

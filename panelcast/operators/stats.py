@@ -2,8 +2,9 @@
 
 Statistics are plain aggregates: every task reduces its rows to one row per group before the
 shuffle, so a group holding most rows costs no more than any other. They come back to the data
-rows as a scalar subquery (whole table) or an equi-join on the group key, never as a window over
-whole groups.
+rows as a scalar subquery (whole table) or a join on the group key that depends on their measured
+size, never as a window over whole groups. With ``by`` the statistics are computed when the operator
+is called; the data rows stay lazy.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.expressions import missing_to_null, named
+from panelcast.operators.lineage import attach_facts
 
 _WIDE = 40
 
@@ -51,7 +53,7 @@ def with_stats(
     packed = F.struct(*[c.alias(n) for n, c in stats.items()]).alias("__stats")
     if by:
         per_group = source.groupBy(*[named(c) for c in by]).agg(packed)
-        known = df.join(per_group, list(by), "left")
+        known = attach_facts(df, per_group, by)
     else:
         # One row, computed once; a column of its own so that it is planned once as well.
         known = df.withColumn("__stats", source.agg(packed).scalar())

@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def hundredths(name: str) -> Column:
-    return F.round(F.col(name) * 100).cast("bigint")
+    return F.rint(F.col(name) * 100).cast("bigint")
 
 
 def _ratio(a: Column, b: Column) -> Column:
