@@ -6,7 +6,7 @@ import math
 
 from panelcast.operators.stationarity import RESPONSE
 from panelcast.plans.market import LINEAR_MODEL
-from panelcast.plans.queries import REFERENCE_GRID, SMOOTHING
+from panelcast.plans.queries import EXOG, HORIZON, ORDERS, REFERENCE_GRID, SMOOTHING
 
 MARKET = """
 market AS (
@@ -313,12 +313,14 @@ TESTED = (
     "used_lag, n_obs, p_value <= 0.05 AS stationary FROM p"
 )
 
-STRENGTH = """
+def _strength(source: str) -> str:
+    """CTEs ending in ``strengths(series_id, strength)``."""
+    return f"""
 moving AS (
   SELECT series_id, row_number() OVER w AS pos, lag(y, 6) OVER w AS centre,
          (SUM(y) OVER (w ROWS BETWEEN 11 PRECEDING AND 1 PRECEDING)
            + (y + lag(y, 12) OVER w) / 2) / 12 AS mean
-  FROM market WINDOW w AS (PARTITION BY series_id ORDER BY ds)),
+  FROM {source} WINDOW w AS (PARTITION BY series_id ORDER BY ds)),
 detrended AS (
   SELECT series_id, (pos - 6) % 12 AS phase, centre - mean AS d FROM moving WHERE pos >= 13),
 seasonal AS (
@@ -328,6 +330,194 @@ strengths AS (
   FROM seasonal GROUP BY series_id)"""
 
 
+def _sarx_design() -> str:
+    """CTEs ending in ``sample(series_id, target and columns of the full design)``.
+
+    Regressors of the design: one, x0, x1; e1..e5, e12 (lagged residuals of a long
+    autoregression); z1..z5, z12 (lagged differenced target).
+    """
+    h, m = ORDERS.long_ar, ORDERS.m
+
+    def difference(v: str) -> str:
+        return (
+            f"{v} - lag({v}) OVER w - CASE WHEN d = 1 THEN lag({v}, {m}) OVER w "
+            f"- lag({v}, {m + 1}) OVER w ELSE 0 END"
+        )
+
+    long_names = ["one", *[f"a{i}" for i in range(1, h + 1)], "x0", "x1", "z"]
+    long_lags = ", ".join(f"lag(z, {i}) OVER w AS a{i}" for i in range(1, h + 1))
+    lags = [f"lag(z, {i}) OVER w AS z{i}" for i in ORDERS.y_lags]
+    lags += [f"lag(e, {i}) OVER w AS e{i}" for i in ORDERS.e_lags]
+    complete = " AND ".join(f"z{i} IS NOT NULL" for i in ORDERS.y_lags)
+    complete += " AND " + " AND ".join(f"e{i} IS NOT NULL" for i in ORDERS.e_lags)
+    chain = _residual_chain("long_rows", long_names, ["ds"], "long")
+    return ",".join(
+        [
+            f"""
+train AS (
+  SELECT series_id, ds, y, x_qty, x_price FROM (
+    SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds DESC) AS back FROM panel)
+  WHERE back > {HORIZON})""",
+            _strength("train"),
+            f"""
+scales AS (
+  SELECT series_id, stddev_pop(y) AS ys, stddev_pop(x_qty) AS s0, stddev_pop(x_price) AS s1
+  FROM train GROUP BY series_id),
+scaled AS (
+  SELECT series_id, ds, y / ys AS y, x_qty / s0 AS x0, x_price / s1 AS x1,
+         CASE WHEN strength > 0.64 THEN 1 ELSE 0 END AS d
+  FROM train JOIN scales USING (series_id) JOIN strengths USING (series_id)),
+flat AS (
+  SELECT series_id, ds, {difference("y")} AS z, {difference("x0")} AS x0,
+         {difference("x1")} AS x1
+  FROM scaled WINDOW w AS (PARTITION BY series_id ORDER BY ds)),
+long_rows AS (
+  SELECT * FROM (
+    SELECT series_id, ds, CAST(1 AS DOUBLE) AS one, z, x0, x1, {long_lags}
+    FROM flat WINDOW w AS (PARTITION BY series_id ORDER BY ds))
+  WHERE a{h} IS NOT NULL)""",
+            *chain,
+            f"""
+residuals AS (SELECT series_id, ds, z AS e FROM long_{len(long_names) - 2}),
+lagged AS (
+  SELECT series_id, ds, CAST(1 AS DOUBLE) AS one, z, x0, x1, e, {", ".join(lags)}
+  FROM flat LEFT JOIN residuals USING (series_id, ds)
+  WINDOW w AS (PARTITION BY series_id ORDER BY ds)),
+sample AS MATERIALIZED (SELECT * FROM lagged WHERE e IS NOT NULL AND {complete})""",
+        ]
+    )
+
+
+def _sarx_log() -> str:
+    """CTEs ending in ``log(series_id, candidate, p, q, seasonal_p, seasonal_q, aic)``.
+
+    Orders that differ in p only are nested: one orthogonalisation serves all of them.
+    """
+    numbers = {order: i for i, (order, _) in enumerate(ORDERS.candidates(EXOG))}
+    ctes, selects = [], []
+    for q in range(ORDERS.q + 1):
+        for sp in range(ORDERS.P + 1):
+            for sq in range(ORDERS.Q + 1):
+                top = min(ORDERS.p, ORDERS.max_order - q - sp - sq)
+                if top < 0:
+                    continue
+                head = ["one", "x0", "x1", *[f"e{i}" for i in range(1, q + 1)]]
+                head += [f"e{ORDERS.m * i}" for i in range(1, sq + 1)]
+                head += [f"z{ORDERS.m * i}" for i in range(1, sp + 1)]
+                names = head + [f"z{i}" for i in range(1, top + 1)]
+                label = f"c{q}_{sp}_{sq}"
+                ctes += _residual_chain("sample", names, ["z"], label)
+                explained = ", ".join(
+                    f"pow(SUM(z * {c}), 2) / SUM({c} * {c}) AS g_{c}" for c in names
+                )
+                ctes.append(
+                    f"{label} AS (SELECT series_id, count(*) AS n, SUM(z * z) AS total, "
+                    f"{explained} FROM {label}_{len(names) - 2} GROUP BY series_id)"
+                )
+                for p in range(top + 1):
+                    used = names[: len(head) + p]
+                    gone = " - ".join(f"g_{c}" for c in used)
+                    selects.append(
+                        f"SELECT series_id, {numbers[p, q, sp, sq]} AS candidate, {p} AS p, "
+                        f"{q} AS q, {sp} AS seasonal_p, {sq} AS seasonal_q, "
+                        f"n * ln((total - {gone}) / n) + 2 * {len(used)} AS aic FROM {label}"
+                    )
+    ctes.append("log AS MATERIALIZED (" + " UNION ALL ".join(selects) + ")")
+    return ",".join(ctes)
+
+
+def _sarx_coefficients() -> str:
+    """CTEs from ``log`` to ``coefficients(series_id, term, slope, coefficient, std_error)``.
+
+    Columns outside the chosen order are set to zero; every coefficient is the slope of the target
+    on its column after all other columns are taken out.
+    """
+    used = {"one": "true", "x0": "true", "x1": "true"}
+    used |= {f"z{i}": f"p >= {i}" for i in range(1, ORDERS.p + 1)}
+    used |= {f"z{ORDERS.m * i}": f"seasonal_p >= {i}" for i in range(1, ORDERS.P + 1)}
+    used |= {f"e{i}": f"q >= {i}" for i in range(1, ORDERS.q + 1)}
+    used |= {f"e{ORDERS.m * i}": f"seasonal_q >= {i}" for i in range(1, ORDERS.Q + 1)}
+    names = list(used)
+    masked = ", ".join(
+        f"CASE WHEN {test} THEN {c} ELSE CAST(0 AS DOUBLE) END AS {c}" for c, test in used.items()
+    )
+    ctes = [
+        f"""
+chosen AS MATERIALIZED (SELECT *, {len(EXOG) + 1} + p + q + seasonal_p + seasonal_q AS k FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY aic, candidate) AS rn FROM log)
+  WHERE rn = 1),
+masked AS MATERIALIZED (SELECT series_id, k, z, {masked} FROM sample JOIN chosen USING (series_id))"""
+    ]
+    units = {"one": "ys", "x0": "ys / s0", "x1": "ys / s1"}
+    terms = {"one": "const", "x0": EXOG[0], "x1": EXOG[1]}
+    selects = []
+    for c in names:
+        order = [*[n for n in names if n != c], c, "z"]
+        ctes += _residual_chain("masked", order, ["k"], f"t_{c}")
+        before, after = f"t_{c}_{len(order) - 3}", f"t_{c}_{len(order) - 2}"
+        term = terms.get(c, ("ar_" if c[0] == "z" else "ma_") + c[1:])
+        selects.append(
+            f"""SELECT series_id, '{term}' AS term, slope, slope * ({units.get(c, "1")}) AS coefficient,
+       sqrt(sse / (n - k) / spread) * ({units.get(c, "1")}) AS std_error
+FROM (SELECT series_id, SUM(z * {c}) / NULLIF(SUM({c} * {c}), 0) AS slope,
+        NULLIF(SUM({c} * {c}), 0) AS spread, count(*) AS n, max(k) AS k
+      FROM {before} GROUP BY series_id)
+JOIN (SELECT series_id, SUM(z * z) AS sse FROM {after} GROUP BY series_id) USING (series_id)
+JOIN scales USING (series_id)"""
+        )
+    ctes.append("coefficients AS MATERIALIZED (" + " UNION ALL ".join(selects) + ")")
+    return ",".join(ctes)
+
+
+def _sarx_path() -> str:
+    """CTEs from ``coefficients`` to ``path``: the recursion, one step of all series at a time."""
+    m = ORDERS.m
+
+    def difference(v: str) -> str:
+        return (
+            f"{v} - lag({v}) OVER w - CASE WHEN d = 1 THEN lag({v}, {m}) OVER w "
+            f"- lag({v}, {m + 1}) OVER w ELSE 0 END"
+        )
+
+    terms = ["const", *EXOG]
+    terms += [f"ar_{i}" for i in ORDERS.y_lags] + [f"ma_{i}" for i in ORDERS.e_lags]
+    betas = ", ".join(
+        f"COALESCE(max(CASE WHEN term = '{t}' THEN slope END), 0) AS b_{t}" for t in terms
+    )
+    step = f"b_const + b_{EXOG[0]} * x0 + b_{EXOG[1]} * x1"
+    step += "".join(f" + b_ar_{i} * COALESCE(zs[-{i}], 0)" for i in ORDERS.y_lags)
+    step += "".join(f" + b_ma_{i} * COALESCE(es[-{i}], 0)" for i in ORDERS.e_lags)
+    return f"""
+beta AS (SELECT series_id, {betas} FROM coefficients GROUP BY series_id),
+all_rows AS (
+  SELECT p.series_id, p.ds, t.ds IS NULL AS ahead, t.y / ys AS y, p.x_qty / s0 AS x0,
+         p.x_price / s1 AS x1, CASE WHEN strength > 0.64 THEN 1 ELSE 0 END AS d
+  FROM panel p JOIN scales USING (series_id) JOIN strengths USING (series_id)
+  LEFT JOIN train t ON t.series_id = p.series_id AND t.ds = p.ds),
+all_flat AS (
+  SELECT series_id, ds, ahead, d, y, {difference("y")} AS z, {difference("x0")} AS x0,
+         {difference("x1")} AS x1
+  FROM all_rows WINDOW w AS (PARTITION BY series_id ORDER BY ds)),
+past AS (
+  SELECT a.series_id, any_value(d) AS d, list(y ORDER BY a.ds) AS ys, list(z ORDER BY a.ds) AS zs,
+         list(COALESCE(e, 0) ORDER BY a.ds) AS es
+  FROM all_flat a LEFT JOIN residuals r ON r.series_id = a.series_id AND r.ds = a.ds
+  WHERE NOT ahead GROUP BY a.series_id),
+future AS (
+  SELECT series_id, ds, x0, x1, row_number() OVER (PARTITION BY series_id ORDER BY ds) AS step
+  FROM all_flat WHERE ahead),
+path AS (
+  SELECT series_id, CAST(0 AS BIGINT) AS step, d, ys, zs, es FROM past
+  UNION ALL
+  SELECT series_id, step, d,
+         list_append(ys, new + ys[-1] + d * (ys[-{m}] - ys[-{m + 1}])),
+         list_append(zs, new), list_append(es, CAST(0 AS DOUBLE))
+  FROM (
+    SELECT path.series_id, future.step, path.d, ys, zs, es, {step} AS new
+    FROM path JOIN future ON future.series_id = path.series_id AND future.step = path.step + 1
+    JOIN beta ON beta.series_id = path.series_id))"""
+
+
 def _phi_sql() -> str:
     parts = " UNION ALL ".join(
         f"""SELECT concat_ws('|', series_id, CAST(ds AS VARCHAR)) AS row_id, '{c}' AS feature,
@@ -666,10 +856,28 @@ input AS (SELECT * FROM (
         "p_value > 0.05 AS diff FROM p"
     )
     sql["seasonal_strength"] = (
-        _with(MARKET, STRENGTH)
+        _with(MARKET, _strength("market"))
         + "SELECT series_id, round(strength, 5) AS strength, "
         "CAST(strength > 0.64 AS INTEGER) AS seasonal_d FROM strengths"
     )
+    sarx_log = [PANEL, _sarx_design(), _sarx_log()]
+    sql["sarx_order_search"] = (
+        _with(*sarx_log)
+        + "SELECT series_id, candidate, p, q, seasonal_p, seasonal_q, round(aic, 5) AS aic FROM log"
+    )
+    sql["sarx_coefficients"] = (
+        _with(*sarx_log, _sarx_coefficients())
+        + "SELECT series_id, term, round(coefficient, 5) AS coefficient, "
+        "round(std_error, 5) AS std_error, round(coefficient / std_error, 5) AS t_value "
+        "FROM coefficients WHERE std_error IS NOT NULL"
+    )
+    sql["sarx_forecast"] = (
+        _with(*sarx_log, _sarx_coefficients(), _sarx_path()).replace("WITH", "WITH RECURSIVE", 1)
+        + """SELECT f.series_id, f.ds, round(p.y, 5) AS y, round(path.ys[-1] * scales.ys, 5) AS yhat
+FROM path JOIN future f ON f.series_id = path.series_id AND f.step = path.step
+JOIN panel p ON p.series_id = f.series_id AND p.ds = f.ds
+JOIN scales ON scales.series_id = f.series_id"""
+    )
     phi = _with(_phi_sql())
     sql["shap_importance"] = (
         phi + "SELECT feature, round(avg(abs(phi)), 4) AS importance FROM phi GROUP BY feature"
