@@ -3,10 +3,20 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
+from panelcast.operators.grid import grid_points
 from panelcast.operators.stationarity import RESPONSE
 from panelcast.plans.market import LINEAR_MODEL
-from panelcast.plans.queries import EXOG, HORIZON, ORDERS, REFERENCE_GRID, SMOOTHING
+from panelcast.plans.queries import (
+    EXOG,
+    GRID,
+    HORIZON,
+    ONE_TRIAL,
+    ORDERS,
+    REFERENCE_GRID,
+    SMOOTHING,
+)
 
 MARKET = """
 market AS (
@@ -84,6 +94,10 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts) + "\n"
 
 
+def _recursive(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",".join(parts) + "\n"
+
+
 def _quoted(names: list[str]) -> str:
     return ", ".join(f'"{n}"' for n in names)
 
@@ -518,6 +532,142 @@ path AS (
     JOIN beta ON beta.series_id = path.series_id))"""
 
 
+def _ridge(label: str, source: str, trend: int, season: int, scale: str) -> str:
+    """CTEs ending in ``{label}_solved(series_id, beta, noise)``: six penalised fits in a row.
+
+    ``source`` has (series_id, tau, x) with x = columns of the design, then the target. Each fit is
+    one Gauss-Jordan elimination, a pivot per step of the recursion; its noise sets the penalties
+    of the next fit.
+    """
+    k = trend + season
+    return f"""
+{label}_pairs AS (
+  SELECT series_id, tau, i, j, SUM(x[i] * x[j]) AS s, count(*) AS n
+  FROM {source}, range(1, {k + 2}) AS a(i), range(1, {k + 2}) AS b(j) GROUP BY ALL),
+{label}_lines AS (
+  SELECT series_id, tau, n, i, list(s ORDER BY j) AS line FROM {label}_pairs GROUP BY ALL),
+{label}_gram AS (
+  SELECT series_id, n, list(line ORDER BY i) AS g,
+         [CASE WHEN c <= 2 THEN CAST(0.04 AS DOUBLE) WHEN c <= {trend} THEN 1 / (2 * {scale} * {scale})
+          ELSE CAST(0.01 AS DOUBLE) END for c in range(1, {k + 1})] AS p
+  FROM {label}_lines GROUP BY series_id, n, tau),
+{label}_steps AS (
+  SELECT series_id, n, g, p, 0 AS fit, 0 AS piv, CAST(0.01 AS DOUBLE) AS noise,
+         CAST([] AS DOUBLE[][]) AS m, CAST([] AS DOUBLE[]) AS beta
+  FROM {label}_gram
+  UNION ALL
+  SELECT series_id, n, g, p, CASE WHEN piv > {k} THEN fit + 1 ELSE fit END,
+    CASE WHEN piv > {k} THEN 0 ELSE piv + 1 END,
+    CASE WHEN piv > {k} THEN greatest(CAST(1e-8 AS DOUBLE), (g[{k + 1}][{k + 1}] + list_sum(
+        [m[i][{k + 1}] * (list_inner_product([m[j][{k + 1}] for j in range(1, {k + 1})], g[i][1:{k}])
+         - 2 * g[i][{k + 1}]) for i in range(1, {k + 1})])) / n) ELSE noise END,
+    CASE WHEN piv = 0 THEN
+        [[g[i][j] + CASE WHEN i = j THEN noise * p[i] ELSE 0 END for j in range(1, {k + 2})]
+         for i in range(1, {k + 1})]
+      WHEN piv <= {k} THEN
+        [[CASE WHEN i = piv THEN m[i][j] / m[piv][piv]
+          ELSE m[i][j] - m[i][piv] * m[piv][j] / m[piv][piv] END
+          for j in range(1, {k + 2})] for i in range(1, {k + 1})]
+      ELSE m END,
+    CASE WHEN piv > {k} THEN [m[i][{k + 1}] for i in range(1, {k + 1})] ELSE beta END
+  FROM {label}_steps WHERE fit < 6),
+{label}_solved AS MATERIALIZED (
+  SELECT series_id, beta, noise FROM {label}_steps WHERE fit = 6)"""
+
+
+def _trend_ctes(label: str, trials: str, fit: str, ahead: str, knots: int, weighted: bool) -> str:
+    """CTEs ending in ``{label}_forecast(series_id, trial_id, ds, y, yhat, reach)``.
+
+    ``trials`` has (series_id, trial_id, mode, n_cp, tau). ``fit`` and ``ahead`` are conditions on
+    ``back``, the number of a row from the end of its series. Keys of the fits are series and trial.
+    """
+    order, period = 3, 365.25
+    waves = [
+        f"{f}(CAST({2.0 * math.pi * k!r} AS DOUBLE) * days / {period})"
+        for k in range(1, order + 1)
+        for f in ("sin", "cos")
+    ]
+    hinges = [
+        f"CASE WHEN knots >= {j} THEN greatest(CAST(0 AS DOUBLE), "
+        f"t - CAST({0.8 * j!r} AS DOUBLE) / knots) ELSE CAST(0 AS DOUBLE) END"
+        for j in range(1, knots + 1)
+    ]
+    trend, season = 2 + knots, len(waves) + 2
+    ctes = [
+        f"""
+{label}_placed AS (
+  SELECT series_id, ds, y, x_qty, x_price, row_number() OVER w AS back,
+         CAST(date_diff('day', DATE '1970-01-01', ds) AS DOUBLE) AS days
+  FROM panel WINDOW w AS (PARTITION BY series_id ORDER BY ds DESC)),
+{label}_facts AS (
+  SELECT series_id, count(*) AS n, min(days) AS t0, max(days) AS t1, max(abs(y)) AS ys,
+         avg(x_qty) AS m0, stddev_pop(x_qty) AS s0, avg(x_price) AS m1, stddev_pop(x_price) AS s1
+  FROM {label}_placed WHERE {fit} GROUP BY series_id),
+{label}_full AS MATERIALIZED (
+  SELECT series_id || '#' || trial_id AS series_id, mode, tau, ds, y / ys AS v, back,
+         [CAST(1 AS DOUBLE), t, {", ".join(hinges)}] AS tr,
+         [{", ".join(waves)}, (x_qty - m0) / s0, (x_price - m1) / s1] AS se
+  FROM (
+    SELECT *, (days - t0) / (t1 - t0) AS t,
+           least(n_cp, greatest(floor(n * CAST(0.8 AS DOUBLE)) - 1, 0)) AS knots
+    FROM {label}_placed JOIN {label}_facts USING (series_id) JOIN {trials} USING (series_id)))"""
+    ]
+    source = f"{label}_full WHERE {fit}"
+    if weighted:
+        smallest = f"CAST({min(GRID['changepoint_prior_scale'])} AS DOUBLE)"
+        ctes.append(
+            f" {label}_first AS (SELECT series_id, tau, list_concat(tr, se, [v]) AS x FROM {source})"
+        )
+        ctes.append(_ridge(f"{label}_base", f"{label}_first", trend, season, smallest))
+        ctes.append(
+            f"""
+{label}_weighted AS (
+  SELECT series_id, tau, tr, v, CASE WHEN mode = 'multiplicative'
+    THEN [list_inner_product(beta[1:{trend}], tr) * e for e in se] ELSE se END AS se
+  FROM {label}_full JOIN {label}_base_solved USING (series_id) WHERE {fit})"""
+        )
+        source = f"{label}_weighted"
+    ctes.append(
+        f" {label}_design AS (SELECT series_id, tau, list_concat(tr, se, [v]) AS x FROM {source})"
+    )
+    ctes.append(_ridge(label, f"{label}_design", trend, season, "tau"))
+    ctes.append(
+        f"""
+{label}_parts AS (
+  SELECT series_id, ds, v, mode, noise, list_inner_product(beta[1:{trend}], tr) AS trend,
+         list_inner_product(beta[{trend + 1}:], se) AS rest
+  FROM {label}_full JOIN {label}_solved USING (series_id) WHERE {ahead}),
+{label}_forecast AS MATERIALIZED (
+  SELECT split_part(p.series_id, '#', 1) AS series_id,
+         CAST(split_part(p.series_id, '#', 2) AS INTEGER) AS trial_id, ds, v * ys AS y,
+         ys * CASE WHEN mode = 'multiplicative' THEN trend * (1 + rest) ELSE trend + rest END
+           AS yhat, sqrt(noise) * ys AS reach
+  FROM {label}_parts p JOIN {label}_facts f ON f.series_id = split_part(p.series_id, '#', 1))"""
+    )
+    return ",".join(ctes)
+
+
+def _one_trial() -> str:
+    t = ONE_TRIAL[0]
+    return f"""
+one_trial AS (
+  SELECT DISTINCT series_id, 1 AS trial_id, '{t["seasonality_mode"]}' AS mode,
+         {t["n_changepoints"]} AS n_cp, CAST({t["changepoint_prior_scale"]} AS DOUBLE) AS tau
+  FROM panel)"""
+
+
+def _all_trials() -> str:
+    rows = ", ".join(
+        f"({i}, '{p['seasonality_mode']}', {p['n_changepoints']}, {p['changepoint_prior_scale']})"
+        for i, p in enumerate(grid_points(GRID), 1)
+    )
+    return f"""
+all_trials AS (
+  SELECT series_id, trial_id, mode, n_cp, CAST(tau AS DOUBLE) AS tau
+  FROM (SELECT DISTINCT series_id FROM panel),
+       (VALUES {rows}) AS g(trial_id, mode, n_cp, tau))"""
+
+
 def _phi_sql() -> str:
     parts = " UNION ALL ".join(
         f"""SELECT concat_ws('|', series_id, CAST(ds AS VARCHAR)) AS row_id, '{c}' AS feature,
@@ -872,12 +1022,70 @@ input AS (SELECT * FROM (
         "FROM coefficients WHERE std_error IS NOT NULL"
     )
     sql["sarx_forecast"] = (
-        _with(*sarx_log, _sarx_coefficients(), _sarx_path()).replace("WITH", "WITH RECURSIVE", 1)
+        _recursive(*sarx_log, _sarx_coefficients(), _sarx_path())
         + """SELECT f.series_id, f.ds, round(p.y, 5) AS y, round(path.ys[-1] * scales.ys, 5) AS yhat
 FROM path JOIN future f ON f.series_id = path.series_id AND f.step = path.step
 JOIN panel p ON p.series_id = f.series_id AND p.ds = f.ds
 JOIN scales ON scales.series_id = f.series_id"""
     )
+    one = [
+        PANEL,
+        _one_trial(),
+        _trend_ctes("one", "one_trial", f"back > {HORIZON}", f"back <= {HORIZON}", 8, False),
+    ]
+    sql["trend_season_fit"] = (
+        _recursive(*one)
+        + """SELECT f.series_id, CAST(1 AS INTEGER) AS trial_id,
+       CAST(least(8, greatest(floor(n * CAST(0.8 AS DOUBLE)) - 1, 0)) AS INTEGER) AS n_knots,
+       n AS n_obs, round(sqrt(noise), 6) AS sigma
+FROM one_facts f JOIN one_solved e ON e.series_id = f.series_id || '#1'"""
+    )
+    wide = NormalDist().inv_cdf(0.9)
+    sql["trend_season_forecast"] = (
+        _recursive(*one)
+        + f"""SELECT series_id, ds, trial_id, round(yhat, 5) AS yhat,
+       round(yhat - CAST({wide!r} AS DOUBLE) * reach, 5) AS yhat_lower,
+       round(yhat + CAST({wide!r} AS DOUBLE) * reach, 5) AS yhat_upper FROM one_forecast"""
+    )
+    knots = max(GRID["n_changepoints"])
+    grid_search = [
+        PANEL,
+        _all_trials(),
+        _trend_ctes(
+            "grid",
+            "all_trials",
+            f"back > {2 * HORIZON}",
+            f"back BETWEEN {HORIZON + 1} AND {2 * HORIZON}",
+            knots,
+            True,
+        ),
+        f"""
+grid_scores AS MATERIALIZED (
+  SELECT series_id, trial_id, {SCORES} FROM grid_forecast GROUP BY series_id, trial_id)""",
+    ]
+    sql["forecast_grid"] = (
+        _recursive(*grid_search)
+        + """SELECT series_id, trial_id, tau AS changepoint_prior_scale,
+       CAST(n_cp AS INTEGER) AS n_changepoints, mode AS seasonality_mode, n, round(r2, 6) AS r2,
+       round(mae, 6) AS mae, round(mape, 6) AS mape, round(mse, 3) AS mse
+FROM grid_scores JOIN all_trials USING (series_id, trial_id)"""
+    )
+    sql["best_forecast"] = (
+        _recursive(
+            *grid_search,
+            """
+best_trials AS MATERIALIZED (
+  SELECT series_id, trial_id, mode, n_cp, tau FROM (
+    SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY mape, trial_id) AS rn
+    FROM grid_scores) JOIN all_trials USING (series_id, trial_id) WHERE rn = 1)""",
+            _trend_ctes(
+                "best", "best_trials", f"back > {HORIZON}", f"back <= {HORIZON}", knots, True
+            ),
+            f" best_scores AS (SELECT series_id, {SCORES} FROM best_forecast GROUP BY series_id)",
+        )
+        + """SELECT series_id, n, round(r2, 5) AS r2, round(mae, 5) AS mae, round(mape, 5) AS mape,
+       round(mse, 3) AS mse FROM best_scores"""
+    )
     phi = _with(_phi_sql())
     sql["shap_importance"] = (
         phi + "SELECT feature, round(avg(abs(phi)), 4) AS importance FROM phi GROUP BY feature"

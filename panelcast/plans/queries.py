@@ -556,7 +556,8 @@ def trend_season_forecast(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def forecast_grid(spark: SparkSession, sf: str) -> DataFrame:
     train, validate, _ = _parts(spark, sf)
-    return rounded(search.forecast_grid_search(train, validate, GRID, EXOG, fourier_order=3), 6)
+    scores = search.forecast_grid_search(train, validate, GRID, EXOG, fourier_order=3)
+    return rounded(scores.withColumn("mse", F.round("mse", 3)), 6)
 
 
 @query
@@ -564,7 +565,8 @@ def best_forecast(spark: SparkSession, sf: str) -> DataFrame:
     train, validate, test = _parts(spark, sf)
     predicted = search.best_forecast(train, validate, test, GRID, EXOG, fourier_order=3)
     scored = metrics.align_forecast(test.select("series_id", "ds", "y"), predicted)
-    return rounded(metrics.metrics(scored, by=["series_id"]))
+    scores = metrics.metrics(scored, by=["series_id"])
+    return rounded(scores.withColumn("mse", F.round("mse", 3)))
 
 
 # --- tree ensembles ------------------------------------------------------------------------------
