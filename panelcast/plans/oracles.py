@@ -397,90 +397,79 @@ lagged AS (
   SELECT series_id, ds, CAST(1 AS DOUBLE) AS one, z, x0, x1, e, {", ".join(lags)}
   FROM flat LEFT JOIN residuals USING (series_id, ds)
   WINDOW w AS (PARTITION BY series_id ORDER BY ds)),
-sample AS MATERIALIZED (SELECT * FROM lagged WHERE e IS NOT NULL AND {complete})""",
+sample AS (SELECT * FROM lagged WHERE e IS NOT NULL AND {complete})""",
         ]
     )
 
 
-def _sarx_log() -> str:
-    """CTEs ending in ``log(series_id, candidate, p, q, seasonal_p, seasonal_q, aic)``.
+def _sarx_fits() -> str:
+    """CTEs ending in ``log(series_id, candidate, order, aic)`` and ``coefficients(series_id, term,
+    slope, coefficient, std_error)``.
 
-    Orders that differ in p only are nested: one orthogonalisation serves all of them.
+    Every order keeps some columns of one Gram matrix; a column left out becomes a unit row. All
+    orders are eliminated together, next to the unit matrix, which turns into the inverse.
     """
-    numbers = {order: i for i, (order, _) in enumerate(ORDERS.candidates(EXOG))}
-    ctes, selects = [], []
-    for q in range(ORDERS.q + 1):
-        for sp in range(ORDERS.P + 1):
-            for sq in range(ORDERS.Q + 1):
-                top = min(ORDERS.p, ORDERS.max_order - q - sp - sq)
-                if top < 0:
-                    continue
-                head = ["one", "x0", "x1", *[f"e{i}" for i in range(1, q + 1)]]
-                head += [f"e{ORDERS.m * i}" for i in range(1, sq + 1)]
-                head += [f"z{ORDERS.m * i}" for i in range(1, sp + 1)]
-                names = head + [f"z{i}" for i in range(1, top + 1)]
-                label = f"c{q}_{sp}_{sq}"
-                ctes += _residual_chain("sample", names, ["z"], label)
-                explained = ", ".join(
-                    f"pow(SUM(z * {c}), 2) / SUM({c} * {c}) AS g_{c}" for c in names
-                )
-                ctes.append(
-                    f"{label} AS (SELECT series_id, count(*) AS n, SUM(z * z) AS total, "
-                    f"{explained} FROM {label}_{len(names) - 2} GROUP BY series_id)"
-                )
-                for p in range(top + 1):
-                    used = names[: len(head) + p]
-                    gone = " - ".join(f"g_{c}" for c in used)
-                    selects.append(
-                        f"SELECT series_id, {numbers[p, q, sp, sq]} AS candidate, {p} AS p, "
-                        f"{q} AS q, {sp} AS seasonal_p, {sq} AS seasonal_q, "
-                        f"n * ln((total - {gone}) / n) + 2 * {len(used)} AS aic FROM {label}"
-                    )
-    ctes.append("log AS MATERIALIZED (" + " UNION ALL ".join(selects) + ")")
-    return ",".join(ctes)
-
-
-def _sarx_coefficients() -> str:
-    """CTEs from ``log`` to ``coefficients(series_id, term, slope, coefficient, std_error)``.
-
-    Columns outside the chosen order are set to zero; every coefficient is the slope of the target
-    on its column after all other columns are taken out.
-    """
-    used = {"one": "true", "x0": "true", "x1": "true"}
-    used |= {f"z{i}": f"p >= {i}" for i in range(1, ORDERS.p + 1)}
-    used |= {f"z{ORDERS.m * i}": f"seasonal_p >= {i}" for i in range(1, ORDERS.P + 1)}
-    used |= {f"e{i}": f"q >= {i}" for i in range(1, ORDERS.q + 1)}
-    used |= {f"e{ORDERS.m * i}": f"seasonal_q >= {i}" for i in range(1, ORDERS.Q + 1)}
-    names = list(used)
-    masked = ", ".join(
-        f"CASE WHEN {test} THEN {c} ELSE CAST(0 AS DOUBLE) END AS {c}" for c, test in used.items()
-    )
-    ctes = [
-        f"""
-chosen AS MATERIALIZED (SELECT *, {len(EXOG) + 1} + p + q + seasonal_p + seasonal_q AS k FROM (
-  SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY aic, candidate) AS rn FROM log)
-  WHERE rn = 1),
-masked AS MATERIALIZED (SELECT series_id, k, z, {masked} FROM sample JOIN chosen USING (series_id))"""
-    ]
+    m = ORDERS.m
+    tests = {"one": "1 = 1", "x0": "1 = 1", "x1": "1 = 1"}
+    tests |= {f"z{i}": f"p >= {i}" for i in range(1, ORDERS.p + 1)}
+    tests |= {f"z{m * i}": f"seasonal_p >= {i}" for i in range(1, ORDERS.P + 1)}
+    tests |= {f"e{i}": f"q >= {i}" for i in range(1, ORDERS.q + 1)}
+    tests |= {f"e{m * i}": f"seasonal_q >= {i}" for i in range(1, ORDERS.Q + 1)}
+    names = list(tests)
+    k = len(names)
+    orders = ", ".join(
+        f"({i}, {', '.join(map(str, order))})"
+        for i, (order, _) in enumerate(ORDERS.candidates(EXOG))
+    )
+    mask = ", ".join(f"CASE WHEN {test} THEN 1 ELSE 0 END" for test in tests.values())
     units = {"one": "ys", "x0": "ys / s0", "x1": "ys / s1"}
     terms = {"one": "const", "x0": EXOG[0], "x1": EXOG[1]}
-    selects = []
-    for c in names:
-        order = [*[n for n in names if n != c], c, "z"]
-        ctes += _residual_chain("masked", order, ["k"], f"t_{c}")
-        before, after = f"t_{c}_{len(order) - 3}", f"t_{c}_{len(order) - 2}"
-        term = terms.get(c, ("ar_" if c[0] == "z" else "ma_") + c[1:])
-        selects.append(
-            f"""SELECT series_id, '{term}' AS term, slope, slope * ({units.get(c, "1")}) AS coefficient,
-       sqrt(sse / (n - k) / spread) * ({units.get(c, "1")}) AS std_error
-FROM (SELECT series_id, SUM(z * {c}) / NULLIF(SUM({c} * {c}), 0) AS slope,
-        NULLIF(SUM({c} * {c}), 0) AS spread, count(*) AS n, max(k) AS k
-      FROM {before} GROUP BY series_id)
-JOIN (SELECT series_id, SUM(z * z) AS sse FROM {after} GROUP BY series_id) USING (series_id)
-JOIN scales USING (series_id)"""
-        )
-    ctes.append("coefficients AS MATERIALIZED (" + " UNION ALL ".join(selects) + ")")
-    return ",".join(ctes)
+    rows = ", ".join(
+        f"({i}, '{terms.get(c, ('ar_' if c[0] == 'z' else 'ma_') + c[1:])}')"
+        for i, c in enumerate(names, 1)
+    )
+    unit = "CASE " + " ".join(
+        f"WHEN i = {i} THEN {units[c]}" for i, c in enumerate(names, 1) if c in units
+    ) + " ELSE 1 END"
+    return f"""
+pairs AS (
+  SELECT series_id, i, j, SUM(x[i] * x[j]) AS s, count(*) AS n
+  FROM (SELECT series_id, [{", ".join(names)}, z] AS x FROM sample),
+       range(1, {k + 2}) AS a(i), range(1, {k + 2}) AS b(j) GROUP BY ALL),
+lines AS (SELECT series_id, n, i, list(s ORDER BY j) AS line FROM pairs GROUP BY ALL),
+grams AS (SELECT series_id, n, list(line ORDER BY i) AS g FROM lines GROUP BY ALL),
+orders_tried AS (
+  SELECT *, [{mask}] AS used
+  FROM (VALUES {orders}) AS o(candidate, p, q, seasonal_p, seasonal_q)),
+elimination AS (
+  SELECT series_id, candidate, 1 AS piv,
+    [[CASE WHEN j <= {k} THEN used[i] * used[j] * g[i][j]
+             + CASE WHEN i = j THEN 1 - used[i] ELSE 0 END
+           WHEN j = {k + 1} THEN used[i] * g[i][j]
+           WHEN j = {k + 1} + i THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
+      for j in range(1, {2 * k + 2})] for i in range(1, {k + 1})] AS m
+  FROM grams, orders_tried
+  UNION ALL
+  SELECT series_id, candidate, piv + 1,
+    [[CASE WHEN i = piv THEN m[i][j] / m[piv][piv]
+      ELSE m[i][j] - m[i][piv] * m[piv][j] / m[piv][piv] END
+      for j in range(1, {2 * k + 2})] for i in range(1, {k + 1})]
+  FROM elimination WHERE piv <= {k}),
+fits AS MATERIALIZED (
+  SELECT e.series_id, candidate, p, q, seasonal_p, seasonal_q, used, n, m,
+         g[{k + 1}][{k + 1}] - list_sum([used[i] * m[i][{k + 1}] * g[i][{k + 1}]
+           for i in range(1, {k + 1})]) AS sse, list_sum(used) AS k
+  FROM elimination e JOIN grams USING (series_id) JOIN orders_tried USING (candidate)
+  WHERE piv = {k + 1}),
+log AS (SELECT *, n * ln(sse / n) + 2 * k AS aic FROM fits),
+chosen AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY aic, candidate) AS rn FROM log)
+  WHERE rn = 1),
+coefficients AS MATERIALIZED (
+  SELECT series_id, term, m[i][{k + 1}] AS slope, m[i][{k + 1}] * ({unit}) AS coefficient,
+         sqrt(sse / (n - k) * m[i][{k + 1} + i]) * ({unit}) AS std_error
+  FROM chosen JOIN scales USING (series_id), (VALUES {rows}) AS t(i, term) WHERE used[i] = 1)"""
 
 
 def _sarx_path() -> str:
@@ -1010,19 +999,19 @@ input AS (SELECT * FROM (
         + "SELECT series_id, round(strength, 5) AS strength, "
         "CAST(strength > 0.64 AS INTEGER) AS seasonal_d FROM strengths"
     )
-    sarx_log = [PANEL, _sarx_design(), _sarx_log()]
+    sarx_fits = [PANEL, _sarx_design(), _sarx_fits()]
     sql["sarx_order_search"] = (
-        _with(*sarx_log)
+        _recursive(*sarx_fits)
         + "SELECT series_id, candidate, p, q, seasonal_p, seasonal_q, round(aic, 5) AS aic FROM log"
     )
     sql["sarx_coefficients"] = (
-        _with(*sarx_log, _sarx_coefficients())
+        _recursive(*sarx_fits)
         + "SELECT series_id, term, round(coefficient, 5) AS coefficient, "
         "round(std_error, 5) AS std_error, round(coefficient / std_error, 5) AS t_value "
-        "FROM coefficients WHERE std_error IS NOT NULL"
+        "FROM coefficients"
     )
     sql["sarx_forecast"] = (
-        _recursive(*sarx_log, _sarx_coefficients(), _sarx_path())
+        _recursive(*sarx_fits, _sarx_path())
         + """SELECT f.series_id, f.ds, round(p.y, 5) AS y, round(path.ys[-1] * scales.ys, 5) AS yhat
 FROM path JOIN future f ON f.series_id = path.series_id AND f.step = path.step
 JOIN panel p ON p.series_id = f.series_id AND p.ds = f.ds
