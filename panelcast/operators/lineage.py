@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.functions.expressions import named
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
@@ -50,17 +52,28 @@ def broadcast_limit(spark: SparkSession) -> int:
 
 
 def attach_facts(
-    df: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "left"
+    df: DataFrame,
+    facts: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    stored: bool = False,
+    salts: int = 8,
 ) -> DataFrame:
-    """Join a table of one row per group to the data rows without moving them, if it is small.
+    """Join a table of one or few rows per group to the data rows; they stay put if it is small.
 
     The optimizer cannot know how few groups an aggregation leaves, and would shuffle all data
-    rows to meet them. So the facts are written once and their size is measured. Within the
-    session's broadcast threshold they are broadcast; beyond it the join shuffles both sides, and
-    adaptive execution splits a crowded group.
+    rows to meet them, a crowded group into one task. So the facts are written once and their size
+    is measured. Within the session's broadcast threshold they are broadcast. Beyond it they are
+    repeated per salt and the join is by key and salt: a group is spread over tasks, a later
+    aggregation by key still reduces rows before its shuffle, and adaptive execution may split
+    what is left of a crowded group. ``stored`` says that the facts are written already.
     """
-    stored = cut(facts)
-    size = stored.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    if not stored:
+        facts = cut(facts)
+    size = facts.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
     if size <= broadcast_limit(df.sparkSession):
-        stored = F.broadcast(stored)
-    return df.join(stored, list(keys), how)
+        return df.join(F.broadcast(facts), list(keys), how)
+    salt = F.pmod(F.xxhash64(*[named(c) for c in df.columns]), F.lit(salts)).cast("int")
+    repeated = facts.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    joined = df.withColumn("__salt", salt).join(repeated, [*keys, "__salt"], how)
+    return joined.drop("__salt")

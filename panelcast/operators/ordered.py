@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.functions.expressions import named
+from panelcast.operators.lineage import attach_facts
 
 _ROW, _HALO, _HEADER = 2, 1, 0
 Build = Callable[[WindowSpec, Column, Column], dict[str, Column]]
@@ -30,6 +31,19 @@ def calendar_bounded(df: DataFrame, order: Sequence[str]) -> bool:
     return isinstance(df.schema[order[0]].dataType, T.DateType)
 
 
+def join_series(
+    df: DataFrame, facts: DataFrame, by: Sequence[str], order: Sequence[str]
+) -> DataFrame:
+    """Join one row per series ahead of a window over the rows of a series.
+
+    On a DATE panel the join lays the rows out by series, which the window needs anyway. Else the
+    rows are not gathered by series at all.
+    """
+    if calendar_bounded(df, order):
+        return df.join(facts, list(by))
+    return attach_facts(df, facts, by, "inner")
+
+
 def _search(value: Column, bounds: Sequence[int], base: int = 0) -> Column:
     """Balanced tree of comparisons: the number of bounds that are <= value."""
     if not bounds:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.expressions import dot, named
 from panelcast.operators.gram import gram, ols
-from panelcast.operators.ordered import over_rows
+from panelcast.operators.ordered import join_series, over_rows
 
 ORDER = ("p", "q", "seasonal_p", "seasonal_q")
 SEASONAL_STRENGTH = 0.64  # fixed value: Wang, Smith and Hyndman (2006)
@@ -289,7 +289,7 @@ def fit_sarx(
     scales = _scales(rows, y, exog, by)
     seasonal = _seasonal_strength(rows, orders.m, y, by, order)
     facts = _with_seasonal_d(scales.join(seasonal, list(by), "left"))
-    flat = _stationary(rows.join(facts, list(by)), y, exog, orders.m, by, order)
+    flat = _stationary(join_series(rows, facts, by, order), y, exog, orders.m, by, order)
 
     h = orders.long_ar
     design = _long_ar_design(h, exog)
@@ -300,7 +300,7 @@ def fit_sarx(
         *keys, ols(len(design) + 1)("n", "gram").getField("beta").alias("ar_beta")
     )
 
-    known = lagged.join(long_fit, list(by)).withColumn(
+    known = join_series(lagged, long_fit, by, order).withColumn(
         "__e", target - dot(F.col("ar_beta"), F.array(*design))
     )
     known = known.drop(*[f"__z_{i}" for i in range(1, h + 1)])
@@ -424,7 +424,7 @@ def forecast_sarx(
     both = past.withColumn("__future", F.lit(False)).unionByName(
         ahead.withColumn("__future", F.lit(True))
     )
-    known = both.join(model.drop("log"), list(by))
+    known = join_series(both, model.drop("log"), by, order)
     flat = _stationary(known, y, exog, m, by, order)
     h = orders.long_ar
     lagged = _with_lags(flat, {"__z": range(1, h + 1)}, by, order)

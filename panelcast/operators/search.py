@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 
 from panelcast.functions.expressions import named
 from panelcast.operators.grid import grid_points
-from panelcast.operators.lineage import cut
 from panelcast.operators.metrics import best_trial, metrics
 from panelcast.operators.trend_season import fit_trend_season, predict_trend_season
 
@@ -27,10 +26,9 @@ def forecast_grid_search(
     """Scores of every trial on the validation rows: (by, trial_id, parameters, n, mape, mae, ...).
 
     Trials are rows, not jobs: data is reduced once per design, each trial is a small solve, and
-    the scores of all trials come from one aggregation. The fitted models are written once to the
-    checkpoint folder.
+    the scores of all trials come from one aggregation.
     """
-    model = cut(fit_trend_season(train, grid_points(grid), exog, period, fourier_order, by=by))
+    model = fit_trend_season(train, grid_points(grid), exog, period, fourier_order, by=by)
     predicted = predict_trend_season(
         model, validate, exog, period, fourier_order, by=by, keep=["y", *PARAMETERS]
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.expressions import named, normal_cdf
 from panelcast.operators.gram import gram
-from panelcast.operators.ordered import difference, over_rows
+from panelcast.operators.ordered import difference, join_series, over_rows
 
 # Response surface of MacKinnon (1994) for one series. Polynomials in rising powers,
 # the left one up to `split`; outside [low, high] the p-value is 0 or 1.
@@ -216,7 +216,7 @@ def adf_test(
         "__top",
         F.least(bound, F.floor(F.col("__n") / 2) - deterministic - 1, F.lit(width)).cast("int"),
     )
-    scaled = clean.join(stats, list(by)).withColumn(
+    scaled = join_series(clean, stats, by, order).withColumn(
         "__z", (F.col("__y") - F.col("__mean")) / F.nullif(F.col("__sd"), F.lit(0.0))
     )
 

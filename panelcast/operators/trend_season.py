@@ -25,6 +25,7 @@ from panelcast.functions.expressions import (
     named,
 )
 from panelcast.operators.gram import gram
+from panelcast.operators.lineage import attach_facts, cut
 from panelcast.operators.stationarity import longest_series
 
 # Prior deviations of the additive trend model on scaled data.
@@ -160,8 +161,8 @@ def fit_trend_season(
     if knots > FEW_KNOTS:
         # Knots beyond the longest history would only widen the design with zeros.
         knots = min(knots, max(int(KNOT_SHARE * longest_series(rows, by)) - 1, 0))
-    facts = _facts(rows, exog, y, ds, by)
-    joined = rows.join(facts, list(by))
+    facts = cut(_facts(rows, exog, y, ds, by))
+    joined = attach_facts(rows, facts, by, "inner", stored=True)
     counts = sorted({n for _, n in designs})
     room = F.greatest(F.floor(F.col("n_rows") * KNOT_SHARE) - 1, F.lit(0))
 
@@ -228,7 +229,8 @@ def fit_trend_season(
         )
 
     results = []
-    additive = passes(spread(joined, counts), None)
+    # Both modes start from these sums: one small row per series and knot count.
+    additive = cut(passes(spread(joined, counts), None))
     if any(mode == "additive" for mode, _ in designs):
         results.append(solved(additive, "additive"))
     weighted_counts = sorted({n for mode, n in designs if mode == "multiplicative"})
@@ -239,7 +241,7 @@ def fit_trend_season(
             "n_changepoints",
             F.get(ridge("n", "gram", base_scale), F.lit(0)).getField("beta").alias("base"),
         )
-        frame = spread(joined, weighted_counts).join(base, group)
+        frame = attach_facts(spread(joined, weighted_counts), base, group, "inner")
         trend = _trend_terms(frame, ds, knots)
         weight = dot(F.slice("base", 1, trend_width), F.array(*trend))
         results.append(solved(passes(frame, weight), "multiplicative"))
@@ -266,7 +268,9 @@ def predict_trend_season(
     """
     keys = [named(c) for c in by]
     taken = dict.fromkeys([*exog, *[c for c in keep if c in rows.columns]])
-    frame = rows.select(*keys, named(ds), *[named(c) for c in taken]).join(model, list(by))
+    frame = attach_facts(
+        rows.select(*keys, named(ds), *[named(c) for c in taken]), model, by, "inner"
+    )
     season = _season_terms(frame, ds, period, fourier_order, exog)
     width = F.size("beta") - len(season)
     days = days_since_epoch(frame, ds)

@@ -35,7 +35,9 @@ def test_facts_are_broadcast_only_within_the_limit(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
     try:
         large = stats.minmax_scale(df, ["y"], ["series_id"])
-        assert "SortMergeJoin" in plan(large)
+        text = plan(large)
+        assert "SortMergeJoin" in text and "hashpartitioning(series_id" in text
+        assert "__salt" in text
         assert large.exceptAll(small).count() == 0 and large.count() == 8
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
