@@ -12,9 +12,12 @@ How the rows of a series are spread decides whether these scale:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +26,8 @@ from panelcast.functions.expressions import named
 from panelcast.operators.lineage import attach_facts
 
 _ROW, _HALO, _HEADER = 2, 1, 0
+SAMPLE_PER_CHUNK = 100
+SAMPLE_LIMIT = 1_000_000
 Build = Callable[[WindowSpec, Column, Column], dict[str, Column]]
 
 
@@ -44,31 +49,28 @@ def join_series(
     return attach_facts(df, facts, by, "inner")
 
 
-def _search(value: Column, bounds: Sequence[int], base: int = 0) -> Column:
-    """Balanced tree of comparisons: the number of bounds that are <= value."""
-    if not bounds:
-        return F.lit(base)
-    mid = len(bounds) // 2
-    return F.when(value < F.lit(bounds[mid]), _search(value, bounds[:mid], base)).otherwise(
-        _search(value, bounds[mid + 1 :], base + mid + 1)
-    )
-
-
-def even_chunks(df: DataFrame, col: str, chunks: int | None = None) -> Column:
-    """Chunk number of a timestamp column, from quantiles of its own values.
+def even_chunks(df: DataFrame, col: str, chunks: int | None = None, seed: int = 17) -> DataFrame:
+    """Append ``__chunk``, the number of the chunk a timestamp falls into.
 
-    One small job reads the single column and returns ``chunks - 1`` numbers, so an uneven
-    calendar (a burst in one hour) still gives chunks of like size. The bounds become literals:
-    a recomputed task gives its rows the same chunk as before.
+    Bounds are quantiles of a sample of the one column, as in a range partitioning: a hundred
+    values per chunk, at most a million. An uneven calendar (a burst in one hour) still gives
+    chunks of like size, and no row is lost, because only the bounds depend on the sample. They
+    are constants of the plan: a recomputed task gives its rows the same chunk as before. The
+    number of chunks follows ``spark.sql.shuffle.partitions``.
     """
     if chunks is None:
         chunks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    micros = F.unix_micros(named(col).cast("timestamp"))
-    if chunks < 2:
-        return F.lit(0)
-    quantiles = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
-    row = df.agg(F.approx_percentile(micros, quantiles, 100 * chunks)).first()
-    return _search(micros, sorted(set(row[0] or [])))
+    micros = F.unix_micros(named(col).cast("timestamp")).cast("double")
+    times = df.select(micros.alias("t"))
+    wanted = min(SAMPLE_PER_CHUNK * chunks, SAMPLE_LIMIT)
+    rows = times.count()
+    sample = times if rows <= wanted else times.sample(wanted / rows, seed)
+    values = np.sort(sample.toPandas()["t"].to_numpy(dtype=float))
+    cuts = np.unique(values[np.arange(1, chunks) * len(values) // chunks]) if len(values) else []
+    splits = [-math.inf, *map(float, cuts), math.inf]
+    numbered = df.withColumn("__micros", micros)
+    bucketizer = Bucketizer(splits=splits, inputCol="__micros", outputCol="__chunk")
+    return bucketizer.transform(numbered).drop("__micros")
 
 
 def over_rows(
@@ -95,9 +97,7 @@ def over_rows(
         made = build(window, F.row_number().over(window), F.count(F.lit(1)).over(whole))
         return df.select("*", *[c.alias(n) for n, c in made.items()])
 
-    if chunk is None:
-        chunk = even_chunks(df, order[0])
-    rows = df.withColumn("__chunk", chunk)
+    rows = even_chunks(df, order[0]) if chunk is None else df.withColumn("__chunk", chunk)
     in_group = Window.partitionBy(*groups)
     along = in_group.orderBy("__chunk")
     sizes = rows.groupBy(*groups, "__chunk").agg(F.count(F.lit(1)).alias("__rows"))

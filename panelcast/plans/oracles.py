@@ -671,6 +671,37 @@ complete AS (SELECT * FROM panel WHERE {missing}),
 phi AS ({parts})"""
 
 
+def _linear_shares() -> str:
+    """CTEs ending in ``filled``, ``reference`` and ``slopes(feature, b)`` of a least squares fit.
+
+    Each slope is that of the target on a feature after constant and other features are out.
+    """
+    scaled = ", ".join(f"{_minmax(c)} AS {c}" for c in FEATURES)
+    filled = ", ".join(f"COALESCE({c}, avg({c}) OVER ()) AS {c}" for c in FEATURES)
+    means = ", ".join(f"avg({c}) AS {c}" for c in FEATURES)
+    ctes = [
+        f"""
+scaled AS (SELECT series_id, ds, y, {scaled} FROM panel),
+filled AS MATERIALIZED (SELECT series_id, ds, y, {filled} FROM scaled),
+reference AS (
+  SELECT {means} FROM (
+    SELECT * FROM filled
+    ORDER BY md5(concat_ws('|', series_id, CAST(ds AS VARCHAR), '21')) LIMIT 20)),
+pooled AS (
+  SELECT 'all' AS series_id, CAST(1 AS DOUBLE) AS one, {", ".join(FEATURES)}, y FROM filled)"""
+    ]
+    slopes = []
+    for c in FEATURES:
+        order = ["one", *[f for f in FEATURES if f != c], c, "y"]
+        ctes += _residual_chain("pooled", order, [], f"share_{c}")
+        slopes.append(
+            f"SELECT '{c}' AS feature, SUM(y * {c}) / SUM({c} * {c}) AS b "
+            f"FROM share_{c}_{len(order) - 3}"
+        )
+    ctes.append("slopes AS (" + " UNION ALL ".join(slopes) + ")")
+    return ",".join(ctes)
+
+
 def _corr_sql() -> str:
     names = ["y", *FEATURES]
     tests = []
@@ -1075,6 +1106,12 @@ best_trials AS MATERIALIZED (
         + """SELECT series_id, n, round(r2, 5) AS r2, round(mae, 5) AS mae, round(mape, 5) AS mape,
        round(mse, 3) AS mse FROM best_scores"""
     )
+    sql["shapley_linear"] = _with(FINE, _linear_shares()) + " UNION ALL ".join(
+        f"SELECT f.series_id, f.ds, '{c}' AS feature, round(f.{c}, 9) AS value, "
+        f"round(b * (f.{c} - r.{c}), 4) AS phi FROM filled f, reference r, slopes "
+        f"WHERE feature = '{c}'"
+        for c in FEATURES
+    )
     phi = _with(_phi_sql())
     sql["shap_importance"] = (
         phi + "SELECT feature, round(avg(abs(phi)), 4) AS importance FROM phi GROUP BY feature"

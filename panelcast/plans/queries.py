@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -671,6 +672,17 @@ def shapley_values(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(attribution.shapley(model, table, table, names, key, n_background=20), 6)
 
 
+@query
+def shapley_linear(spark: SparkSession, sf: str) -> DataFrame:
+    """The same attribution of a linear model, whose shares have a closed form."""
+    table, names = trees.prepare(_tree_panel(spark, sf), MODEL_FEATURES)
+    table = cut(table)
+    model = LinearRegression(labelCol="y").fit(table)
+    key = ["series_id", "ds"]
+    phi = attribution.shapley(model, table, table, names, key, n_background=20)
+    return phi.withColumns({"value": F.round("value", 9), "phi": F.round("phi", 4)})
+
+
 @query
 def shap_importance(spark: SparkSession, sf: str) -> DataFrame:
     phi = market.linear_phi(market.model_panel(spark, sf, fine=True))

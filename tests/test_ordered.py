@@ -77,16 +77,27 @@ def test_chunked_positions_splits_and_folds(spark):
 
 def test_no_task_holds_a_whole_hot_series(spark):
     df, _ = event_frame(spark, {"hot": 2000, "b": 10})
-    bounds = ordered.even_chunks(df, "ds", 8)
-    sizes = df.groupBy("series_id", bounds.alias("c")).count().toPandas()
-    assert sizes["count"].max() <= 2000 / 8 * 1.2
+    chunked = ordered.even_chunks(df, "ds", 8)
+    sizes = chunked.groupBy("series_id", "__chunk").count().toPandas()
+    assert sizes["count"].max() <= 2000 / 8 * 1.2 and sizes["count"].sum() == 2010
+
+
+def test_chunks_from_a_sample_stay_even(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SAMPLE_PER_CHUNK", 40)
+    df, pdf = event_frame(spark, {"hot": 3000, "b": 10})
+    sizes = ordered.even_chunks(df, "ds", 6).groupBy("__chunk").count().toPandas()
+    assert len(sizes) == 6 and sizes["count"].max() < 2 * 3010 / 6
+    got = ordered.difference(df, "y", name="d").toPandas()
+    want = pdf.sort_values(["series_id", "row_no"])
+    want["d"] = want["y"] - want.groupby("series_id")["y"].shift(1)
+    got = got.sort_values(["series_id", "row_no"])
+    np.testing.assert_allclose(got["d"].astype(float), want["d"], atol=1e-12, equal_nan=True)
 
 
 def test_chunks_come_from_literals_and_survive_recomputation(spark):
     df, _ = event_frame(spark, SIZES)
-    chunk = ordered.even_chunks(df, "ds", 6)
-    a = df.repartition(7).select("series_id", "row_no", chunk.alias("c"))
-    b = df.coalesce(1).select("series_id", "row_no", chunk.alias("c"))
+    a = ordered.even_chunks(df.repartition(7), "ds", 6).select("row_no", "ds", "__chunk")
+    b = ordered.even_chunks(df.coalesce(1), "ds", 6).select("row_no", "ds", "__chunk")
     assert a.exceptAll(b).count() == 0
 
 
