@@ -178,6 +178,9 @@ def _order_search(width: int, subsets: list[list[int]]):
                 inverse = np.linalg.inv(block)
                 part = xy[:, columns]
                 solved = np.einsum("bij,bj->bi", inverse, part)
+                # One refinement takes back what the small diagonal added for stability changes.
+                miss = part - np.einsum("bij,bj->bi", xx[:, columns][:, :, columns], solved)
+                solved = solved + np.einsum("bij,bj->bi", inverse, miss)
                 sse = np.maximum(g[:, k, k] - np.einsum("bi,bi->b", solved, part), 0.0)
                 aic = rows * np.log(sse / rows) + 2 * len(columns)
                 free = rows - len(columns)

@@ -184,10 +184,8 @@ def linear_phi(panel: DataFrame) -> DataFrame:
         *[
             F.struct(
                 F.lit(c).alias("feature"),
-                F.round(F.col(c), 6).alias("value"),
-                F.round(
-                    F.lit(b) * (F.round(F.col(c), 6) - F.col("__m").getField(c)), 8
-                ).alias("phi"),
+                F.col(c).alias("value"),
+                (F.lit(b) * (F.col(c) - F.col("__m").getField(c))).alias("phi"),
             )
             for c, b in LINEAR_MODEL.items()
         ]

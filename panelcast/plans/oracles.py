@@ -660,9 +660,9 @@ all_trials AS (
 def _phi_sql() -> str:
     parts = " UNION ALL ".join(
         f"""SELECT concat_ws('|', series_id, CAST(ds AS VARCHAR)) AS row_id, '{c}' AS feature,
-       round({c}, 6) AS value,
-       round(CAST({b} AS DOUBLE) * (round({c}, 6) - (SELECT round(avg({c}), 6) FROM panel)), 8)
-         AS phi FROM complete"""
+       {c} AS value,
+       CAST({b} AS DOUBLE) * ({c} - (SELECT round(avg({c}), 6) FROM panel)) AS phi
+FROM complete"""
         for c, b in LINEAR_MODEL.items()
     )
     missing = " AND ".join(f"{c} IS NOT NULL" for c in LINEAR_MODEL)
@@ -1043,7 +1043,7 @@ input AS (SELECT * FROM (
     )
     sql["sarx_forecast"] = (
         _recursive(*sarx_fits, _sarx_path())
-        + """SELECT f.series_id, f.ds, round(p.y, 5) AS y, round(path.ys[-1] * scales.ys, 5) AS yhat
+        + """SELECT f.series_id, f.ds, round(p.y, 5) AS y, round(path.ys[-1] * scales.ys, 3) AS yhat
 FROM path JOIN future f ON f.series_id = path.series_id AND f.step = path.step
 JOIN panel p ON p.series_id = f.series_id AND p.ds = f.ds
 JOIN scales ON scales.series_id = f.series_id"""
@@ -1063,9 +1063,9 @@ FROM one_facts f JOIN one_solved e ON e.series_id = f.series_id || '#1'"""
     wide = NormalDist().inv_cdf(0.9)
     sql["trend_season_forecast"] = (
         _recursive(*one)
-        + f"""SELECT series_id, ds, trial_id, round(yhat, 5) AS yhat,
-       round(yhat - CAST({wide!r} AS DOUBLE) * reach, 5) AS yhat_lower,
-       round(yhat + CAST({wide!r} AS DOUBLE) * reach, 5) AS yhat_upper FROM one_forecast"""
+        + f"""SELECT series_id, ds, trial_id, round(yhat, 3) AS yhat,
+       round(yhat - CAST({wide!r} AS DOUBLE) * reach, 3) AS yhat_lower,
+       round(yhat + CAST({wide!r} AS DOUBLE) * reach, 3) AS yhat_upper FROM one_forecast"""
     )
     knots = max(GRID["n_changepoints"])
     grid_search = [
@@ -1087,7 +1087,7 @@ grid_scores AS MATERIALIZED (
         _recursive(*grid_search)
         + """SELECT series_id, trial_id, tau AS changepoint_prior_scale,
        CAST(n_cp AS INTEGER) AS n_changepoints, mode AS seasonality_mode, n, round(r2, 6) AS r2,
-       round(mae, 6) AS mae, round(mape, 6) AS mape, round(mse, 3) AS mse
+       round(mae, 2) AS mae, round(mape, 6) AS mape, round(mse, 2) AS mse
 FROM grid_scores JOIN all_trials USING (series_id, trial_id)"""
     )
     sql["best_forecast"] = (
@@ -1103,8 +1103,8 @@ best_trials AS MATERIALIZED (
             ),
             f" best_scores AS (SELECT series_id, {SCORES} FROM best_forecast GROUP BY series_id)",
         )
-        + """SELECT series_id, n, round(r2, 5) AS r2, round(mae, 5) AS mae, round(mape, 5) AS mape,
-       round(mse, 3) AS mse FROM best_scores"""
+        + """SELECT series_id, n, round(r2, 6) AS r2, round(mae, 2) AS mae, round(mape, 6) AS mape,
+       round(mse, 2) AS mse FROM best_scores"""
     )
     sql["shapley_linear"] = _with(FINE, _linear_shares()) + " UNION ALL ".join(
         f"SELECT f.series_id, f.ds, '{c}' AS feature, round(f.{c}, 9) AS value, "
@@ -1127,15 +1127,15 @@ ranked AS (
         )
         + """SELECT row_id, CASE WHEN rn < 3 OR n <= 3 THEN feature ELSE 'other' END AS part,
        CAST(CASE WHEN rn < 3 OR n <= 3 THEN rn ELSE 3 END AS INTEGER) AS rank,
-       round(SUM(phi), 8) AS phi
+       SUM(phi) AS phi
 FROM ranked GROUP BY 1, 2, 3"""
     )
     sql["phi_distribution"] = (
         phi
         + """SELECT feature, COUNT(*) AS n, round(avg(phi), 4) + CAST(0 AS DOUBLE) AS mean_phi,
-       round(min(phi), 8) AS min_phi, round(quantile_disc(phi, 0.25), 8) AS q25_phi,
-       round(quantile_disc(phi, 0.5), 8) AS q50_phi, round(quantile_disc(phi, 0.75), 8) AS q75_phi,
-       round(max(phi), 8) AS max_phi FROM phi GROUP BY feature"""
+       min(phi) AS min_phi, quantile_disc(phi, 0.25) AS q25_phi,
+       quantile_disc(phi, 0.5) AS q50_phi, quantile_disc(phi, 0.75) AS q75_phi,
+       max(phi) AS max_phi FROM phi GROUP BY feature"""
     )
     sql["phi_dependence"] = (
         _with(

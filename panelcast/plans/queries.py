@@ -515,9 +515,8 @@ def sarx_forecast(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _train_test(spark, sf)
     model = sarx.fit_sarx(train, EXOG, ORDERS)
     predicted = sarx.forecast_sarx(model, train, test, EXOG, ORDERS)
-    return rounded(
-        metrics.align_forecast(test.select("series_id", "ds", "y"), predicted)
-    )
+    predicted = predicted.withColumn("yhat", F.round("yhat", 3))
+    return rounded(metrics.align_forecast(test.select("series_id", "ds", "y"), predicted))
 
 
 # --- trend and seasonality -----------------------------------------------------------------------
@@ -550,15 +549,20 @@ def trend_season_forecast(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _train_test(spark, sf)
     model = trend_season.fit_trend_season(train, ONE_TRIAL, EXOG, fourier_order=3)
     return rounded(
-        trend_season.predict_trend_season(model, test, EXOG, fourier_order=3)
+        trend_season.predict_trend_season(model, test, EXOG, fourier_order=3), 3
     )
 
 
+def _rounded_scores(scores: DataFrame) -> DataFrame:
+    sizes = {c: F.round(c, 2) for c in ("mae", "mse")}
+    return rounded(scores.withColumns(sizes), 6)
+
+
 @query
 def forecast_grid(spark: SparkSession, sf: str) -> DataFrame:
     train, validate, _ = _parts(spark, sf)
     scores = search.forecast_grid_search(train, validate, GRID, EXOG, fourier_order=3)
-    return rounded(scores.withColumn("mse", F.round("mse", 3)), 6)
+    return _rounded_scores(scores)
 
 
 @query
@@ -567,7 +571,7 @@ def best_forecast(spark: SparkSession, sf: str) -> DataFrame:
     predicted = search.best_forecast(train, validate, test, GRID, EXOG, fourier_order=3)
     scored = metrics.align_forecast(test.select("series_id", "ds", "y"), predicted)
     scores = metrics.metrics(scored, by=["series_id"])
-    return rounded(scores.withColumn("mse", F.round("mse", 3)))
+    return _rounded_scores(scores)
 
 
 # --- tree ensembles ------------------------------------------------------------------------------
@@ -692,13 +696,13 @@ def shap_importance(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def row_decomposition(spark: SparkSession, sf: str) -> DataFrame:
     phi = market.linear_phi(market.model_panel(spark, sf, fine=True))
-    return rounded(attribution.decompose_rows(phi, 3), 8)
+    return attribution.decompose_rows(phi, 3)
 
 
 @query
 def phi_distribution(spark: SparkSession, sf: str) -> DataFrame:
     phi = market.linear_phi(market.model_panel(spark, sf, fine=True))
-    spread = rounded(attribution.phi_distribution(phi, 1_000_000), 8)
+    spread = attribution.phi_distribution(phi, 1_000_000)
     # The mean is zero but for rounding; adding zero drops the sign of a negative zero.
     return spread.withColumn("mean_phi", F.round("mean_phi", 4) + F.lit(0.0))
 
