@@ -412,6 +412,27 @@ def test_grid_search_scores_on_validation_and_keeps_test_apart(spark):
     assert np.abs(a - truth).mean() < 1.0
 
 
+def test_timestamp_panels_equal_date_panels(spark, driven):
+    df, _, _ = driven
+    stamped = df.withColumn("ds", F.col("ds").cast("timestamp_ntz"))
+    got = []
+    for frame in (df, stamped):
+        split = cut(ordered.time_split(frame, horizon=12))
+        train, test = (split.filter(f"split = '{p}'").drop("split") for p in ("train", "test"))
+        model = cut(sarx.fit_sarx(train, ["x_1"], ORDERS))
+        a = sarx.forecast_sarx(model, train, test, ["x_1"], ORDERS)
+        trend = trend_season.fit_trend_season(train, [trial("multiplicative")], ["x_1"])
+        b = trend_season.predict_trend_season(trend, test, ["x_1"])
+        got.append(
+            [
+                f.select("series_id", "ds", "yhat").toPandas().sort_values(["series_id", "ds"]).yhat
+                for f in (a, b)
+            ]
+        )
+    for plain, chunked in zip(*got):
+        np.testing.assert_allclose(plain, chunked, rtol=1e-9)
+
+
 def test_results_do_not_depend_on_layout_or_other_series(spark):
     series = {f"s{i}": seasonal_series(60, i) for i in range(3)}
     full = panel(spark, series).repartition(5)

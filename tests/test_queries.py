@@ -74,7 +74,9 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     assert "lineitem" not in plan(market.market_size(spark, sf))
 
 
-NATIVE = [n for n in sorted(TWINS) if n not in ("adf_test", "adf_test_difference", "should_diff")]
+# These solve small matrices in Python, one row per series; all others are native throughout.
+SOLVED = ("adf_", "should_diff", "sarx_", "trend_season_", "forecast_grid", "best_forecast")
+NATIVE = [n for n in sorted(TWINS) if not n.startswith(SOLVED)]
 
 
 @pytest.mark.parametrize("name", NATIVE)
@@ -85,6 +87,17 @@ def test_sql_queries_stay_in_the_engine(spark, sf, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+@pytest.mark.parametrize("name", ["adf_test", "sarx_coefficients", "trend_season_fit"])
+def test_python_sees_one_row_per_series(spark, sf, name):
+    text = plan(entry.queries()[name](spark, sf))
+    python = [i for i, line in enumerate(text.splitlines()) if "ArrowEvalPython" in line]
+    lines = text.splitlines()
+    assert python
+    for i in python:
+        below = "\n".join(lines[i + 1 : i + 8])
+        assert "Aggregate" in below or "Scan ExistingRDD" in below and "gram" in below
+
+
 def test_windows_over_events_are_split_by_chunk(spark, sf):
     text = plan(entry.queries()["event_lags"](spark, sf))
     spans = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]

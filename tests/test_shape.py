@@ -33,6 +33,14 @@ def test_csv_is_read_as_text_and_cast_strictly(spark, tmp_path):
         shape.cast_numeric(load_panel(spark, str(path)), ["price index"]).collect()
 
 
+def test_other_sources(spark, tmp_path):
+    spark.range(3).createOrReplaceTempView("some_panel")
+    assert load_panel(spark, "some_panel", "table").count() == 3
+    for fmt in ("parquet", "orc"):
+        spark.range(4).write.format(fmt).save(str(tmp_path / fmt))
+        assert load_panel(spark, str(tmp_path / fmt), fmt, "id bigint").count() == 4
+
+
 def test_csv_schema_is_checked_against_the_header(spark, tmp_path):
     path = tmp_path / "panel.csv"
     path.write_text("b,a\n1,x\n")
