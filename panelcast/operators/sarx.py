@@ -152,14 +152,24 @@ def _seasonal_strength(
     return phases.groupBy(*keys).agg(strength.alias("strength"))
 
 
-def _order_search(width: int, subsets: list[list[int]]):
-    """Column function (n, gram) -> fits of all candidate column sets, best first by (aic, id)."""
+def _order_search(
+    width: int, candidates: list[tuple[tuple[int, int, int, int], list[int]]], keep_log: bool
+):
+    """Column function (n, gram) -> the fit with the smallest AIC among all column sets.
+
+    On equal AIC the earlier candidate wins. Coefficients of columns left out are zero.
+    """
+    order_fields = ", ".join(f"{name}:int" for name in ORDER)
+    subsets = [columns for _, columns in candidates]
+    labels = [dict(zip(ORDER, order), candidate=i) for i, (order, _) in enumerate(candidates)]
+    numbers = np.array([order for order, _ in candidates], dtype="int32")
+    names = ORDER
 
     @F.pandas_udf(
-        "array<struct<aic:double, candidate:int, n:bigint, sse:double, "
-        "beta:array<double>, se:array<double>>>"
+        f"struct<{order_fields}, n_obs:bigint, aic:double, sse:double, beta:array<double>, "
+        f"se:array<double>, log:array<struct<candidate:int, {order_fields}, aic:double>>>"
     )
-    def search(n: pd.Series, grams: pd.Series) -> pd.Series:
+    def search(n: pd.Series, grams: pd.Series) -> pd.DataFrame:
         batch, k = len(n), width - 1
         g = np.zeros((batch, width, width))
         upper = np.triu_indices(width)
@@ -170,37 +180,50 @@ def _order_search(width: int, subsets: list[list[int]]):
         scale = np.sqrt(np.maximum(np.einsum("bii->bi", g), 1e-300))[:, :k]
         xx = g[:, :k, :k] / scale[:, :, None] / scale[:, None, :]
         xy = g[:, :k, k] / scale
-        fits: list[list] = [[] for _ in range(batch)]
+        scores = np.full((batch, len(subsets)), np.inf)
+        best = np.full(batch, np.inf)
+        chosen = np.full(batch, -1)
+        beta, se, total = np.zeros((batch, k)), np.zeros((batch, k)), np.zeros(batch)
         with np.errstate(divide="ignore", invalid="ignore"):
             for number, columns in enumerate(subsets):
                 block = xx[:, columns][:, :, columns]
-                block = block + 1e-10 * np.eye(len(columns))
-                inverse = np.linalg.inv(block)
+                inverse = np.linalg.inv(block + 1e-10 * np.eye(len(columns)))
                 part = xy[:, columns]
                 solved = np.einsum("bij,bj->bi", inverse, part)
                 # One refinement takes back what the small diagonal added for stability changes.
-                miss = part - np.einsum("bij,bj->bi", xx[:, columns][:, :, columns], solved)
+                miss = part - np.einsum("bij,bj->bi", block, solved)
                 solved = solved + np.einsum("bij,bj->bi", inverse, miss)
                 sse = np.maximum(g[:, k, k] - np.einsum("bi,bi->b", solved, part), 0.0)
-                aic = rows * np.log(sse / rows) + 2 * len(columns)
                 free = rows - len(columns)
-                variance = np.maximum(sse / free, 0.0)[:, None] * np.einsum("bii->bi", inverse)
-                beta = np.zeros((batch, k))
-                se = np.zeros((batch, k))
-                beta[:, columns] = solved / scale[:, columns]
-                se[:, columns] = np.sqrt(variance) / scale[:, columns]
-                for b in np.flatnonzero((free > 2) & np.isfinite(aic)):
-                    fits[b].append(
-                        {
-                            "aic": aic[b],
-                            "candidate": number,
-                            "n": int(rows[b]),
-                            "sse": sse[b],
-                            "beta": beta[b],
-                            "se": se[b],
-                        }
-                    )
-        return pd.Series([sorted(f, key=lambda r: (r["aic"], r["candidate"])) for f in fits])
+                aic = rows * np.log(sse / rows) + 2 * len(columns)
+                usable = (free > 2) & np.isfinite(aic)
+                scores[:, number] = np.where(usable, aic, np.inf)
+                better = scores[:, number] < best
+                spread = np.sqrt(
+                    np.maximum(sse / free, 0.0)[:, None] * np.einsum("bii->bi", inverse)
+                )
+                full, full_se = np.zeros((batch, k)), np.zeros((batch, k))
+                full[:, columns] = solved / scale[:, columns]
+                full_se[:, columns] = spread / scale[:, columns]
+                best = np.where(better, scores[:, number], best)
+                chosen = np.where(better, number, chosen)
+                total = np.where(better, sse, total)
+                beta = np.where(better[:, None], full, beta)
+                se = np.where(better[:, None], full_se, se)
+        logs: list = [None] * batch
+        if keep_log:
+            logs = [
+                [dict(labels[i], aic=line[i]) for i in np.flatnonzero(np.isfinite(line))]
+                for line in scores
+            ]
+        found = pd.DataFrame(numbers[chosen], columns=list(names))
+        found["n_obs"] = n.to_numpy()
+        found["aic"] = np.where(chosen >= 0, best, np.nan)
+        found["sse"] = total
+        found["beta"] = list(beta)
+        found["se"] = list(se)
+        found["log"] = logs
+        return found
 
     return search
 
@@ -323,43 +346,10 @@ def fit_sarx(
         terms,
         [F.first(c).alias(c) for c in kept],
     )
-    search = _order_search(len(terms), [columns for _, columns in candidates])
-    fits = sums.select(*keys, *kept, search("n", "gram").alias("fits"))
-    table = F.array(
-        *[
-            F.struct(*[F.lit(v).alias(n) for n, v in zip(ORDER, o)])
-            for o, _ in candidates
-        ]
-    )
-
-    def order_of(fit: Column) -> Column:
-        return F.get(table, fit.getField("candidate"))
-
-    best = F.get("fits", F.lit(0))
-    log = F.transform(
-        F.col("fits"),
-        lambda f: F.struct(
-            f.getField("candidate").alias("candidate"),
-            *[order_of(f).getField(n).alias(n) for n in ORDER],
-            f.getField("aic").alias("aic"),
-        ),
-    )
-    extra = [log.alias("log")] if keep_log else []
-    return fits.filter(F.size("fits") > 0).select(
-        *keys,
-        "strength",
-        "seasonal_d",
-        *[order_of(best).getField(n).alias(n) for n in ORDER],
-        best.getField("n").alias("n_obs"),
-        best.getField("aic").alias("aic"),
-        best.getField("sse").alias("sse"),
-        best.getField("beta").alias("beta"),
-        best.getField("se").alias("se"),
-        "ar_beta",
-        "y_scale",
-        "x_scale",
-        *extra,
-    )
+    search = _order_search(len(terms), candidates, keep_log)
+    fits = sums.select(*keys, *kept, search("n", "gram").alias("fit"))
+    model = fits.select(*keys, *kept, "fit.*")
+    return model.filter(~F.isnan("aic")) if keep_log else model.filter(~F.isnan("aic")).drop("log")
 
 
 def order_search_log(model: DataFrame, by: Sequence[str] = ("series_id",)) -> DataFrame:
