@@ -14,7 +14,7 @@ from panelcast.plans.queries import (
     HORIZON,
     ONE_TRIAL,
     ORDERS,
-    REFERENCE_GRID,
+    WIDE_GRID,
     SMOOTHING,
 )
 
@@ -158,7 +158,7 @@ def _values(values: list[object], name: str) -> str:
 
 
 def _grid_sql() -> str:
-    g = REFERENCE_GRID
+    g = WIDE_GRID
     scale, knots, mode = (
         g["changepoint_prior_scale"],
         g["n_changepoints"],

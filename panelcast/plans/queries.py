@@ -38,7 +38,7 @@ GRID = {
     "changepoint_prior_scale": [0.1, 0.2, 0.3, 0.4, 0.5],
     "n_changepoints": [4, 8, 12],
 }
-REFERENCE_GRID = {**GRID, "n_changepoints": [100, 150, 200]}
+WIDE_GRID = {**GRID, "n_changepoints": [100, 150, 200]}
 HORIZON = 12
 
 
@@ -197,12 +197,12 @@ def _all_series(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def param_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return grid.param_grid(_all_series(spark, sf), REFERENCE_GRID)
+    return grid.param_grid(_all_series(spark, sf), WIDE_GRID)
 
 
 @query
 def param_grid_count(spark: SparkSession, sf: str) -> DataFrame:
-    trials = grid.param_grid(_all_series(spark, sf), REFERENCE_GRID)
+    trials = grid.param_grid(_all_series(spark, sf), WIDE_GRID)
     return trials.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_trials"))
 
 
