@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write the rows as Parquet below the checkpoint folder and read them back.
+
+    Like ``cut``, for wider tables: later reads prune columns and know the size.
+    """
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     """The session's broadcast threshold in bytes; 0 where broadcasting is switched off."""
     text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
