@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelcast.llm import pieces
+from panelcast.llm import language, pieces, quality_rules, simhash, toxicity
+from panelcast.llm.text import learned_fold
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +23,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/labels.parquet")
+
+
 def piece_model() -> str:
     """The vocabulary file of a public tokenizer, where it is installed."""
     import public_tokenizers
@@ -28,6 +34,35 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    held_out = learned_fold(F.col("doc_id"), 3, 1)
+    model = toxicity.fit_toxicity(docs, labels(spark, sf), ~held_out)
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query
 def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.encode_pieces(documents(spark, sf), piece_model(), digests=True)
+
+
+@query
+def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf))
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    return quality_rules.quality_rules(docs, quality_rules.fit_quality(docs, labels(spark, sf)))
+
+
+@query
+def op10_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    held_out = learned_fold(F.col("doc_id"), 4, 2)
+    model = language.fit_languages(docs, ~held_out)
+    found = language.predict_languages(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")

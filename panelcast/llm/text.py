@@ -96,7 +96,7 @@ def char_grams(words: pa.Array, sizes: Sequence[int], bits: int) -> tuple[np.nda
         if count <= 0:
             continue
         inside = np.flatnonzero(owner[:count] == owner[n - 1 :])
-        h = np.full(len(inside), np.uint64(n) * MIX_A, dtype=np.uint64)
+        h = np.full(len(inside), (n * int(MIX_A)) % (1 << 64), dtype=np.uint64)
         for k in range(n):
             h = mixed(h + points[inside + k])
         owners.append(owner[inside])
