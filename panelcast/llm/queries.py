@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import language, pieces, quality_rules, simhash, toxicity
+from panelcast.llm import language, pieces, quality_rules, simhash, substring_dedup, toxicity
 from panelcast.llm.text import learned_fold
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,13 @@ def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.encode_pieces(documents(spark, sf), piece_model(), digests=True)
 
 
+@query
+def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(documents(spark, sf))
+    digest = F.sha2("kept_text", 256).alias("kept_sha256")
+    return found.select("doc_id", "n_words", "n_removed", digest)
+
+
 @query
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf))
