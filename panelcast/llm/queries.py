@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import language, pieces, quality_rules, simhash, substring_dedup, toxicity
+from panelcast.llm import language, lattice, pieces, quality_rules, simhash, substring_dedup, toxicity
 from panelcast.llm.text import learned_fold
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf))
 
 
+@query
+def op7_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lattice.near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
