@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import language, lattice, pieces, quality_rules, simhash, substring_dedup, toxicity
+from panelcast.llm import (
+    language,
+    lattice,
+    mixture,
+    pieces,
+    quality_rules,
+    secrets,
+    simhash,
+    substring_dedup,
+    toxicity,
+)
 from panelcast.llm.text import learned_fold
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,11 +70,24 @@ def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf))
 
 
+@query
+def op6_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    found = secrets.scan_secrets(docs, secrets.infer_formats(docs))
+    digest = F.sha2("base_spans", 256).alias("base_sha256")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest, "spans")
+
+
 @query
 def op7_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lattice.near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
 
 
+@query
+def op8_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.mix_sources(documents(spark, sf))
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
