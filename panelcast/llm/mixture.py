@@ -98,32 +98,39 @@ def mix_sources(
     key: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    keep: Sequence[str] = (),
     weights: Sequence[int] = WEIGHTS,
     cap: int = CAP,
     seed: int = SEED,
 ) -> DataFrame:
-    """``key``, size, source_size, target and taken (words the mix takes, repeats counted) per row.
+    """``key``, ``keep``, size, source_size, target and taken (words the mix takes, repeats counted).
 
     Size is the number of words (null text: 0). A null source is a source of its own, last in order; an
     empty text takes nothing. No row takes more than ``cap`` times its size, so a source may end a
     few words below its target. Repeated rows are rows of their own and stand next to each other
     in the seeded order. The order follows a hash of seed and key: reruns agree. An empty table gives an
-    empty one.
+    empty one. Columns of ``keep`` named like a new column are dropped.
     """
+    made = ("size", "source_size", "target", "taken")
+    passed = [c for c in dict.fromkeys(keep) if c != key and c not in made]
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), named(key).cast("string")))
-    sized = stored(
-        docs.select(
-            named(key).alias("key"),
-            named(source).alias("source"),
-            F.coalesce(F.regexp_count(named(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-            digest.alias("place"),
+    sized = docs.select(
+        named(key).alias("__key"),
+        named(source).alias("__source"),
+        F.coalesce(F.regexp_count(named(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+        digest.alias("__place"),
+        *[named(c) for c in passed],
+    )
+    if not passed:  # narrow rows are counted once; wide ones are read again
+        sized = stored(sized)
+    shards = max(1, -(-docs.count() // SHARD_ROWS))
+    number = F.conv(F.substring("__place", 1, 12), 16, 10).cast("bigint") % shards
+    sized = sized.withColumn("__shard", number)
+    parts = stored(
+        sized.groupBy(F.col("__source").alias("source"), F.col("__shard").alias("shard")).agg(
+            F.sum("size").alias("shard_size")
         )
     )
-    rows = sized.count()
-    shards = max(1, -(-rows // SHARD_ROWS))
-    number = F.conv(F.substring("place", 1, 12), 16, 10).cast("bigint") % shards
-    sized = sized.withColumn("shard", number)
-    parts = stored(sized.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")))
     sources = water_fill(parts.groupBy("source").agg(F.sum("shard_size").alias("source_size")), weights, cap)
     blocks = F.round(F.sum("source_size").over(Window.partitionBy()) / BLOCK).cast("bigint")
     sources = stored(
@@ -135,24 +142,55 @@ def mix_sources(
     quotas = sainte_lague(by_source, ["source"], "shard_size", "source_blocks", ["source", "shard"])
     own = F.least(F.col("quota") * BLOCK, F.lit(cap) * F.col("shard_size"))
     quotas = quotas.select(
-        F.col("source").alias("q_source"),
-        F.col("shard").alias("q_shard"),
-        "shard_size",
+        F.col("source").alias("__quota_source"),
+        F.col("shard").alias("__quota_shard"),
+        F.col("shard_size").alias("__shard_size"),
         "source_size",
         "target",
-        own.alias("words"),
+        own.alias("__words"),
     )
-    stream = Window.partitionBy("source", "shard").orderBy("place", "key", "size")
+    stream = Window.partitionBy("__source", "__shard").orderBy("__place", "__key", "size")
     start = F.coalesce(
         F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    placed = sized.withColumn("start", start)
-    joined = placed.join(
-        quotas, placed["source"].eqNullSafe(F.col("q_source")) & (placed["shard"] == F.col("q_shard"))
+    same = F.col("__source").eqNullSafe(F.col("__quota_source"))
+    joined = sized.withColumn("__start", start).join(
+        quotas, same & (F.col("__shard") == F.col("__quota_shard"))
     )
-    whole = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0)
-    rest = F.col("words") - whole * F.col("shard_size") - F.col("start")
+    whole = F.when(F.col("__shard_size") > 0, F.floor(F.col("__words") / F.col("__shard_size"))).otherwise(0)
+    rest = F.col("__words") - whole * F.col("__shard_size") - F.col("__start")
     taken = whole * F.col("size") + F.greatest(F.least(F.col("size"), rest), F.lit(0))
     return joined.select(
-        F.col("key").alias(key), "size", "source_size", "target", taken.cast("bigint").alias("taken")
+        F.col("__key").alias(key),
+        *[named(c) for c in passed],
+        "size",
+        "source_size",
+        "target",
+        taken.cast("bigint").alias("taken"),
+    )
+
+
+def apply_mix(
+    docs: DataFrame,
+    columns: Sequence[str],
+    key: str = "doc_id",
+    text: str = "text",
+    n_chars: str = "n_chars",
+) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them: repeated, cut or left out.
+
+    A row taken two and a half times comes as two whole copies and one with the first half of its
+    words, joined by blanks. Rows without words take nothing and go.
+    """
+    mixed = mix_sources(docs, key, text, keep=columns).filter("taken > 0")
+    copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
+    repeated = mixed.withColumn("__copy", F.explode(copies))
+    left = F.col("taken") - (F.col("__copy") - 1) * F.col("size")
+    words = F.filter(F.split(named(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    part = F.when(left >= F.col("size"), named(text)).otherwise(
+        F.array_join(F.slice(words, F.lit(1), left.cast("int")), " ")
+    )
+    made = {text: F.col("__part"), n_chars: F.length("__part").cast("bigint")}
+    return repeated.withColumn("__part", part).select(
+        *[made[c].alias(c) if c in made else named(c) for c in columns]
     )

@@ -12,6 +12,7 @@ from panelcast.llm import (
     lattice,
     mixture,
     pieces,
+    quality_prior,
     quality_rules,
     secrets,
     simhash,
@@ -70,6 +71,12 @@ def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf))
 
 
+@query
+def op5_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    host, path = F.col("source"), F.concat_ws("/", "source", "lang")
+    return quality_prior.quality_posteriors(documents(spark, sf), labels(spark, sf), host, path)
+
+
 @query
 def op6_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
@@ -101,3 +108,10 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
     model = language.fit_languages(docs, ~held_out)
     found = language.predict_languages(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)

@@ -143,25 +143,25 @@ def map_texts(
     added: Sequence[tuple[str, T.DataType]],
     work: Callable[[], Callable[[pa.Array], Sequence]],
     keep: Sequence[str] = (),
-    replaces: bool = False,
 ) -> DataFrame:
     """Adds columns computed from the text, slice by slice.
 
     ``work()`` runs once per task and returns a function from a text array to the new columns. The
-    result has ``key``, the columns of ``keep`` (without clashing ones) and the new columns;
-    ``replaces`` lets the first new column take the place of the text.
+    result has ``key``, the columns of ``keep`` (without clashing ones) and the new columns.
     """
     names = [n for n, _ in added]
     passed = [key, *[c for c in dict.fromkeys(keep) if c != key and c not in names]]
-    source = df.select(*[named(c) for c in passed], named(text).alias("__text"))
+    column = text if text in passed else "__text"
+    alone = [] if column == text else [named(text).alias("__text")]
+    source = df.select(*[named(c) for c in passed], *alone)
     fields = [*[source.schema[c] for c in passed], *[T.StructField(n, t) for n, t in added]]
     kinds = [_arrow_type(t) for _, t in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = work()
         for batch in batches:
-            for part in slices(batch, "__text"):
-                made = compute(part.column("__text"))
+            for part in slices(batch, column):
+                made = compute(part.column(column))
                 arrays = [
                     a.cast(t) if isinstance(a, pa.Array) else pa.array(a, type=t)
                     for a, t in zip(made, kinds)
