@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.expressions import named
 
-EXACT_FEATURES = 10  # up to here all coalitions are scored, beyond it permutations are drawn
 
 
 def background_rows(
@@ -57,11 +56,9 @@ def _coalition_values(
     scored = model.transform(
         spread.select("__row", "__x", "__mask", array_to_vector(mixed).alias("features"))
     )
-    means = scored.groupBy("__row", "__mask").agg(
-        F.first("__x").alias("__x"), F.avg("prediction").alias("__mean")
-    )
-    return means.groupBy("__row").agg(
-        F.first("__x").alias("__x"),
+    # the inputs are part of the key: an array among the aggregates would sort the scored rows
+    means = scored.groupBy("__row", "__x", "__mask").agg(F.avg("prediction").alias("__mean"))
+    return means.groupBy("__row", "__x").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("__mask", "__mean"))),
             lambda s: s.getField("__mean"),
@@ -116,15 +113,18 @@ def shapley(
     n_background: int = 100,
     n_perm: int = 10,
     seed: int = 21,
+    method: str = "exact",
 ) -> DataFrame:
     """(key, feature, value, phi): the share of each feature in each prediction.
 
-    Absent features take the values of ``n_background`` reference rows. Up to ten features the
-    values are exact for that reference; with more, ``n_perm`` feature orders are drawn. Either way
+    Absent features take the values of ``n_background`` reference rows. ``method`` 'exact' scores all
+    coalitions, two to the number of features; 'sampled' draws ``n_perm`` feature orders. Either way
     the shares of a row sum to its prediction minus the mean prediction of the reference rows.
     """
+    if method not in ("exact", "sampled"):
+        raise ValueError("method must be 'exact' or 'sampled'")
     m = len(features)
-    plan = _exact_plan(m) if m <= EXACT_FEATURES else _sampled_plan(m, n_perm, seed)
+    plan = _exact_plan(m) if method == "exact" else _sampled_plan(m, n_perm, seed)
     masks, weights = plan
     prepared = rows.select(
         F.struct(*[named(c) for c in key]).alias("__row"),

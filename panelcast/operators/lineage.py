@@ -68,7 +68,7 @@ def attach_facts(
     keys: Sequence[str],
     how: str = "left",
     stored: bool = False,
-    salts: int = 8,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join a table of one or few rows per group to the data rows; they stay put if it is small.
 
@@ -77,8 +77,12 @@ def attach_facts(
     is measured. Within the session's broadcast threshold they are broadcast. Beyond it they are
     repeated per salt and the join is by key and salt: a group is spread over tasks, a later
     aggregation by key still reduces rows before its shuffle, and adaptive execution may split
-    what is left of a crowded group. ``stored`` says that the facts are written already.
+    what is left of a crowded group. The number of salts follows
+    ``spark.sql.shuffle.partitions`` unless given. ``stored`` says that the facts are written already.
     """
+    if salts is None:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salts = max(8, parts // 8)
     if not stored:
         facts = cut(facts)
     size = facts.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0

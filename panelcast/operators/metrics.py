@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.functions.expressions import named
+from panelcast.functions.expressions import missing_to_null, named
 from panelcast.operators.shape import KEY
 
 EPSILON = 2.220446049250313e-16  # fixed value: smallest divisor of a percentage error
@@ -19,9 +19,10 @@ def metrics(
 ) -> DataFrame:
     """n, R2, MAE, MAPE (a fraction) and MSE in one pass, per group if asked.
 
-    The spread of ``y`` comes from a running variance, not from a second pass for its mean.
+    Rows with a missing value (NULL or NaN) on either side do not count. The spread of ``y`` comes from a running variance, not from a second pass for its mean.
     """
-    pair = df.filter(named(y).isNotNull() & named(yhat).isNotNull())
+    pair = df.withColumns({c: missing_to_null(named(c)) for c in (y, yhat)})
+    pair = pair.filter(named(y).isNotNull() & named(yhat).isNotNull())
     error = named(y) - named(yhat)
     spread = F.var_pop(named(y)) * F.count(F.lit(1))
     return pair.groupBy(*[named(c) for c in by]).agg(

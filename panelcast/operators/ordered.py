@@ -2,9 +2,11 @@
 
 How the rows of a series are spread decides whether these scale:
 
-* ``ds`` is a DATE. (series, ds) is unique, so the calendar bounds a series at 366 rows a year.
+* The order is one DATE column. (series, ds) is unique, so the calendar bounds a series at 366 rows a
+  year.
   A window partitioned by series is then bounded too, and costs one shuffle.
-* ``ds`` is a timestamp. One series may hold any share of all rows. The series is cut into chunks
+* Anything else: a timestamp, a DATE with a column that breaks ties, a whole table. One series
+  may hold any share of all rows. The series is cut into chunks
   of its order; each chunk receives the few rows before it that a trailing frame can reach, and a
   header with the number of rows before it. The window is partitioned by (series, chunk), so the
   rows still cross one shuffle and no task holds a whole series. Results are the same.
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.functions.expressions import named
+from panelcast.functions.expressions import missing_to_null, named
 from panelcast.operators.lineage import attach_facts
 
 _ROW, _HALO, _HEADER = 2, 1, 0
@@ -31,9 +33,13 @@ SAMPLE_LIMIT = 1_000_000
 Build = Callable[[WindowSpec, Column, Column], dict[str, Column]]
 
 
-def calendar_bounded(df: DataFrame, order: Sequence[str]) -> bool:
-    """True when the order column is a DATE, which bounds the rows of a series."""
-    return isinstance(df.schema[order[0]].dataType, T.DateType)
+def calendar_bounded(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> bool:
+    """True when a series is ordered by one DATE column alone, which bounds its rows.
+
+    With a second order column many rows may share a date, and without a group key the whole table
+    would be one series.
+    """
+    return bool(by) and len(order) == 1 and isinstance(df.schema[order[0]].dataType, T.DateType)
 
 
 def join_series(
@@ -44,7 +50,7 @@ def join_series(
     On a DATE panel the join lays the rows out by series, which the window needs anyway. Else the
     rows are not gathered by series at all.
     """
-    if calendar_bounded(df, order):
+    if calendar_bounded(df, by, order):
         return df.join(facts, list(by))
     return attach_facts(df, facts, by, "inner")
 
@@ -91,7 +97,7 @@ def over_rows(
     """
     groups = [named(c) for c in by]
     ordering = [named(c) for c in order]
-    if chunk is None and calendar_bounded(df, order):
+    if chunk is None and calendar_bounded(df, by, order):
         window = Window.partitionBy(*groups).orderBy(*ordering)
         whole = Window.partitionBy(*groups)
         made = build(window, F.row_number().over(window), F.count(F.lit(1)).over(whole))
@@ -168,8 +174,9 @@ def rolling_mean(
 
     def build(w: WindowSpec, position: Column, total: Column) -> dict[str, Column]:
         frame = w.rowsBetween(1 - n, 0)
-        full = F.count(named(col)).over(frame) == n
-        return {name or f"{col}_mean_{n}": F.when(full, F.avg(named(col)).over(frame))}
+        value = missing_to_null(named(col))
+        full = F.count(value).over(frame) == n
+        return {name or f"{col}_mean_{n}": F.when(full, F.avg(value).over(frame))}
 
     return over_rows(df, by, order, n - 1, build, chunk)
 
@@ -186,7 +193,8 @@ def difference(
     """Value minus the value ``lag`` rows earlier in the series."""
 
     def build(w: WindowSpec, position: Column, total: Column) -> dict[str, Column]:
-        return {name or f"{col}_diff_{lag}": named(col) - F.lag(named(col), lag).over(w)}
+        value = missing_to_null(named(col))
+        return {name or f"{col}_diff_{lag}": value - F.lag(value, lag).over(w)}
 
     return over_rows(df, by, order, lag, build, chunk)
 
@@ -266,12 +274,15 @@ def time_folds(df: DataFrame, k: int, ds: str = "ds") -> DataFrame:
     dates of the folds go back to the data rows, as one small array: no join on a crowded date.
     """
     dates = df.select(named(ds)).distinct()
+    # distinct dates of a year are few; moments are cut at sampled quantiles
+    yearly = F.year(named(ds)) if isinstance(df.schema[ds].dataType, T.DateType) else None
     folds = over_rows(
         dates,
         [],
         [ds],
         0,
         lambda w, position, total: {"fold": fold_number(position, total, k)},
+        yearly,
     )
     starts = folds.groupBy("fold").agg(F.min(named(ds)).alias("start"))
     ordered = starts.agg(F.array_sort(F.collect_list("start")).alias("starts")).scalar()
@@ -310,13 +321,17 @@ def random_split(
     frac: float = 0.2,
     seed: int = 21,
     by: Sequence[str] = (),
-    prefix: int = 3,
+    prefix: int | None = None,
 ) -> DataFrame:
     """Append ``split``: exactly ``ceil(frac * n)`` rows of each group become 'test'.
 
     Rows are ordered by a hash of key and seed, so the draw does not depend on partitioning.
-    The leading ``prefix`` hex digits of the hash are the chunks: 4,096 even parts of any group.
+    The leading ``prefix`` hex digits of the hash are the chunks, even parts of any group: by default
+    at least 16 for each partition of ``spark.sql.shuffle.partitions``, and 4,096 at least.
     """
+    if prefix is None:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        prefix = max(3, math.ceil(math.log(16 * parts, 16)))
     hashed = df.withColumn(
         "__hash", F.md5(F.concat_ws("|", *[named(c).cast("string") for c in key], F.lit(str(seed))))
     )

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.expressions import dot, named
 from panelcast.operators.gram import gram, ols
+from panelcast.operators.lineage import cut
 from panelcast.operators.ordered import join_series, over_rows
 
 ORDER = ("p", "q", "seasonal_p", "seasonal_q")
@@ -28,8 +29,8 @@ SEASONAL_STRENGTH = 0.64  # fixed value: Wang, Smith and Hyndman (2006)
 class Orders:
     """Bounds of the order search and the design they need.
 
-    ``history`` caps the lags at a third of the training length, so that a short series is not
-    asked for seasonal terms it cannot fill.
+    The bounds hold as given. ``history``, the training length, caps the lags at its third where it
+    is named, so that a short series is not asked for seasonal terms it cannot fill.
     """
 
     def __init__(
@@ -40,10 +41,11 @@ class Orders:
         max_P: int = 5,
         max_Q: int = 5,
         max_order: int = 5,
-        history: int = 48,
+        history: int | None = None,
         long_ar: int = 8,
     ) -> None:
-        room = max(history // 3, 1)
+        most = max(max_p, max_q, long_ar, m * max(max_P, max_Q))
+        room = most if history is None else max(history // 3, 1)
         self.m = m
         self.p = min(max_p, room, m - 1 if m > 1 else max_p)
         self.q = min(max_q, room, m - 1 if m > 1 else max_q)
@@ -225,7 +227,8 @@ def _order_search(
         found["log"] = logs
         return found
 
-    return search
+    # evaluated once: a filter on its result must not be pushed through it
+    return search.asNondeterministic()
 
 
 def _scales(panel: DataFrame, y: str, exog: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -314,7 +317,8 @@ def fit_sarx(
     rows = rows.na.drop(subset=[y, *exog])
     scales = _scales(rows, y, exog, by)
     seasonal = _seasonal_strength(rows, orders.m, y, by, order)
-    facts = _with_seasonal_d(scales.join(seasonal, list(by), "left"))
+    # one row per series, read by several passes
+    facts = cut(_with_seasonal_d(scales.join(seasonal, list(by), "left")))
     flat = _stationary(join_series(rows, facts, by, order), y, exog, orders.m, by, order)
 
     h = orders.long_ar
@@ -322,8 +326,10 @@ def fit_sarx(
     lagged = _with_lags(flat, {"__z": range(1, h + 1)}, by, order)
     target = F.col("__z")
     first_pass = gram(lagged.filter(_complete([*design, target])), by, [*design, target])
-    long_fit = first_pass.select(
-        *keys, ols(len(design) + 1)("n", "gram").getField("beta").alias("ar_beta")
+    long_fit = cut(
+        first_pass.select(
+            *keys, ols(len(design) + 1)("n", "gram").getField("beta").alias("ar_beta")
+        )
     )
 
     known = join_series(lagged, long_fit, by, order).withColumn(
@@ -340,12 +346,9 @@ def fit_sarx(
     ]
     candidates = orders.candidates(exog)
     kept = ("y_scale", "x_scale", "strength", "seasonal_d", "ar_beta")
-    sums = gram(
-        full.filter(_complete([*terms, F.col("__e")])),
-        by,
-        terms,
-        [F.first(c).alias(c) for c in kept],
-    )
+    # arrays among the aggregates would sort the data rows; the facts join the sums
+    sums = gram(full.filter(_complete([*terms, F.col("__e")])), by, terms)
+    sums = sums.join(facts, list(by)).join(long_fit, list(by))
     search = _order_search(len(terms), candidates, keep_log)
     fits = sums.select(*keys, *kept, search("n", "gram").alias("fit"))
     model = fits.select(*keys, *kept, "fit.*")
@@ -402,10 +405,12 @@ def forecast_sarx(
     by: Sequence[str] = ("series_id",),
     order: Sequence[str] = ("ds",),
 ) -> DataFrame:
-    """(by, order columns, yhat) for every future row, by recursion inside each series.
+    """(by, order columns, yhat, reason) for every future row, by recursion inside each series.
 
     Only the last rows of the history that a lag can reach, and the future rows, are gathered per
-    series. ``future`` holds the regressors and must follow the history directly.
+    series. ``future`` holds the regressors and must follow the history directly. From the first
+    missing regressor or past value that the model uses on, ``yhat`` is NULL with the reason
+    'missing input'; a series without a model or history has NULLs with the reason 'no model'.
     """
     orders = orders or Orders()
     m = orders.m
@@ -439,7 +444,7 @@ def forecast_sarx(
         *spine,
         (named(y) / F.col("y_scale")).alias("y"),
         F.col("__z").alias("z"),
-        F.coalesce("__e", F.lit(0.0)).alias("e"),
+        F.col("__e").alias("e"),
         x_array.alias("x"),
     )
     gathered = needed.groupBy(*keys).agg(
@@ -451,22 +456,25 @@ def forecast_sarx(
     plain = 1 + len(orders.y_lags) + len(orders.e_lags)
 
     def back(values: Column, i: int) -> Column:
-        return F.coalesce(F.try_element_at(values, F.lit(-i)), F.lit(0.0))
+        return F.try_element_at(values, F.lit(-i))
+
+    def share(weight: Column, value: Column) -> Column:
+        """A term of the forecast: missing if its value is, unless the model leaves it out."""
+        return F.when(weight == 0, F.lit(0.0)).otherwise(weight * value)
 
     def step(state: Column, row: Column) -> Column:
         zs, es, ys = state.getField("z"), state.getField("e"), state.getField("y")
         beta = F.col("beta")
         z = F.get(beta, F.lit(0))
         for i, lag in enumerate(orders.y_lags, 1):
-            z = z + F.get(beta, F.lit(i)) * back(zs, lag)
+            z = z + share(F.get(beta, F.lit(i)), back(zs, lag))
         for i, lag in enumerate(orders.e_lags, 1 + len(orders.y_lags)):
-            z = z + F.get(beta, F.lit(i)) * back(es, lag)
+            z = z + share(F.get(beta, F.lit(i)), back(es, lag))
         for i in range(len(exog)):
-            x = F.get(row.getField("x"), F.lit(i))
-            z = z + F.get(beta, F.lit(plain + i)) * F.coalesce(x, F.lit(0.0))
+            z = z + share(F.get(beta, F.lit(plain + i)), F.get(row.getField("x"), F.lit(i)))
         level = z + back(ys, 1)
         if m > 1:
-            level = level + F.col("seasonal_d") * (back(ys, m) - back(ys, m + 1))
+            level = level + share(F.col("seasonal_d"), back(ys, m) - back(ys, m + 1))
         return F.struct(
             F.concat(zs, F.array(z)).alias("z"),
             F.concat(es, F.array(F.lit(0.0))).alias("e"),
@@ -474,17 +482,25 @@ def forecast_sarx(
         )
 
     def series(name: str) -> Column:
-        return F.transform(F.col("past"), lambda r: F.coalesce(r.getField(name), F.lit(0.0)))
+        return F.transform(F.col("past"), lambda r: r.getField(name))
 
     start = F.struct(*[series(n).alias(n) for n in ("z", "e", "y")])
     path = F.aggregate(F.col("ahead"), start, step, lambda s: s.getField("y"))
     predicted = F.slice(path, F.size("past") + 1, F.size("ahead"))
-    return (
+    paths = (
         gathered.withColumn("__path", predicted)
         .select(*keys, "y_scale", F.inline(F.arrays_zip("ahead", "__path")))
         .select(
             *keys,
             *[F.col("ahead").getField(c).alias(c) for c in order],
             (F.col("__path") * F.col("y_scale")).alias("yhat"),
+            F.lit(True).alias("__modelled"),
         )
     )
+    reason = F.when(F.col("yhat").isNull(), F.when(F.col("__modelled"), "missing input").otherwise("no model"))
+    return (
+        ahead.select(*keys, *spine)
+        .join(paths, [*by, *order], "left")
+        .withColumn("reason", reason)
+        .drop("__modelled")
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from panelcast.functions.expressions import named
 from panelcast.operators.grid import grid_points
+from panelcast.operators.lineage import cut
 from panelcast.operators.metrics import best_trial, metrics
 from panelcast.operators.trend_season import fit_trend_season, predict_trend_season
 
@@ -48,14 +49,15 @@ def best_forecast(
 ) -> DataFrame:
     """Choose each series' best trial on ``validate``, refit on train and validate, forecast.
 
-    The test rows take no part in the choice. The refit solves the whole grid from the same Gram
-    matrices and keeps the chosen trial of each series.
+    The test rows take no part in the choice. The refit forms and solves the chosen trial of each
+    series alone.
     """
     scores = forecast_grid_search(train, validate, grid, exog, period, fourier_order, by)
-    best = best_trial(scores, "mape", "min", by).select(*[named(c) for c in by], "trial_id")
+    best = cut(best_trial(scores, "mape", "min", by).select(*[named(c) for c in by], "trial_id"))
     everything = train.unionByName(validate)
-    refit = fit_trend_season(everything, grid_points(grid), exog, period, fourier_order, by=by)
-    chosen = refit.join(best, [*by, "trial_id"], "left_semi")
+    refit = fit_trend_season(
+        everything, grid_points(grid), exog, period, fourier_order, by=by, chosen=best
+    )
     return predict_trend_season(
-        chosen, future, exog, period, fourier_order, interval_width, by=by
+        refit, future, exog, period, fourier_order, interval_width, by=by
     )

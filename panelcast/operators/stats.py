@@ -11,22 +11,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.expressions import missing_to_null, named
 from panelcast.operators.lineage import attach_facts
 
-_WIDE = 40
+PAIR_BLOCK = 28  # columns of a block; the pairs of two blocks share one aggregation
 
 
 def column_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Minimum and maximum of every column in one pass, as rows (group, feature, min, max)."""
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.min(named(c)).alias(f"lo_{i}"), F.max(named(c)).alias(f"hi_{i}")]
+        value = missing_to_null(named(c))
+        aggs += [F.min(value).alias(f"lo_{i}"), F.max(value).alias(f"hi_{i}")]
     groups = [named(c) for c in by]
     wide = df.groupBy(*groups).agg(*aggs)
     entries = F.array(
@@ -70,16 +71,16 @@ def minmax_scale(
     """Scale columns into [0, 1]; a constant column becomes 0 and a missing value stays missing."""
     stats = {}
     for i, c in enumerate(cols):
-        stats[f"lo_{i}"] = F.min(named(c))
-        stats[f"hi_{i}"] = F.max(named(c))
+        stats[f"lo_{i}"] = F.min(missing_to_null(named(c)))
+        stats[f"hi_{i}"] = F.max(missing_to_null(named(c)))
 
     def build(get):
         new = {}
         for i, c in enumerate(cols):
-            lo, hi = get(f"lo_{i}"), get(f"hi_{i}")
+            lo, hi, value = get(f"lo_{i}"), get(f"hi_{i}"), missing_to_null(named(c))
             # 0 * x keeps NULL for a missing value of a constant column.
-            new[c] = F.when(hi == lo, named(c) * 0.0).otherwise(
-                (named(c) - lo) / F.nullif(hi - lo, F.lit(0.0))
+            new[c] = F.when(hi == lo, value * 0.0).otherwise(
+                (value - lo) / F.nullif(hi - lo, F.lit(0.0))
             )
         return _replace(df, new)
 
@@ -92,14 +93,14 @@ def standardize(
     """Centre and divide by the population deviation; a constant column becomes 0."""
     stats = {}
     for i, c in enumerate(cols):
-        stats[f"mu_{i}"] = F.avg(named(c))
-        stats[f"sd_{i}"] = F.stddev_pop(named(c))
+        stats[f"mu_{i}"] = F.avg(missing_to_null(named(c)))
+        stats[f"sd_{i}"] = F.stddev_pop(missing_to_null(named(c)))
 
     def build(get):
         new = {}
         for i, c in enumerate(cols):
             sd = get(f"sd_{i}")
-            centred = named(c) - get(f"mu_{i}")
+            centred = missing_to_null(named(c)) - get(f"mu_{i}")
             new[c] = F.when(sd == 0, centred).otherwise(centred / F.nullif(sd, F.lit(0.0)))
         return _replace(df, new)
 
@@ -152,14 +153,22 @@ def fill_own_mean(
 def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every column pair j < i, as rows (i, j, column, earlier, corr).
 
-    Up to 40 columns all pairs share one native aggregation. Wider tables go through the
-    distributed matrix product of ``Correlation``, which needs complete rows.
+    Each pair uses the rows where both values are present, whatever the number of columns. The pairs
+    of two blocks of columns share one native aggregation, which reads these columns only.
     """
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i)]
-    if len(cols) <= _WIDE:
-        wide = df.agg(
-            *[F.corr(named(cols[i]), named(cols[j])).alias(f"r_{i}_{j}") for i, j in pairs]
-        )
+    starts = range(0, len(cols), PAIR_BLOCK)
+    blocks = [(p, q) for p in starts for q in starts if q <= p]
+
+    def block(p: int, q: int) -> DataFrame | None:
+        pairs = [
+            (i, j)
+            for i in range(p, min(p + PAIR_BLOCK, len(cols)))
+            for j in range(q, min(q + PAIR_BLOCK, i))
+        ]
+        if not pairs:
+            return None
+        value = {i: missing_to_null(named(cols[i])) for pair in pairs for i in pair}
+        wide = df.agg(*[F.corr(value[i], value[j]).alias(f"r_{i}_{j}") for i, j in pairs])
         entries = [
             F.struct(
                 F.lit(i).alias("i"),
@@ -171,13 +180,13 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             for i, j in pairs
         ]
         return wide.select(F.inline(F.array(*entries)))
-    complete = df.select(*[named(c) for c in cols]).na.drop()
-    vectors = VectorAssembler(inputCols=list(cols), outputCol="features").transform(complete)
-    matrix = Correlation.corr(vectors, "features").first()[0].toArray()
-    return df.sparkSession.createDataFrame(
-        [(i, j, cols[i], cols[j], float(matrix[i, j])) for i, j in pairs],
-        "i int, j int, column string, earlier string, corr double",
-    )
+
+    parts = [part for p, q in blocks if (part := block(p, q)) is not None]
+    if not parts:
+        return df.sparkSession.createDataFrame(
+            [], "i int, j int, column string, earlier string, corr double"
+        )
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 def correlated_columns(

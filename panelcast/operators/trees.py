@@ -35,13 +35,18 @@ def prepare(
     return VectorAssembler(inputCols=names, outputCol="features").transform(filled), names
 
 
+def _checked_depth(params: Mapping[str, object]) -> None:
+    if int(params.get("maxDepth", 0)) > MAX_DEPTH:
+        raise ValueError(f"trees grow to depth {MAX_DEPTH} at most")
+
+
 def gbt(label: str = "y", seed: int = 21, **params: object) -> GBTRegressor:
+    _checked_depth(params)
     return GBTRegressor(featuresCol="features", labelCol=label, seed=seed, **params)
 
 
 def forest(label: str = "y", seed: int = 21, **params: object) -> RandomForestRegressor:
-    if "maxDepth" in params:
-        params["maxDepth"] = min(int(params["maxDepth"]), MAX_DEPTH)
+    _checked_depth(params)
     return RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed, **params)
 
 

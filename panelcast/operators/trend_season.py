@@ -32,7 +32,6 @@ from panelcast.operators.stationarity import longest_series
 TREND_PRIOR = 5.0
 SEASON_PRIOR = 10.0
 KNOT_SHARE = 0.8
-FEW_KNOTS = 25
 
 Trial = Mapping[str, object]
 
@@ -146,11 +145,13 @@ def fit_trend_season(
     y: str = "y",
     ds: str = "ds",
     by: Sequence[str] = ("series_id",),
+    chosen: DataFrame | None = None,
 ) -> DataFrame:
     """One model row per series and trial.
 
     A trial names ``seasonality_mode`` ('additive' or 'multiplicative'), ``n_changepoints`` and
     ``changepoint_prior_scale``. Knots are clipped per series to the first 80 % of its rows.
+    ``chosen`` (by, trial_id) names one trial per series; only its design is formed and solved.
     """
     keys = [named(c) for c in by]
     rows = panel.select(*keys, named(ds), named(y), *[named(c) for c in exog]).na.drop(
@@ -158,10 +159,26 @@ def fit_trend_season(
     )
     designs = _designs(trials)
     knots = max(n for _, n in designs)
-    if knots > FEW_KNOTS:
-        # Knots beyond the longest history would only widen the design with zeros.
-        knots = min(knots, max(int(KNOT_SHARE * longest_series(rows, by)) - 1, 0))
-    facts = cut(_facts(rows, exog, y, ds, by))
+    # Knots beyond the longest history would only widen the design with zeros.
+    knots = min(knots, max(int(KNOT_SHARE * longest_series(rows, by)) - 1, 0))
+    facts = _facts(rows, exog, y, ds, by)
+    if chosen is not None:
+        listed = [
+            (number, str(t["seasonality_mode"]), int(t["n_changepoints"]))
+            for number, t in enumerate(trials, 1)
+        ]
+        picked = F.array(
+            *[F.struct(*[F.lit(x).alias(n) for x, n in zip(t, ("id", "mode", "knots"))]) for t in listed]
+        )
+        one = F.element_at(picked, F.col("trial_id"))
+        wanted_design = chosen.select(
+            *keys,
+            F.col("trial_id").alias("__trial"),
+            one.getField("mode").alias("__mode"),
+            one.getField("knots").alias("__knots"),
+        )
+        facts = facts.join(wanted_design, list(by))
+    facts = cut(facts)
     joined = attach_facts(rows, facts, by, "inner", stored=True)
     counts = sorted({n for _, n in designs})
     room = F.greatest(F.floor(F.col("n_rows") * KNOT_SHARE) - 1, F.lit(0))
@@ -170,6 +187,9 @@ def fit_trend_season(
         return frame.withColumn("n_knots", F.least(F.col("n_changepoints"), room).cast("int"))
 
     def spread(frame: DataFrame, requested: Sequence[int]) -> DataFrame:
+        if chosen is not None:
+            own = frame.filter(F.col("__knots").isin(list(requested)))
+            return with_knots(own.withColumn("n_changepoints", F.col("__knots")))
         asked = F.explode(F.array(*[F.lit(n) for n in requested]))
         return with_knots(frame.select("*", asked.alias("n_changepoints")))
 
@@ -241,13 +261,18 @@ def fit_trend_season(
             "n_changepoints",
             F.get(ridge("n", "gram", base_scale), F.lit(0)).getField("beta").alias("base"),
         )
-        frame = attach_facts(spread(joined, weighted_counts), base, group, "inner")
+        weighted = joined
+        if chosen is not None:
+            weighted = joined.filter(F.col("__mode") == "multiplicative")
+        frame = attach_facts(spread(weighted, weighted_counts), base, group, "inner")
         trend = _trend_terms(frame, ds, knots)
         weight = dot(F.slice("base", 1, trend_width), F.array(*trend))
         results.append(solved(passes(frame, weight), "multiplicative"))
     model = results[0]
     for more in results[1:]:
         model = model.unionByName(more)
+    if chosen is not None:
+        model = model.join(chosen.select(*keys, "trial_id"), [*by, "trial_id"], "left_semi")
     return model
 
 
@@ -264,12 +289,13 @@ def predict_trend_season(
 ) -> DataFrame:
     """(by, ds, keep, trial_id, yhat, yhat_lower, yhat_upper) for every row and model of its series.
 
+    Rows of a series without a model come once, with NULLs.
     The interval covers the residual noise only, not the uncertainty of the future trend.
     """
     keys = [named(c) for c in by]
     taken = dict.fromkeys([*exog, *[c for c in keep if c in rows.columns]])
     frame = attach_facts(
-        rows.select(*keys, named(ds), *[named(c) for c in taken]), model, by, "inner"
+        rows.select(*keys, named(ds), *[named(c) for c in taken]), model, by, "left"
     )
     season = _season_terms(frame, ds, period, fourier_order, exog)
     width = F.size("beta") - len(season)

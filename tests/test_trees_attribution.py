@@ -33,7 +33,7 @@ def test_gaps_are_filled_and_flagged(table):
 
 
 @pytest.mark.parametrize(
-    "make", [lambda: trees.gbt(maxIter=10, maxDepth=3), lambda: trees.forest(maxDepth=99)]
+    "make", [lambda: trees.gbt(maxIter=10, maxDepth=3), lambda: trees.forest(maxDepth=30)]
 )
 def test_ensembles_fit_and_rank_the_strong_feature(table, make):
     estimator = make()
