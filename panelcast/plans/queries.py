@@ -81,6 +81,14 @@ def scan_panel(spark: SparkSession, sf: str) -> DataFrame:
     return orders.select("o_orderkey", F.to_date("o_orderdate").alias("ds"), "o_totalprice")
 
 
+@query
+def scan_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows by a name in the catalog."""
+    spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("orders_panel")
+    orders = load_panel(spark, "orders_panel", "table")
+    return orders.select("o_orderkey", F.to_date("o_orderdate").alias("ds"), "o_totalprice")
+
+
 @query
 def filter_measure(spark: SparkSession, sf: str) -> DataFrame:
     return shape.slice_panel(market.long_panel(spark, sf), measure="volume").select(
@@ -664,6 +672,88 @@ def refit_topk_score(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Trees over features of few whole values: every candidate split is exact, so SQL grows the same.
+
+STUMP_FEATURES = ["x_month", "x_price_k", "x_year"]
+WHOLE_TREE = {"numTrees": 1, "maxDepth": 2, "bootstrap": False, "featureSubsetStrategy": "all"}
+
+
+def _stump_panel(spark: SparkSession, sf: str) -> DataFrame:
+    panel = market.model_panel(spark, sf, fine=True)
+    return panel.select(
+        "series_id",
+        "ds",
+        "y",
+        F.month("ds").cast("double").alias("x_month"),
+        F.floor(F.coalesce("x_price", F.lit(0.0)) / 2000).cast("double").alias("x_price_k"),
+        F.year("ds").cast("double").alias("x_year"),
+    )
+
+
+def _stump_predictions(spark: SparkSession, sf: str, estimator) -> DataFrame:
+    keep = ["series_id", "ds", "y"]
+    return rounded(trees.fit_predict(_stump_panel(spark, sf), STUMP_FEATURES, estimator, keep))
+
+
+@query
+def tree_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    return _stump_predictions(spark, sf, trees.forest(**WHOLE_TREE))
+
+
+@query
+def gbt_two_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    return _stump_predictions(spark, sf, trees.gbt(maxIter=2, maxDepth=1, stepSize=0.2))
+
+
+@query
+def gbt_alt_one_round(spark: SparkSession, sf: str) -> DataFrame:
+    return _stump_predictions(spark, sf, trees.gbt(maxIter=1, maxDepth=1, minInstancesPerNode=60))
+
+
+def _stump_importance(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    table, names = trees.prepare(_stump_panel(spark, sf), STUMP_FEATURES)
+    table = cut(table)
+    model = trees.forest(**WHOLE_TREE).fit(table)
+    return table, trees.importance_frame(table, model, names, "forest")
+
+
+@query
+def tree_importance(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_stump_importance(spark, sf)[1], 6)
+
+
+@query
+def tree_importance_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(trees.rank_importance(_stump_importance(spark, sf)[1], 2), 6)
+
+
+@query
+def tree_topk_projection(spark: SparkSession, sf: str) -> DataFrame:
+    table, ranking = _stump_importance(spark, sf)
+    best = shape.select_ranked(table, ranking, 1, ["series_id", "ds"])
+    name = best.columns[-1]
+    return best.select("series_id", "ds", F.lit(name).alias("best_feature"), F.col(name).alias("best_value"))
+
+
+@query
+def tree_refit_score(spark: SparkSession, sf: str) -> DataFrame:
+    panel, key = _stump_panel(spark, sf), ["series_id", "ds"]
+    estimator = trees.forest(**WHOLE_TREE)
+    scores = trees.rank_refit_score(panel, STUMP_FEATURES, estimator, 1, key, "forest")
+    best = F.get("features_used", F.lit(0)).alias("best_feature")
+    return rounded(scores.select("model", "split", "n", "r2", "mae", best), 6)
+
+
+@query
+def tree_search_trials(spark: SparkSession, sf: str) -> DataFrame:
+    estimator = trees.forest(**WHOLE_TREE)
+    trials, _ = trees.random_search(
+        _stump_panel(spark, sf), STUMP_FEATURES, estimator, {"maxDepth": [1, 2]}, n_iter=2, folds=3
+    )
+    depth = F.col("params").getItem("maxDepth").alias("max_depth")
+    return rounded(trials.select("trial_id", depth, "mean_score"), 6)
+
+
 # --- attribution ---------------------------------------------------------------------------------
 
 
