@@ -687,7 +687,7 @@ filled AS MATERIALIZED (SELECT series_id, ds, y, {filled} FROM scaled),
 reference AS (
   SELECT {means} FROM (
     SELECT * FROM filled
-    ORDER BY md5(concat_ws('|', series_id, CAST(ds AS VARCHAR), '21')) LIMIT 20)),
+    ORDER BY md5(concat_ws('|', series_id, CAST(ds AS VARCHAR), '21')) LIMIT 100)),
 pooled AS (
   SELECT 'all' AS series_id, CAST(1 AS DOUBLE) AS one, {", ".join(FEATURES)}, y FROM filled)"""
     ]

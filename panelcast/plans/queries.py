@@ -573,6 +573,14 @@ def forecast_grid(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded_scores(scores)
 
 
+@query
+def forecast_grid_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid with 100 to 200 knots, which each series clips to its history."""
+    train, validate, _ = _parts(spark, sf)
+    scores = search.forecast_grid_search(train, validate, WIDE_GRID, EXOG, fourier_order=3)
+    return _rounded_scores(scores)
+
+
 @query
 def best_forecast(spark: SparkSession, sf: str) -> DataFrame:
     train, validate, test = _parts(spark, sf)
@@ -584,9 +592,9 @@ def best_forecast(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- tree ensembles ------------------------------------------------------------------------------
 
-SMALL_GBT = {"maxIter": 5, "maxDepth": 3, "stepSize": 0.2}
-ALT_GBT = {"maxIter": 5, "maxDepth": 4, "minInstancesPerNode": 3, "subsamplingRate": 0.8}
-SMALL_FOREST = {"numTrees": 10, "maxDepth": 5}
+SMALL_GBT = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.2}
+ALT_GBT = {"maxIter": 100, "maxDepth": 4, "minInstancesPerNode": 3, "subsamplingRate": 0.8}
+SMALL_FOREST = {"numTrees": 100, "maxDepth": 5}
 
 
 def _tree_panel(spark: SparkSession, sf: str) -> DataFrame:
@@ -653,10 +661,10 @@ def random_search_trials(spark: SparkSession, sf: str) -> DataFrame:
     trials, _ = trees.random_search(
         market.model_panel(spark, sf, fine=True),
         MODEL_FEATURES,
-        trees.gbt(maxIter=3),
+        trees.gbt(maxIter=10),
         {"maxDepth": [2, 3, 4], "stepSize": [0.05, 0.1, 0.2], "subsamplingRate": [0.5, 1.0]},
-        n_iter=2,
-        folds=3,
+        n_iter=10,
+        folds=5,
     )
     return rounded(trials, 6)
 
@@ -763,7 +771,7 @@ def shapley_values(spark: SparkSession, sf: str) -> DataFrame:
     table = cut(table)
     model = trees.gbt(**SMALL_GBT).fit(table)
     key = ["series_id", "ds"]
-    return rounded(attribution.shapley(model, table, table, names, key, n_background=20), 6)
+    return rounded(attribution.shapley(model, table, table, names, key), 6)
 
 
 @query
@@ -773,10 +781,22 @@ def shapley_linear(spark: SparkSession, sf: str) -> DataFrame:
     table = cut(table)
     model = LinearRegression(labelCol="y").fit(table)
     key = ["series_id", "ds"]
-    phi = attribution.shapley(model, table, table, names, key, n_background=20)
+    phi = attribution.shapley(model, table, table, names, key)
     return phi.withColumns({"value": F.round("value", 9), "phi": F.round("phi", 4)})
 
 
+@query
+def shapley_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The same attribution of a one-split tree: the split feature carries all of it."""
+    table, names = trees.prepare(_stump_panel(spark, sf), STUMP_FEATURES)
+    table = cut(table)
+    model = trees.forest(**{**WHOLE_TREE, "maxDepth": 1}).fit(table)
+    key = ["series_id", "ds"]
+    phi = attribution.shapley(model, table, table, names, key)
+    # adding zero drops the sign of a negative zero
+    return phi.withColumn("phi", F.round("phi", 4) + F.lit(0.0))
+
+
 @query
 def shap_importance(spark: SparkSession, sf: str) -> DataFrame:
     phi = market.linear_phi(market.model_panel(spark, sf, fine=True))

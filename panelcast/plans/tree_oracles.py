@@ -117,6 +117,14 @@ SELECT series_id, ds, f AS best_feature, {value_of('f')} AS best_value FROM stum
         "tree_refit_score": f"""{start},{holdout},{split('nodes0', 'nodes1', held)},{split('nodes1', 'nodes2', held)},
 {best},{again},{split('alone0', 'alone1', held)},{split('alone1', 'alone2', held)},{means('alone2', 'scored', held)}
 SELECT 'forest' AS model, split, {scores}, (SELECT f FROM best) AS best_feature FROM scored GROUP BY split""",
+        "shapley_tree": f"""{start},{NODES},{split('nodes0', 'nodes1')},{means('nodes1', 'scored')},
+reference AS (
+  SELECT avg(yhat) AS base FROM (
+    SELECT yhat FROM scored ORDER BY md5(concat_ws('|', series_id, CAST(ds AS VARCHAR), '21')) LIMIT 100)),
+features AS (SELECT unnest(['x_month', 'x_price_k', 'x_year']) AS feature)
+SELECT series_id, ds, feature, {value_of('feature')} AS value,
+       CASE WHEN feature = f THEN round(yhat - base, 4) ELSE CAST(0 AS DOUBLE) END + CAST(0 AS DOUBLE) AS phi
+FROM scored, reference, features, nodes1_best""",
         "tree_search_trials": f"""{start},{folds},{split('nodes0', 'nodes1', apart)},{split('nodes1', 'nodes2', apart)},
 {means('nodes1', 'one', apart)},{means('nodes2', 'two', apart)}
 {trial('one', 1, 1)} UNION ALL {trial('two', 2, 2)}""",
