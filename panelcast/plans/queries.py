@@ -590,6 +590,36 @@ def best_forecast(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded_scores(scores)
 
 
+@query
+def driver_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole path: rank drivers, keep the best, fill gaps, forecast by both models, score.
+
+    Ranking and filling see the training rows only.
+    """
+    train, test = _train_test(spark, sf)
+    pairs = stats.correlations(train, ["y", *MODEL_FEATURES]).filter("earlier = 'y'")
+    ranking = pairs.select(
+        F.lit("correlation").alias("model"),
+        F.col("column").alias("attribute"),
+        F.abs("corr").alias("importance"),
+    )
+    best = shape.ranked_names(ranking, 2)
+    train, test = (
+        cut(stats.fill_own_mean(part, best, by=["series_id"], fit_on=train)) for part in (train, test)
+    )
+    seasonal = sarx.forecast_sarx(sarx.fit_sarx(train, best, ORDERS), train, test, best, ORDERS)
+    fitted = trend_season.fit_trend_season(train, ONE_TRIAL, best, fourier_order=3)
+    trend = trend_season.predict_trend_season(fitted, test, best, fourier_order=3)
+    actual = test.select("series_id", "ds", "y")
+    both = metrics.union_trials(
+        [
+            metrics.align_forecast(actual, predicted).withColumn("forecaster", F.lit(name))
+            for name, predicted in (("sarx", seasonal), ("trend", trend))
+        ]
+    )
+    return _rounded_scores(metrics.metrics(both, by=["series_id", "forecaster"]))
+
+
 # --- tree ensembles ------------------------------------------------------------------------------
 
 SMALL_GBT = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.2}
