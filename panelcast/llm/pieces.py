@@ -31,8 +31,9 @@ from pyspark.sql import types as T
 from panelcast.llm.text import filled, map_texts
 
 MARK = "▁"  # stands for a blank inside pieces
-CACHE_CHARS = 18_000_000  # of parts kept per task, with a fixed share for each
-MEMO_ENTRIES = 2_000_000  # pairs of adjacent pieces kept per task
+CACHE_PARTS = 150_000  # encoded parts kept per task
+CACHE_LENGTH = 64  # longer parts are not kept
+MEMO_ENTRIES = 500_000  # pairs of adjacent pieces kept per process
 
 
 class Pieces:
@@ -60,7 +61,7 @@ class Pieces:
 
 
 class Encoder:
-    """Encodes and decodes with ``Pieces``; holds the caches of one task."""
+    """Encodes and decodes with ``Pieces``; remembers which pieces may follow each other."""
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
@@ -80,8 +81,7 @@ class Encoder:
         letters = "".join(t for t in pieces.ids if len(t) == 1)
         self.unknown = re.compile(f"[^{re.escape(letters)}]")
         self.follow: list[dict[int, int | None]] = [{} for _ in range(max(usable.values()) + 1)]
-        self.cache: dict[str, tuple[int, str, str]] = {}
-        self.cached_chars = self.remembered = 0
+        self.remembered = 0
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging leaves, by definition; for short texts."""
@@ -195,20 +195,6 @@ class Encoder:
             out.append(pending.decode("utf-8", "replace"))
         return "".join(out)
 
-    def part(self, part: str) -> tuple[int, str, str]:
-        """Number of ids, the ids as text, and the decoded text of one part."""
-        known = self.cache.get(part)
-        if known is None:
-            ids = self.encode_part(part)
-            known = len(ids), ",".join([self.names[i] for i in ids]), self.decode(ids)
-            if len(part) <= 64:
-                if self.cached_chars > CACHE_CHARS:
-                    self.cache.clear()
-                    self.cached_chars = 0
-                self.cache[part] = known
-                self.cached_chars += len(part) + 24
-        return known
-
     def split(self, text: str) -> list[str]:
         """Parts of a text that no merge crosses."""
         return self.pieces.parts.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -222,6 +208,24 @@ class Encoder:
         return self.decode(ids).removeprefix(" ")
 
 
+class EncodedParts(dict):
+    """Number of ids, the ids as text, and the decoded text by part; starts over when full."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, part: str) -> tuple[int, str, str]:
+        names = self.encoder.names
+        ids = self.encoder.encode_part(part)
+        known = len(ids), ",".join([names[i] for i in ids]), self.encoder.decode(ids)
+        if len(part) <= CACHE_LENGTH:
+            if len(self) >= CACHE_PARTS:
+                self.clear()
+            self[part] = known
+        return known
+
+
 def _shipped(spark: SparkSession, path: str) -> str:
     """Adds a vocabulary file to the files of the job; the name tasks find it by."""
     spark.sparkContext.addFile(path)
@@ -252,12 +256,12 @@ def encode_pieces(
 
     def work():
         encoder = _encoder(SparkFiles.get(name))
+        parts = EncodedParts(encoder)
 
         def compute(texts: pa.Array):
             counts, first, second = [], [], []
-            get, part = encoder.cache.get, encoder.part
             for text in filled(texts).to_pylist():
-                found = [get(p) or part(p) for p in encoder.split(text)]
+                found = [parts[p] for p in encoder.split(text)]
                 ids = ",".join([f[1] for f in found])
                 decoded = "".join([f[2] for f in found]).removeprefix(" ")
                 counts.append(sum([f[0] for f in found]))

@@ -13,13 +13,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pandas.util import hash_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.functions.expressions import named
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
 MIX_B = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -116,6 +116,27 @@ def learned_fold(key: Column, parts: int, apart: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts == apart, F.lit(False))
 
 
+def least_hashes(rows: DataFrame, key: str, by: str, n: int | Column, seed: int) -> DataFrame:
+    """The ``n`` rows of every group with the smallest hash of the key, ranked in __rank.
+
+    Group sizes come from a count; a hash limit then leaves a few times ``n`` rows of a large group, so
+    no task ranks more. A group with fewer rows is whole.
+    """
+    sizes = rows.groupBy(by).agg(F.count("*").alias("__size"))
+    hashed = F.xxhash64(named(key), F.lit(seed))
+    wanted = n if isinstance(n, Column) else F.lit(n)
+    share = F.least(F.lit(1.0), 2 * (wanted + 50) / F.col("__size"))
+    low = F.pmod(hashed, F.lit(1 << 30)) < share * (1 << 30)
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(hashed, named(key)))
+    return (
+        rows.join(sizes, by)
+        .filter(low)
+        .withColumn("__rank", rank)
+        .filter(F.col("__rank") <= wanted)
+        .drop("__size")
+    )
+
+
 def sample_rows(
     docs: DataFrame, chosen: DataFrame, key: str, columns: Sequence[str], bound: int
 ) -> list:
