@@ -6,38 +6,47 @@ lists different fingerprints under (positions, bytes) for every choice of that m
 each pair that reaches the count meets, and no list grows beyond the values of the d bytes left
 open. Inside a list the neighbours of a fingerprint are looked up bit pattern by bit pattern, not
 pair by pair, so a dense list costs in proportion to its length.
+
+``similar_documents`` finds pairs of a given Jaccard similarity, which differ in more bits than any
+bound on positions allows. It takes four fingerprints of 64 bits, lists different texts under many choices of
+three of the 32 positional bytes, and verifies candidates that share enough bytes on their shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.llm.graph import connected_components, roots
-from panelcast.llm.text import filled, map_texts, split_words
+from panelcast.llm.text import MIX_A, filled, map_texts, mixed, split_words
 from panelcast.operators.lineage import stored
 
 SEED = 42
 SHINGLE = 3
+WIDE_SHINGLE = 5
+SIMILARITY = 0.8
+LISTS = 240  # choices of three positions a text is listed under
+SHARED_BYTES = 3  # least positional bytes of 32 that a candidate pair shares
+WIDE_BITS = 80  # most differing bits of 256 of a candidate pair
+PRINTS = ("fp1", "fp2", "fp3", "fp4")
 MAX_BITS = 2
 
 
-def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """64-bit fingerprints of a slice of texts."""
+def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles per row, and the hashes of all shingles in row order."""
     offsets, words = split_words(pc.ascii_lower(filled(texts)))
-    n = len(offsets) - 1
-    result = np.zeros(n, np.uint64)
     counts = np.diff(offsets)
     if not len(words):
-        return result
+        return np.zeros(len(counts), np.int64), np.empty(0, np.uint64)
     # one buffer of all words, each followed by a blank; a shingle is a stretch of it
     data = " ".join(words.to_pylist()).encode()
     ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1) - 1
@@ -51,7 +60,15 @@ def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
         dtype=np.uint64,
         count=len(first),
     )
+    return sizes, hashes
+
+
+def majority_bits(sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """One fingerprint per row: the bits set in over half of the row's hashes."""
+    result = np.zeros(len(sizes), np.uint64)
     full = np.flatnonzero(sizes)
+    if not len(full):
+        return result
     cuts = (np.cumsum(sizes) - sizes)[full]
     for bit in range(64):
         set_bits = np.add.reduceat(((hashes >> np.uint64(bit)) & np.uint64(1)).astype(np.int32), cuts)
@@ -59,6 +76,11 @@ def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     return result
 
 
+def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit fingerprints of a slice of texts."""
+    return majority_bits(*shingle_hashes(texts, shingle))
+
+
 def fingerprints(
     docs: DataFrame,
     key: str = "doc_id",
@@ -178,3 +200,141 @@ def near_duplicates(
     return prints.join(named_nodes, "fingerprint").select(
         key, hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id"
     )
+
+
+def _wide_prints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """key, mark (two hashes of the lower-cased words) and four fingerprints of every row."""
+
+    def work():
+        def compute(texts: pa.Array):
+            sizes, hashes = shingle_hashes(texts, shingle)
+            made = []
+            for _ in PRINTS:
+                made.append(pa.array(majority_bits(sizes, hashes).view(np.int64)))
+                hashes = mixed(hashes ^ MIX_A)
+            return made
+
+        return compute
+
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " "))
+    marked = docs.withColumn("__mark", F.array(F.xxhash64(words), F.xxhash64(words, F.lit(1))))
+    prints = [(c, T.LongType()) for c in PRINTS]
+    return map_texts(marked, key, text, prints, work, keep=["__mark"])
+
+
+def _listed(nodes: DataFrame, seed: int = 5) -> DataFrame:
+    """(list, node): every node under the bytes of ``LISTS`` choices of three positions."""
+    rng = np.random.default_rng(seed)
+    triples = list(combinations(range(8 * len(PRINTS)), 3))
+    chosen = sorted(triples[i] for i in rng.choice(len(triples), LISTS, replace=False))
+
+    def byte(position: int) -> Column:
+        return F.shiftright(PRINTS[position // 8], 8 * (position % 8)).bitwiseAND(255)
+
+    keys = F.array(
+        *[
+            sum((byte(p) * (1 << (8 * k)) for k, p in enumerate(t)), F.lit(i << 24))
+            for i, t in enumerate(chosen)
+        ]
+    )
+    return nodes.select("node", F.explode(keys).alias("list"))
+
+
+def _compared(differing: Sequence[Column]) -> tuple[Column, Column]:
+    """Positional bytes that are equal and bits that differ, from the differing bits of the words."""
+    equal = [
+        (F.shiftright(x, 8 * i).bitwiseAND(255) == 0).cast("int") for x in differing for i in range(8)
+    ]
+    return reduce(Column.__add__, equal), reduce(Column.__add__, [F.bit_count(x) for x in differing])
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b): in every list a node with the first one and with the one before it, filtered by count.
+
+    A list of m nodes gives less than 2 m pairs. Only pairs that share enough positional bytes and
+    differ in few bits stay.
+    """
+    order = Window.partitionBy("list").orderBy("node")
+    listed = _listed(nodes).select(
+        "node", F.lag("node").over(order).alias("previous"), F.first("node").over(order).alias("head")
+    )
+    met = listed.filter("previous is not null").select(
+        F.explode(F.array_distinct(F.array("previous", "head"))).alias("a"), F.col("node").alias("b")
+    )
+    pairs = met.distinct()
+    for end in ("a", "b"):
+        own = nodes.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in PRINTS])
+        pairs = pairs.join(own, end)
+    shared, bits = _compared([F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")) for c in PRINTS])
+    return pairs.filter((shared >= SHARED_BYTES) & (bits <= WIDE_BITS)).select("a", "b").filter("a <> b")
+
+
+def _shingle_sets(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """(node, shingles): the sorted different shingle hashes of every row, as bytes."""
+
+    def work():
+        def compute(texts: pa.Array):
+            sizes, hashes = shingle_hashes(texts, shingle)
+            ends = np.cumsum(sizes)
+            sets = [np.unique(hashes[b - n : b]).tobytes() for n, b in zip(sizes, ends)]
+            return (pa.array(sets, pa.binary()),)
+
+        return compute
+
+    return map_texts(docs, key, text, [("shingles", T.BinaryType())], work)
+
+
+def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of the pairs (a, b, left, right) whose shingle sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (batch.column(c).to_pylist() for c in ("left", "right"))
+            keep = []
+            for x, y in zip(left, right):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_documents(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    shingle: int = WIDE_SHINGLE,
+    similarity: float = SIMILARITY,
+) -> DataFrame:
+    """``key`` and component_id (smallest key reachable) per row with a key.
+
+    Texts whose lower-cased words are equal are one node. Nodes link if a candidate pair of the byte index
+    has a Jaccard similarity of at least ``similarity`` on its shingles (fewer words than a shingle: the
+    whole sequence); texts without words are equal. Every link is verified; the index may miss pairs
+    that share no list. Rows without a key are left out; an empty table gives an empty one.
+    """
+    known = docs.filter(F.col(key).isNotNull())
+    prints = stored(_wide_prints(known, key, text, shingle))
+    nodes = stored(
+        prints.groupBy("__mark").agg(
+            F.min(key).alias("node"), *[F.first(c).alias(c) for c in PRINTS]
+        )
+    )
+    pairs = stored(_candidates(nodes))
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "__wanted")
+    # a key that stands in several rows is a node by one of its texts
+    own = known.join(wanted, F.col(key) == F.col("__wanted"), "left_semi").select(key, text)
+    sets = stored(
+        _shingle_sets(own, key, text, shingle).groupBy(F.col(key).alias("node")).agg(
+            F.min("shingles").alias("shingles")
+        )
+    )
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
+    links = _verified(pairs.join(left, "a").join(right, "b"), similarity)
+    components = connected_components(links)
+    named_nodes = nodes.join(components, "node", "left").select(
+        "__mark", F.coalesce("component", "node").alias("component_id")
+    )
+    return prints.join(named_nodes, "__mark").select(key, "component_id")

@@ -78,6 +78,44 @@ def test_simhash_against_brute_force(spark, sf):
     assert simhash.near_duplicates(frame.filter(F.lit(False))).count() == 0
 
 
+def test_similar_documents_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(60, 200))]
+        rows.append((10 * i, " ".join(words)))
+        for k in range(1, 4):
+            changed = list(words)
+            for _ in range(k):  # a changed word touches five shingles
+                changed[rng.randrange(len(changed))] = f"v{rng.random()}"
+            rows.append((10 * i + k, "  ".join(changed).upper() if k == 3 else " ".join(changed)))
+    rows += [(1001, "a b"), (1002, "A  b"), (1003, ""), (1004, None), (1003, "a b"), (None, "a b")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = simhash.similar_documents(frame).collect()
+    assert len(found) == len(rows) - 1
+
+    def shingles(t):
+        w = WORD.findall((t or "").lower())
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1)))
+
+    sets = [(d, shingles(t)) for d, t in rows if d is not None]
+    links = [
+        (i, j)
+        for i, (_, x) in enumerate(sets)
+        for j, (_, y) in enumerate(sets[:i])
+        if len(x & y) >= 0.8 * len(x | y)
+    ]
+    group = brute_components(range(len(sets)), links)
+    least = {}
+    for i, (d, _) in enumerate(sets):
+        least[group[i]] = min(least.get(group[i], d), d)
+    want = sorted((d, least[group[i]]) for i, (d, _) in enumerate(sets))
+    got = sorted((r["doc_id"], r["component_id"]) for r in found)
+    assert all(g >= w for (_, g), (_, w) in zip(got, want))  # no link below the threshold
+    assert np.mean([g == w for g, w in zip(got, want)]) > 0.95
+    assert simhash.similar_documents(frame.filter(F.lit(False))).count() == 0
+
+
 def test_dense_list_is_linked_without_pairs():
     rng = np.random.default_rng(2)
     values = np.unique(rng.integers(0, 1 << 12, 900, dtype=np.uint64))
