@@ -16,12 +16,19 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.llm import linear
-from panelcast.llm.text import char_grams, coded_words, map_texts, sample_rows, word_hashes
+from panelcast.llm.text import (
+    char_grams,
+    coded_words,
+    least_hashes,
+    map_texts,
+    sample_rows,
+    word_hashes,
+)
 
 STRIDE = 12
 STEPS = 2 * STRIDE
@@ -36,6 +43,7 @@ SEEN = 5  # training rows that must hold a slot before it gets a vector of its o
 DOUBTED = 0.1  # share of toxic rows, those least like the others, that the last rounds pass over
 THRESHOLD = 0.7
 SLICE = 1 << 20
+CHUNK = 8192  # windows in one pass
 SHUT = 30.0  # update gate of padding: the state passes unchanged
 
 
@@ -96,13 +104,17 @@ def word_inputs(laid: Laid, p: dict[str, np.ndarray]) -> np.ndarray:
     return np.hstack([p["words"][laid.slots], chars]).astype(np.float32)
 
 
-def projected(laid: Laid, p: dict[str, np.ndarray]) -> np.ndarray:
-    """Gate inputs of both directions at every place: 2 x (3 HIDDEN) x STRIDE x blocks."""
+def gate_inputs(laid: Laid, p: dict[str, np.ndarray]) -> np.ndarray:
+    """Gate inputs of the distinct words, both directions, by column; padding is the last word."""
     table = word_inputs(laid, p) @ p["in"] + p["bias"]
     shut = np.zeros((1, 6 * HIDDEN), np.float32)
     shut[0, :HIDDEN] = shut[0, 3 * HIDDEN : 4 * HIDDEN] = SHUT
-    table = np.ascontiguousarray(np.vstack([table, shut]).T)  # padding is the last word
-    return np.take(table, laid.places.T, axis=1).reshape(2, 3 * HIDDEN, STRIDE, -1)
+    return np.ascontiguousarray(np.vstack([table, shut]).T)
+
+
+def projected(places: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Gate inputs of both directions at every place: 2 x (3 HIDDEN) x STRIDE x blocks."""
+    return np.take(table, places.T, axis=1).reshape(2, 3 * HIDDEN, STRIDE, -1)
 
 
 def _gate(x: np.ndarray) -> np.ndarray:
@@ -130,21 +142,31 @@ def states(inputs: np.ndarray, p: dict[str, np.ndarray], trace: list | None = No
     return out
 
 
-def _present(laid: Laid) -> np.ndarray:
+def _present(places: np.ndarray) -> np.ndarray:
     """True where a step of a window holds a word: STEPS x windows."""
-    real = (laid.places >= 0).T
+    real = (places >= 0).T
     return np.vstack([real[:, :-1], real[:, 1:]])
 
 
 def logits(laid: Laid, p: dict[str, np.ndarray]) -> np.ndarray:
-    """One logit per window, attention over the steps that hold a word."""
-    out = states(projected(laid, p), p)
+    """One logit per window, a bounded number of windows at a time."""
+    table = gate_inputs(laid, p)
+    parts = [
+        _window_logits(laid.places[a : a + CHUNK + 1], table, p)
+        for a in range(0, len(laid.places) - 1, CHUNK)
+    ]
+    return np.concatenate(parts) if parts else np.empty(0, np.float32)
+
+
+def _window_logits(places: np.ndarray, table: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
+    """Logits of neighbouring windows: attention over the steps that hold a word."""
+    out = states(projected(places, table), p)
     weight = np.empty((STEPS, out.shape[2]), np.float32)
     value = np.empty_like(weight)
     for step in range(STEPS):
         weight[step] = p["look"] @ np.tanh(p["view"] @ out[step])
         value[step] = p["out"] @ out[step]
-    weight[~_present(laid)] = -1e9
+    weight[~_present(places)] = -1e9
     weight -= weight.max(axis=0)
     weight = np.exp(weight)
     return (weight * value).sum(axis=0) / weight.sum(axis=0) + p["level"][0]
@@ -183,9 +205,9 @@ def gradients(laid: Laid, y: np.ndarray, weight: np.ndarray, p: dict[str, np.nda
     """Gradients of the weighted logistic loss, one label per row of two blocks."""
     h = HIDDEN
     trace: list = []
-    inputs = projected(laid, p)
+    inputs = projected(laid.places, gate_inputs(laid, p))
     out = states(inputs, p, trace)
-    real = _present(laid)
+    real = _present(laid.places)
     use = np.arange(0, out.shape[2], 2)  # windows of two blocks of the same row
     seen = np.tanh(np.einsum("ah,thn->tan", p["view"], out[:, :, use]))
     a = np.einsum("a,tan->tn", p["look"], seen)
@@ -260,32 +282,29 @@ def start(seed: int = 1) -> dict[str, np.ndarray]:
     }
 
 
-def _evidence(rows: np.ndarray, slots: np.ndarray, y: np.ndarray, bits: int):
+def _odds(toxic: np.ndarray, rows: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of slots as a warm start, and which slots enough rows hold."""
-    held = np.unique((rows << bits) + slots)
-    row, slot = held >> bits, held & ((1 << bits) - 1)
-    toxic = np.bincount(slot, weights=y[row], minlength=1 << bits)
-    clean = np.bincount(slot, minlength=1 << bits) - toxic
+    clean = rows - toxic
     odds = np.log((toxic + 1) / (y.sum() + 2)) - np.log((clean + 1) / (len(y) - y.sum() + 2))
-    seen = toxic + clean >= SEEN
+    seen = rows >= SEEN
     return np.where(seen, odds / 2, 0).astype(np.float32), seen
 
 
 def _warm_start(laid: Laid, y: np.ndarray):
-    """Evidence of word slots and of n-gram slots, from the rows that hold them."""
-    rows = np.repeat(np.arange(len(y)), np.diff(laid.starts) * STRIDE)
-    places = laid.places.ravel()
-    real = places >= 0
-    n_words = max(len(laid.slots), 1)
-    uses = np.unique(rows[real] * n_words + places[real])
-    row, word = uses // n_words, uses % n_words
+    """Evidence of word slots and of n-gram slots, from the rows that hold them, row by row."""
     order = np.argsort(laid.gram_word, kind="stable")
-    ends = np.searchsorted(laid.gram_word[order], np.arange(n_words + 1))
-    counts = np.diff(ends)[word]
-    inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    grams = laid.gram_slot[order][np.repeat(ends[word], counts) + inside]
-    chars = _evidence(np.repeat(row, counts), grams, y, CHAR_BITS)
-    return _evidence(row, laid.slots[word], y, WORD_BITS), chars
+    grams = laid.gram_slot[order]
+    ends = np.searchsorted(laid.gram_word[order], np.arange(len(laid.slots) + 1))
+    words, chars = np.zeros((2, 1 << WORD_BITS)), np.zeros((2, 1 << CHAR_BITS))
+    for row, toxic in enumerate(y):
+        places = laid.places[laid.starts[row] : laid.starts[row + 1]]
+        held = np.unique(places[places >= 0])
+        slot = np.unique(laid.slots[held])
+        gram = np.unique(np.concatenate([grams[ends[w] : ends[w + 1]] for w in held] or [slot[:0]]))
+        for counts, own in ((words, slot), (chars, gram)):
+            counts[1, own] += 1
+            counts[0, own] += toxic
+    return _odds(*words, y), _odds(*chars, y)
 
 
 def train(
@@ -367,13 +386,12 @@ def fit_toxicity(
     Rows without a label or text are not used. Without ten rows of either class there is no
     network: every text scores the share of toxic rows (0 without labels).
     """
-    rank = F.row_number().over(Window.partitionBy("__y").orderBy(F.xxhash64(key, F.lit(1)), key))
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & learn).select(
         key, F.col(label).cast("int").alias("__y")
     )
+    wanted = F.when(F.col("__y") == 1, sample // 3).otherwise(sample)
     chosen = (
-        known.withColumn("__rank", rank)
-        .filter(F.col("__rank") <= F.when(F.col("__y") == 1, sample // 3).otherwise(sample))
+        least_hashes(known, key, "__y", wanted, 1)
         .orderBy("__rank", F.desc("__y"))
         .select(key, "__y")
     )
