@@ -25,7 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCK = 4  # words of a block
-SHARD_ROWS = 16384  # documents a shard has on average, at most
+SHARD_ROWS = 2048  # documents a shard has on average, at most
 SEED = 8
 
 

@@ -11,6 +11,7 @@ from panelcast.llm import (
     language,
     lattice,
     mixture,
+    oracles,
     pieces,
     quality_prior,
     quality_rules,
@@ -22,7 +23,7 @@ from panelcast.llm import (
 from panelcast.llm.text import learned_fold
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.SQL)
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -8,6 +8,7 @@ import re
 import subprocess
 import sys
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -107,7 +108,7 @@ def test_stages(spark, sf):
         if name != "sentencepiece":
             assert docs.columns == corpus_pipeline.COLUMNS
         if name == "simhash_near_dedup":
-            groups = queries.simhash.near_duplicates(before.filter("doc_id is not null"))
+            groups = queries.simhash.similar_documents(before)
             assert docs.filter("doc_id is not null").count() == groups.select("component_id").distinct().count()
         if name == "secret_scans":
             assert docs.filter(F.col("text").rlike("token = \"[0-9a-f]{20}")).count() == 0
@@ -133,6 +134,18 @@ def test_queries_return_the_columns_asked_for(spark, sf):
             assert set(wanted[op].split()) <= set(make(spark, sf).columns)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_their_sql(spark, sf, name):
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = db.sql(queries.ORACLES[name]).df().sort_values("doc_id").reset_index(drop=True)
+    got = queries.REGISTRY[name](spark, sf).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert list(got.columns) == list(want.columns) and len(got) == len(want)
+    for c in got.columns:
+        same = np.isclose(got[c], want[c]) if c == "target" else got[c] == want[c]
+        assert same.all(), c
+
+
 def test_entry_works_without_the_text_operators(tmp_path):
     """The entry module imports where subpackage and pipeline are absent."""
     (tmp_path / "panelcast").mkdir()
