@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,7 @@ from panelcast.llm.text import (
     char_grams,
     coded_words,
     filled,
+    least_hashes,
     map_texts,
     row_of,
     sample_rows,
@@ -97,14 +98,11 @@ def fit_languages(
 
     Rows are picked by hash, the languages in turn, so that rare ones are not crowded out.
     """
-    rank = F.row_number().over(
-        Window.partitionBy("__y").orderBy(F.xxhash64(key, F.lit(10)), key)
+    known = docs.filter(learn & F.col(label).isNotNull() & F.col(key).isNotNull()).select(
+        key, F.col(label).alias("__y")
     )
     chosen = (
-        docs.filter(learn & F.col(label).isNotNull() & F.col(key).isNotNull())
-        .select(key, F.col(label).alias("__y"))
-        .withColumn("__rank", rank)
-        .filter(F.col("__rank") <= sample)
+        least_hashes(known, key, "__y", sample, 10)
         .orderBy("__rank", F.xxhash64("__y"), "__y")
         .select(key, "__y")
     )
@@ -114,14 +112,14 @@ def fit_languages(
         return LanguageModel()
     codes = codewords(len(languages))
     which = np.searchsorted(languages, [r["__y"] for r in rows])
-    x = np.vstack([_features(pa.array([r[text]])) for r in rows])
+    x = np.vstack([_features(pa.array([r[text]])) for r in rows]).astype(np.float32)
     y = (codes[which] > 0).astype(np.float32)
     fitting = np.arange(len(rows)) % 5 != 0
     if len(languages) > 1 and len(rows) >= 50:
         w, b = linear.fit_logistic(x[fitting], y[fitting], steps=120, decay=1e-4)
     else:
         fitting[:] = False
-        w, b = linear.fit_logistic(x, y, steps=120, decay=1e-4)
+        w, b = linear.fit_logistic(x.copy(), y, steps=120, decay=1e-4)
     margins = np.clip(x[~fitting] @ w + b, -20, 20)
     right = np.maximum(((margins > 0) == (y[~fitting] > 0)).mean(axis=0) - 0.5, 0.01)
     bit_weights = right / right.sum()

@@ -39,12 +39,16 @@ def fit_logistic(
     """Weights (features x outputs) and intercepts of independent logistic models.
 
     ``x`` holds shares by row; ``y`` 0 or 1 per row and output. Classes weigh alike, columns are
-    scaled to unit spread during the fit, and weights decay towards zero.
+    scaled to unit spread during the fit, and weights decay towards zero. ``x`` (single precision) is
+    scaled in place: its values are lost.
     """
     y = y.reshape(len(y), -1).astype(np.float32)
     mean = x.mean(axis=0)
-    spread = x.std(axis=0) + 1e-4
-    z = (x - mean) / spread
+    square = np.einsum("ij,ij->j", x, x) / len(x)
+    spread = np.sqrt(np.maximum(square - mean * mean, 0)) + np.float32(1e-4)
+    x -= mean
+    x /= spread
+    z = x
     ones = np.maximum(y.mean(axis=0), 1e-6)
     weight = np.where(y > 0, 0.5 / ones, 0.5 / np.maximum(1 - ones, 1e-6)) / len(y)
     p = {

@@ -80,6 +80,14 @@ def _features(texts: pa.Array) -> np.ndarray:
     return np.hstack(blocks)
 
 
+def _table(texts: Sequence[str], step: int = 200) -> np.ndarray:
+    """Features of the sample, a few texts at a time."""
+    x = np.empty((len(texts), (1 << WORD_BITS) + (1 << PAIR_BITS) + (1 << CHAR_BITS)), np.float32)
+    for i in range(0, len(texts), step):
+        x[i : i + step] = _features(pa.array(texts[i : i + step]))
+    return x
+
+
 def _within(counts: np.ndarray) -> np.ndarray:
     """0, 1, ... inside every run of the given lengths."""
     ends = np.cumsum(counts)
@@ -100,19 +108,21 @@ def fit_quality(
     model, and only the fixed rules decide.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull())
-    chosen = known.select(key, F.col(label).cast("int").alias("__y")).orderBy(
-        F.xxhash64(key, F.lit(9)), key
-    )
+    known = known.select(key, F.col(label).cast("int").alias("__y"))
+    hashed, total = F.xxhash64(key, F.lit(9)), known.count()
+    low = F.pmod(hashed, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * (sample + 50) / max(total, 1)))
+    chosen = known.filter(low).orderBy(hashed, key)
     rows = [r for r in sample_rows(docs, chosen, key, [text], sample) if r[text]]
     y = np.array([r["__y"] for r in rows])
     if min(y.sum(), len(y) - y.sum()) < 10:
         return QualityModel()
-    x = np.vstack([_features(pa.array([r[text] for r in rows[i : i + 500]])) for i in range(0, len(rows), 500)])
     fitting = np.arange(len(y)) % 4 != 0
     if min(y[fitting].sum(), (1 - y[fitting]).sum()) < 5 or len(np.unique(y[~fitting])) < 2:
         return QualityModel()
-    w, b = linear.fit_logistic(x[fitting], y[fitting])
-    margin = (x[~fitting] @ w + b)[:, 0]
+    texts = [r[text] for r in rows]
+    del rows
+    w, b = linear.fit_logistic(_table([t for t, f in zip(texts, fitting) if f]), y[fitting])
+    margin = (_table([t for t, f in zip(texts, fitting) if not f]) @ w + b)[:, 0]
     slope, offset = linear.calibrate(margin, y[~fitting])
     ends = np.cumsum([1 << WORD_BITS, 1 << PAIR_BITS])
     words, pairs, chars = np.split(w[:, 0], ends)
