@@ -8,7 +8,7 @@ depth are the runs of equal suffixes after sorting; a node whose smallest docume
 suffix's own marks that suffix. Marked neighbours join to maximal repeats.
 
 What moves: packed arrays of (window hash, position) per task and group, then packed positions per
-bucket of documents, then the texts once. A task first settles repeats among its own documents and
+bucket of documents, then the texts once, packed per bucket. A task first settles repeats among its own documents and
 sends a node's smallest document only, so a passage that a third of all documents share is one entry
 per task in its group. Windows are told apart by 64-bit hashes next to the group's prefix hash.
 """
@@ -30,7 +30,7 @@ from panelcast.llm.text import coded_words, mixed, row_of, slices, split_words,
 WINDOW = 13
 GROUP = 1 << 20  # suffixes of a group, and words of a bucket of documents, that suit a task's memory
 SLOT_BITS = 12  # hashed prefixes the census tells apart, per length
-FLUSH_WORDS = 3 << 20  # words a task gathers before it sends
+FLUSH_WORDS = 1 << 20  # words a task gathers before it sends
 
 
 def prefix_lengths(window: int) -> list[int]:
@@ -318,16 +318,19 @@ def remove_repeats(
     source = source.withColumn("__bucket", F.pmod(spread, F.lit(buckets)))
     judged = _judged(_sent(source.filter("__key is not null"), window, chosen, groups), groups)
 
-    def run(own: pa.Table, found: pa.Table) -> pa.Table:
-        batch = own.combine_chunks()
+    def run(table: pa.Table) -> pa.Table:
         marked: dict[tuple[int, int], list[np.ndarray]] = {}
-        for value in found.column("packed").to_pylist():
+        texts = []
+        for is_text, value in zip(table.column("texts").to_pylist(), table.column("packed").to_pylist()):
+            if is_text:
+                texts.append(value)
+                continue
             (keys, marks, _), rows, positions, _ = _places(value)
             ends = np.append(np.flatnonzero(np.diff(rows, prepend=-1)), len(rows))
             for k, m, a, b in zip(keys.tolist(), marks.tolist(), ends[:-1], ends[1:]):
                 marked.setdefault((k, m), []).append(positions[a:b])
         tables = []
-        for part in (s for b in batch.to_batches() for s in slices(b, "__text")):
+        for part in (s for t in texts for b in pa.ipc.open_stream(t) for s in slices(b, "__text")):
             offsets, flat = split_words(part.column("__text"))
             ids = zip(part.column("__key").to_pylist(), part.column("__mark").to_pylist())
             starts = [offsets[i] + p for i, id_ in enumerate(ids) for p in marked.get(id_, ())]
@@ -337,35 +340,40 @@ def remove_repeats(
             kept = pc.filter(flat, pa.array(~covered))
             lists = pa.ListArray.from_arrays(pa.array(sums[offsets], pa.int32()), kept)
             n_words = np.diff(offsets)
-            tables.append(
-                pa.table(
-                    {
-                        key: part.column("__key"),
-                        "n_words": n_words,
-                        "n_removed": n_words - np.diff(sums[offsets]),
-                        "spans": _spans(covered, offsets),
-                        "kept_text": pc.binary_join(lists, " "),
-                    }
-                )
+            made = (
+                part.column("__key"),
+                pa.array(n_words),
+                pa.array(n_words - np.diff(sums[offsets])),
+                _spans(covered, offsets),
+                pc.binary_join(lists, " "),
             )
-        if not tables:
-            return schema_table
-        return pa.concat_tables(tables)
-
-    schema_table = pa.table(
-        {
-            key: pa.array([], pa.int64()),
-            "n_words": pa.array([], pa.int64()),
-            "n_removed": pa.array([], pa.int64()),
-            "spans": pa.array([], pa.list_(pa.int64())),
-            "kept_text": pa.array([], pa.string()),
-        }
-    )
-    return (
-        source.groupBy("__bucket")
-        .cogroup(judged.groupBy("bucket"))
-        .applyInArrow(
-            run,
-            f"`{key}` bigint, n_words bigint, n_removed bigint, spans array<bigint>, kept_text string",
-        )
+            tables.append(pa.table(list(made), schema=schema))
+        return pa.concat_tables(tables) if tables else schema.empty_table()
+
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string())
+    schema = pa.schema(list(zip((key, "n_words", "n_removed", "spans", "kept_text"), kinds)))
+    texts = source.mapInArrow(_packed_texts, "bucket bigint, packed binary")
+    every = texts.withColumn("texts", F.lit(True)).union(judged.withColumn("texts", F.lit(False)))
+    return every.groupBy("bucket").applyInArrow(
+        run, f"`{key}` bigint, n_words bigint, n_removed bigint, spans array<bigint>, kept_text string"
     )
+
+
+def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, rows of the bucket in one compressed value), slice by slice."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        for part in slices(batch, "__text"):
+            home = part.column("__bucket").to_numpy(zero_copy_only=False)
+            order = np.argsort(home, kind="stable")
+            first = np.flatnonzero(np.append(True, home[order][1:] != home[order][:-1]))
+            values = []
+            for rows in np.split(order, first[1:]):
+                own = part.select(["__key", "__text", "__mark"]).take(pa.array(rows))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema, options=options) as writer:
+                    writer.write_batch(own)
+                values.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(home[order][first]), pa.array(values, pa.binary())], ["bucket", "packed"]
+            )
