@@ -228,16 +228,19 @@ def _listed(nodes: DataFrame, seed: int = 5) -> DataFrame:
     triples = list(combinations(range(8 * len(PRINTS)), 3))
     chosen = sorted(triples[i] for i in rng.choice(len(triples), LISTS, replace=False))
 
-    def byte(position: int) -> Column:
-        return F.shiftright(PRINTS[position // 8], 8 * (position % 8)).bitwiseAND(255)
-
-    keys = F.array(
-        *[
-            sum((byte(p) * (1 << (8 * k)) for k, p in enumerate(t)), F.lit(i << 24))
-            for i, t in enumerate(chosen)
-        ]
+    # one number per list: its own number and three positions of five bits each
+    codes = F.array(*[F.lit((i << 15) | (x << 10) | (y << 5) | z) for i, (x, y, z) in enumerate(chosen)])
+    octets = F.array(
+        *[F.shiftright(c, 8 * k).bitwiseAND(255).cast("int") for c in PRINTS for k in range(8)]
     )
-    return nodes.select("node", F.explode(keys).alias("list"))
+
+    def entry(code: Column) -> Column:
+        place = [F.shiftright(code, shift).bitwiseAND(31) for shift in (10, 5, 0)]
+        value = sum((F.shiftleft(F.get("octets", p), 8 * k) for k, p in enumerate(place)), F.lit(0))
+        return F.shiftleft(F.shiftright(code, 15).cast("bigint"), 24) + value
+
+    listed = nodes.select("node", octets.alias("octets"))
+    return listed.select("node", F.explode(F.transform(codes, entry)).alias("list"))
 
 
 def _compared(differing: Sequence[Column]) -> tuple[Column, Column]:
