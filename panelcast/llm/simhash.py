@@ -7,15 +7,14 @@ each pair that reaches the count meets, and no list grows beyond the values of t
 open. Inside a list the neighbours of a fingerprint are looked up bit pattern by bit pattern, not
 pair by pair, so a dense list costs in proportion to its length.
 
-``similar_documents`` finds pairs of a given Jaccard similarity, which differ in more bits than any
-bound on positions allows. It takes four fingerprints of 64 bits, lists different texts under many choices of
-three of the 32 positional bytes, and verifies candidates that share enough bytes on their shingles.
+``similar_documents`` finds all pairs of a given Jaccard similarity, which differ in more bits than any
+bound on positions allows. It counts shingles instead: a text is listed under its rarest shingles, as
+many as make sure that similar texts share one. Candidates in different components are verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -26,18 +25,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelcast.functions.expressions import named
 from panelcast.llm.graph import connected_components, roots
-from panelcast.llm.text import MIX_A, filled, map_texts, mixed, split_words
+from panelcast.llm.text import filled, map_texts, split_words
 from panelcast.operators.lineage import stored
 
 SEED = 42
 SHINGLE = 3
 WIDE_SHINGLE = 5
 SIMILARITY = 0.8
-LISTS = 240  # choices of three positions a text is listed under
-SHARED_BYTES = 3  # least positional bytes of 32 that a candidate pair shares
-WIDE_BITS = 80  # most differing bits of 256 of a candidate pair
-PRINTS = ("fp1", "fp2", "fp3", "fp4")
+SAMPLE_CHARS = 16_000_000  # text whose shingles are counted to tell the common ones
+SAMPLE_HITS = 8  # least count of a common shingle in the sample
+LIST_ROWS = 512  # rows of a list that are compared in one group
 MAX_BITS = 2
 
 
@@ -202,89 +201,173 @@ def near_duplicates(
     )
 
 
-def _wide_prints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """key, mark (two hashes of the lower-cased words) and four fingerprints of every row."""
+def _shingle_rows(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different shingle hashes in order of row and hash: row, hash, and their number per row."""
+    sizes, hashes = shingle_hashes(texts, shingle)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((hashes, row))
+    row, hashes = row[order], hashes[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+    row, hashes = row[new], hashes[new]
+    return row, hashes, np.bincount(row, minlength=len(sizes))
+
+
+def _set_bytes(hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(counts)
+    return [hashes[b - n : b].tobytes() for n, b in zip(counts.tolist(), ends.tolist())]
+
+
+def _set_ids(sets: Sequence[bytes]) -> pa.Array:
+    """One 64-bit number per set; texts of equal sets are one node."""
+    ids = np.array([xxhash.xxh3_64_intdigest(s, SEED) for s in sets], np.uint64)
+    return pa.array(ids.view(np.int64))
+
+
+def _common_shingles(
+    docs: DataFrame, key: str, text: str, shingle: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the shingles that are frequent in a sample of about SAMPLE_CHARS."""
+    total = docs.agg(F.sum(F.length(named(text)).cast("bigint"))).first()[0] or 0
+    share = min(1.0, SAMPLE_CHARS / max(total, 1))
+    sample = docs.filter(F.pmod(F.xxhash64(named(key), F.lit(23)), F.lit(1 << 30)) < share * (1 << 30))
 
     def work():
         def compute(texts: pa.Array):
-            sizes, hashes = shingle_hashes(texts, shingle)
-            made = []
-            for _ in PRINTS:
-                made.append(pa.array(majority_bits(sizes, hashes).view(np.int64)))
-                hashes = mixed(hashes ^ MIX_A)
-            return made
+            _, hashes, counts = _shingle_rows(texts, shingle)
+            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            return (pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64))),)
 
         return compute
 
-    words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " "))
-    marked = docs.withColumn("__mark", F.array(F.xxhash64(words), F.xxhash64(words, F.lit(1))))
-    prints = [(c, T.LongType()) for c in PRINTS]
-    return map_texts(marked, key, text, prints, work, keep=["__mark"])
+    listed = map_texts(sample, key, text, [("all", T.ArrayType(T.LongType()))], work)
+    counted = listed.select(F.explode("all").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    found = counted.filter(F.col("n") >= SAMPLE_HITS).toArrow()
+    hashes = found.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found.column("n").to_numpy()[order]
 
 
-def _listed(nodes: DataFrame, seed: int = 5) -> DataFrame:
-    """(list, node): every node under the bytes of ``LISTS`` choices of three positions."""
-    rng = np.random.default_rng(seed)
-    triples = list(combinations(range(8 * len(PRINTS)), 3))
-    chosen = sorted(triples[i] for i in rng.choice(len(triples), LISTS, replace=False))
+def _prefixes(
+    docs: DataFrame, key: str, text: str, shingle: int, similarity: float
+) -> DataFrame:
+    """key, node, size and prefix: the rarest shingles, of which two similar texts share at least one.
 
-    # one number per list: its own number and three positions of five bits each
-    codes = F.array(*[F.lit((i << 15) | (x << 10) | (y << 5) | z) for i, (x, y, z) in enumerate(chosen)])
-    octets = F.array(
-        *[F.shiftright(c, 8 * k).bitwiseAND(255).cast("int") for c in PRINTS for k in range(8)]
-    )
+    Texts of x and y shingles with a similarity of t share at least t max(x, y) shingles. So in any
+    order common to all texts the first x - ceil(t x) + 1 of the one and the first y - ceil(t y) + 1 of
+    the other have a shingle in common. Rare ones come first by the sampled counts, then by hash.
+    """
+    common, weights = _common_shingles(docs, key, text, shingle)
 
-    def entry(code: Column) -> Column:
-        place = [F.shiftright(code, shift).bitwiseAND(31) for shift in (10, 5, 0)]
-        value = sum((F.shiftleft(F.get("octets", p), 8 * k) for k, p in enumerate(place)), F.lit(0))
-        return F.shiftleft(F.shiftright(code, 15).cast("bigint"), 24) + value
+    def work():
+        def compute(texts: pa.Array):
+            row, hashes, counts = _shingle_rows(texts, shingle)
+            weight = np.zeros(len(hashes), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+                weight = np.where(common[at] == hashes, weights[at], 0)
+            ordered = hashes[np.lexsort((hashes, weight, row))]
+            place = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+            taken = np.where(counts > 0, counts - np.ceil(similarity * counts - 1e-9) + 1, 0)
+            taken = taken.astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(taken)]).astype(np.int32)
+            prefix = ordered[place < taken[row]].view(np.int64)
+            return (
+                _set_ids(_set_bytes(hashes, counts)),
+                pa.array(counts, pa.int64()),
+                pa.ListArray.from_arrays(ends, pa.array(prefix)),
+            )
 
-    listed = nodes.select("node", octets.alias("octets"))
-    return listed.select("node", F.explode(F.transform(codes, entry)).alias("list"))
+        return compute
 
+    added = [("node", T.LongType()), ("size", T.LongType()), ("prefix", T.ArrayType(T.LongType()))]
+    return map_texts(docs, key, text, added, work)
 
-def _compared(differing: Sequence[Column]) -> tuple[Column, Column]:
-    """Positional bytes that are equal and bits that differ, from the differing bits of the words."""
-    equal = [
-        (F.shiftright(x, 8 * i).bitwiseAND(255) == 0).cast("int") for x in differing for i in range(8)
-    ]
-    return reduce(Column.__add__, equal), reduce(Column.__add__, [F.bit_count(x) for x in differing])
 
+def _lists(rows: DataFrame) -> DataFrame:
+    """(list, node, size, place, head, previous): entries of all lists with more than one node."""
+    nodes = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    entries = nodes.select("node", "size", F.posexplode("prefix").alias("place", "list"))
+    order = Window.partitionBy("list").orderBy("node")
+    return (
+        entries.withColumn("previous", F.lag("node").over(order))
+        .withColumn("next", F.lead("node").over(order))
+        .withColumn("head", F.first("node").over(order))
+        .filter("previous is not null or next is not null")
+        .drop("next")
+    )
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): in every list a node with the first one and with the one before it, filtered by count.
 
-    A list of m nodes gives less than 2 m pairs. Only pairs that share enough positional bytes and
-    differ in few bits stay.
+def _first_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b): every node with the smallest and with the nearest smaller node on any of its lists.
+
+    At most two pairs per node. They tie most groups together, so that few pairs are left to compare.
     """
-    order = Window.partitionBy("list").orderBy("node")
-    listed = _listed(nodes).select(
-        "node", F.lag("node").over(order).alias("previous"), F.first("node").over(order).alias("head")
-    )
-    met = listed.filter("previous is not null").select(
-        F.explode(F.array_distinct(F.array("previous", "head"))).alias("a"), F.col("node").alias("b")
-    )
-    pairs = met.distinct()
-    for end in ("a", "b"):
-        own = nodes.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in PRINTS])
-        pairs = pairs.join(own, end)
-    shared, bits = _compared([F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")) for c in PRINTS])
-    return pairs.filter((shared >= SHARED_BYTES) & (bits <= WIDE_BITS)).select("a", "b").filter("a <> b")
+    near = lists.groupBy("node").agg(F.min("head").alias("head"), F.max("previous").alias("previous"))
+    pairs = near.select(F.explode(F.array_distinct(F.array("head", "previous"))).alias("a"), F.col("node").alias("b"))
+    return pairs.filter("a < b")
 
 
-def _shingle_sets(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(node, shingles): the sorted different shingle hashes of every row, as bytes."""
+def _rest_pairs(lists: DataFrame, components: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of a list that are in different components and may be similar enough.
 
-    def work():
-        def compute(texts: pa.Array):
-            sizes, hashes = shingle_hashes(texts, shingle)
-            ends = np.cumsum(sizes)
-            sets = [np.unique(hashes[b - n : b]).tobytes() for n, b in zip(sizes, ends)]
-            return (pa.array(sets, pa.binary()),)
+    Lists are cut into blocks of ``LIST_ROWS`` by hash and blocks are compared two at a time. A pair's
+    first common place in the order bounds the shingles it can share; a pair under the bound is left out.
+    """
+    classed = lists.join(components, "node", "left").select(
+        "list", "node", "size", "place", F.coalesce("component", "node").alias("component")
+    )
+    open_lists = (
+        classed.groupBy("list")
+        .agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low <> high")
+        .select("list", F.ceil(F.col("n") / F.lit(LIST_ROWS)).cast("int").alias("blocks"))
+    )
+    block = F.pmod(F.xxhash64("node", F.lit(17)), F.col("blocks")).cast("int")
+    entries = classed.join(open_lists, "list").withColumn("block", block)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    groups = (
+        entries.withColumn("other", other)
+        .groupBy("list", (low.cast("bigint") * F.col("blocks") + high).alias("pair"))
+        .agg(
+            F.collect_list(
+                F.struct("node", "size", "place", "component", side.cast("bigint").alias("side"))
+            ).alias("members")
+        )
+        .filter(F.size("members") > 1)
+        .select("members")
+    )
 
-        return compute
+    def compare(node, size, place, component, side):
+        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+        x, y = left[:, None], right[None, :]
+        # what both can still share from this place on, this shingle included
+        most = np.minimum(size[x] - place[x], size[y] - place[y])
+        may = most * (1 + similarity) >= similarity * (size[x] + size[y]) - 1e-6
+        may &= component[x] != component[y]
+        i, j = np.nonzero(may)
+        a, b = node[left[i]], node[right[j]]
+        if not side.any():  # a block with itself holds every pair twice
+            a, b = a[a < b], b[a < b]
+        return np.minimum(a, b), np.maximum(a, b)
 
-    return map_texts(docs, key, text, [("shingles", T.BinaryType())], work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            ends = column.offsets.to_numpy()
+            members = [f.to_numpy() for f in column.values.flatten()]
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i in range(len(batch)):
+                x, y = compare(*[m[ends[i] : ends[i + 1]] for m in members])
+                a.append(x)
+                b.append(y)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"]
+            )
+
+    return groups.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -303,6 +386,35 @@ def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
+def _links(
+    pairs: DataFrame, docs: DataFrame, least: DataFrame, key: str, text: str, shingle: int, similarity: float
+) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar enough; ``least`` has a key of every node."""
+
+    def work():
+        def compute(texts: pa.Array):
+            _, hashes, counts = _shingle_rows(texts, shingle)
+            sets = _set_bytes(hashes, counts)
+            return _set_ids(sets), pa.array(sets, pa.binary())
+
+        return compute
+
+    pairs = stored(pairs)
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    keys = least.join(wanted, "node").select(F.col("least").alias("__wanted")).distinct()
+    own = docs.join(keys, F.col(key) == F.col("__wanted"), "left_semi")
+    added = [("node", T.LongType()), ("shingles", T.BinaryType())]
+    sets = stored(
+        map_texts(own, key, text, added, work)
+        .join(wanted, "node", "left_semi")
+        .groupBy("node")
+        .agg(F.min("shingles").alias("shingles"))
+    )
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
+    return stored(_verified(pairs.join(left, "a").join(right, "b"), similarity))
+
+
 def similar_documents(
     docs: DataFrame,
     key: str = "doc_id",
@@ -312,32 +424,22 @@ def similar_documents(
 ) -> DataFrame:
     """``key`` and component_id (smallest key reachable) per row with a key.
 
-    Texts whose lower-cased words are equal are one node. Nodes link if a candidate pair of the byte index
-    has a Jaccard similarity of at least ``similarity`` on its shingles (fewer words than a shingle: the
-    whole sequence); texts without words are equal. Every link is verified; the index may miss pairs
-    that share no list. Rows without a key are left out; an empty table gives an empty one.
+    Texts with equal sets of shingles are one node (fewer words than a shingle: the whole sequence; texts
+    without words are equal). Nodes link if the Jaccard similarity of their sets is at least
+    ``similarity``; every pair that is meets in a list, and all pairs of a list that no link already
+    ties together are compared. Rows without a key are left out; an empty table gives an empty one.
     """
     known = docs.filter(F.col(key).isNotNull())
-    prints = stored(_wide_prints(known, key, text, shingle))
-    nodes = stored(
-        prints.groupBy("__mark").agg(
-            F.min(key).alias("node"), *[F.first(c).alias(c) for c in PRINTS]
-        )
-    )
-    pairs = stored(_candidates(nodes))
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "__wanted")
-    # a key that stands in several rows is a node by one of its texts
-    own = known.join(wanted, F.col(key) == F.col("__wanted"), "left_semi").select(key, text)
-    sets = stored(
-        _shingle_sets(own, key, text, shingle).groupBy(F.col(key).alias("node")).agg(
-            F.min("shingles").alias("shingles")
-        )
-    )
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    links = _verified(pairs.join(left, "a").join(right, "b"), similarity)
-    components = connected_components(links)
-    named_nodes = nodes.join(components, "node", "left").select(
-        "__mark", F.coalesce("component", "node").alias("component_id")
+    rows = stored(_prefixes(known, key, text, shingle, similarity))
+    least = rows.groupBy("node").agg(F.min(key).alias("least"))
+    lists = stored(_lists(rows))
+    first = _links(_first_pairs(lists), known, least, key, text, shingle, similarity)
+    rest = _rest_pairs(lists, connected_components(first), similarity)
+    links = first.union(_links(rest, known, least, key, text, shingle, similarity))
+    classed = least.join(connected_components(links), "node", "left").select(
+        "node", "least", F.coalesce("component", "node").alias("__class")
     )
-    return prints.join(named_nodes, "__mark").select(key, "component_id")
+    classed = stored(classed)
+    named_classes = classed.groupBy("__class").agg(F.min("least").alias("component_id"))
+    named_nodes = classed.join(named_classes, "__class").select("node", "component_id")
+    return rows.select(key, "node").join(named_nodes, "node").select(key, "component_id")
