@@ -151,6 +151,14 @@ def test_near_duplicates_behind_a_shared_passage_all_meet(spark):
     assert len(set(found.values())) == len(near)  # the passage alone ties nothing
 
 
+def test_near_duplicates_at_the_threshold_are_found(spark):
+    rows, near = planted_rows(random.Random(9), 400, 0, 300, 6)
+    assert all(0.8 <= j < 0.85 for j, _, _ in near)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame).collect()}
+    assert all(found[a] == found[b] == a for _, a, b in near)
+
+
 def test_lists_cut_into_blocks_give_every_pair_once(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LIST_ROWS", 3)
     members = [(1, node, 10, 0, node, None) for node in range(20)] + [(2, 1, 10, 9, 1, None), (2, 5, 10, 9, 1, 1)]
