@@ -249,9 +249,9 @@ def _common_shingles(
 
 
 def _prefixes(
-    docs: DataFrame, key: str, text: str, shingle: int, similarity: float
+    docs: DataFrame, key: str, text: str, shingle: int, similarity: float, keep: Sequence[str]
 ) -> DataFrame:
-    """key, node, size and prefix: the rarest shingles, of which two similar texts share at least one.
+    """key, ``keep``, node, size and prefix: the rarest shingles, of which two similar texts share at least one.
 
     Texts of x and y shingles with a similarity of t share at least t max(x, y) shingles. So in any
     order common to all texts the first x - ceil(t x) + 1 of the one and the first y - ceil(t y) + 1 of
@@ -281,7 +281,7 @@ def _prefixes(
         return compute
 
     added = [("node", T.LongType()), ("size", T.LongType()), ("prefix", T.ArrayType(T.LongType()))]
-    return map_texts(docs, key, text, added, work)
+    return map_texts(docs, key, text, added, work, keep)
 
 
 def _lists(rows: DataFrame) -> DataFrame:
@@ -421,8 +421,12 @@ def similar_documents(
     text: str = "text",
     shingle: int = WIDE_SHINGLE,
     similarity: float = SIMILARITY,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``key`` and component_id (smallest key reachable) per row with a key.
+    """``key``, ``keep``, component_id (smallest key reachable) and class_id per row with a key.
+
+    Rows are told apart by their texts: rows that share a key may be in different classes, which then
+    can have the same component_id; class_id is a number of the class itself.
 
     Texts with equal sets of shingles are one node (fewer words than a shingle: the whole sequence; texts
     without words are equal). Nodes link if the Jaccard similarity of their sets is at least
@@ -430,16 +434,17 @@ def similar_documents(
     ties together are compared. Rows without a key are left out; an empty table gives an empty one.
     """
     known = docs.filter(F.col(key).isNotNull())
-    rows = stored(_prefixes(known, key, text, shingle, similarity))
+    rows = stored(_prefixes(known, key, text, shingle, similarity, keep))
     least = rows.groupBy("node").agg(F.min(key).alias("least"))
     lists = stored(_lists(rows))
     first = _links(_first_pairs(lists), known, least, key, text, shingle, similarity)
     rest = _rest_pairs(lists, connected_components(first), similarity)
     links = first.union(_links(rest, known, least, key, text, shingle, similarity))
     classed = least.join(connected_components(links), "node", "left").select(
-        "node", "least", F.coalesce("component", "node").alias("__class")
+        "node", "least", F.coalesce("component", "node").alias("class_id")
     )
     classed = stored(classed)
-    named_classes = classed.groupBy("__class").agg(F.min("least").alias("component_id"))
-    named_nodes = classed.join(named_classes, "__class").select("node", "component_id")
-    return rows.select(key, "node").join(named_nodes, "node").select(key, "component_id")
+    named_classes = classed.groupBy("class_id").agg(F.min("least").alias("component_id"))
+    named_nodes = classed.join(named_classes, "class_id").select("node", "component_id", "class_id")
+    kept = [key, *keep]
+    return rows.select(*kept, "node").join(named_nodes, "node").select(*kept, "component_id", "class_id")

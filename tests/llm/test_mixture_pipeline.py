@@ -116,6 +116,18 @@ def test_stages(spark, sf):
     assert 0 < counts["simhash_near_dedup"] < counts["quality_rules"] < 203
 
 
+def test_rows_of_one_id_with_different_texts_are_told_apart(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    near = texts[1].replace("b39", "z")
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[1]), (5, None), (6, near), (7, texts[2]), (3, texts[2])]
+    rows = [(d, t, "en", "s", len(t or "")) for d, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted(
+        [(5, texts[0]), (5, texts[1]), (5, None), (3, texts[2])], key=str
+    )
+
+
 def test_queries_return_the_columns_asked_for(spark, sf):
     wanted = {
         "op1": "doc_id held_out score predicted",
