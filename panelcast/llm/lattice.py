@@ -27,10 +27,10 @@ from panelcast.llm.text import mixed
 from panelcast.operators.lineage import stored
 
 COSINE = 0.93
-TABLES = 8
+TABLES = 16
 BLOCKS = 2  # blocks of eight projections per table
 PROBES = 2
-REACH = 0.28  # lattice units between vectors at the threshold, per projected number
+REACH = 0.2  # lattice units between vectors at the threshold, per projected number
 CELL_ROWS = 512  # rows of a cell that are compared in one group
 
 

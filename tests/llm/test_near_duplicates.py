@@ -245,3 +245,35 @@ def test_lattice_against_brute_force(spark):
     for key in (-1, -2, -3, -4, -5, -6, -7):
         assert (odd[key]["n_links"], odd[key]["component_id"], odd[key]["kept"]) == (0, key, True)
     assert lattice.near_vectors(frame.filter(F.lit(False))).count() == 0
+
+
+def planted_vectors(rng, n, dim, low, high):
+    """Pairs of unit vectors in general position at cosines between ``low`` and ``high``."""
+    a, b = rng.normal(size=(2, n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = rng.uniform(low, high, (n, 1))
+    return a, c * a + np.sqrt(1 - c * c) * b
+
+
+def test_lattice_recall_by_cosine_band(spark):
+    rng = np.random.default_rng(6)
+    rows, key = [], 0
+    bands = [(0.9301, 0.94), (0.94, 0.95), (0.95, 0.97)]
+    for label, (low, high) in enumerate(bands):
+        for a, b in zip(*planted_vectors(rng, 400, 64, low, high)):
+            rows += [(key, a.tolist(), label), (key + 1, b.tolist(), label)]
+            key += 2
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    found = {r["vec_id"]: r["n_links"] for r in lattice.near_vectors(frame).collect()}
+    recall = [np.mean([found[v] for v, _, own in rows if own == label]) for label in range(len(bands))]
+    assert min(recall) >= 0.95 and max(recall) <= 1
+
+
+def test_cells_meet_at_the_threshold_for_any_length():
+    for dim in (32, 64, 256):
+        a, b = planted_vectors(np.random.default_rng(dim), 1500, dim, 0.93, 0.94)
+        (ha, pa), (hb, pb) = lattice.cells(a), lattice.cells(b)
+        met = (ha == hb) | (pa == hb[:, :, None]).any(axis=2) | (pb == ha[:, :, None]).any(axis=2)
+        assert met.any(axis=1).mean() >= 0.97
