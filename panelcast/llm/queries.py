@@ -69,7 +69,8 @@ def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
-    return simhash.near_duplicates(documents(spark, sf))
+    found = simhash.near_duplicates(documents(spark, sf))
+    return found.select("doc_id", "fingerprint", "component_id")
 
 
 @query

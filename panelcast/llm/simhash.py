@@ -6,10 +6,6 @@ lists different fingerprints under (positions, bytes) for every choice of that m
 each pair that reaches the count meets, and no list grows beyond the values of the d bytes left
 open. Inside a list the neighbours of a fingerprint are looked up bit pattern by bit pattern, not
 pair by pair, so a dense list costs in proportion to its length.
-
-``similar_documents`` finds all pairs of a given Jaccard similarity, which differ in more bits than any
-bound on positions allows. It counts shingles instead: a text is listed under its rarest shingles, as
-many as make sure that similar texts share one. Candidates in different components are verified.
 """
 
 from __future__ import annotations
@@ -21,22 +17,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.functions.expressions import named
 from panelcast.llm.graph import connected_components, roots
 from panelcast.llm.text import filled, map_texts, split_words
 from panelcast.operators.lineage import stored
 
 SEED = 42
 SHINGLE = 3
-WIDE_SHINGLE = 5
-SIMILARITY = 0.8
-SAMPLE_CHARS = 16_000_000  # text whose shingles are counted to tell the common ones
-SAMPLE_HITS = 8  # least count of a common shingle in the sample
-LIST_ROWS = 512  # rows of a list that are compared in one group
 MAX_BITS = 2
 
 
@@ -180,14 +170,21 @@ def near_duplicates(
     text: str = "text",
     shingle: int = SHINGLE,
     max_bits: int = MAX_BITS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``key``, fingerprint (16 hex digits) and component_id (smallest key reachable) per row.
+    """``key``, ``keep``, fingerprint (16 hex digits), component_id (smallest key reachable) and class_id.
 
     Texts link at ``max_bits`` or fewer differing bits. Null and empty texts have fingerprint zero and
-    link like any other. Repeated rows give repeated results; an empty table gives an empty one.
-    Groups of equal fingerprints become one node before any comparison.
+    link like any other; whole texts count, however long. A row without a key links too, but names no
+    class: component_id is null where no row of the class has a key. Rows that share a key may be in
+    different classes, which then can have the same component_id; class_id, a number of the class
+    itself, tells them apart. Repeated rows give repeated results; an empty table gives an empty one.
+    Columns of ``keep`` named like a new column are dropped. Groups of equal fingerprints become one
+    node before any comparison.
     """
-    prints = stored(fingerprints(docs, key, text, shingle=shingle))
+    added = ("fingerprint", "component_id", "class_id")
+    keep = [c for c in keep if c not in added]
+    prints = stored(fingerprints(docs, key, text, keep, shingle))
     nodes = stored(prints.groupBy("fingerprint").agg(F.min(key).alias("__least")))
     components = connected_components(near_links(nodes, max_bits))
     # a class is named by its smallest key: one row per different fingerprint
@@ -195,277 +192,9 @@ def near_duplicates(
         "fingerprint", "__least", F.coalesce("component", "fingerprint").alias("__class")
     )
     least = classed.groupBy("__class").agg(F.min("__least").alias("component_id"))
-    named_nodes = classed.join(least, "__class").select("fingerprint", "component_id")
-    return prints.join(named_nodes, "fingerprint").select(
-        key, hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id"
-    )
-
-
-def _shingle_rows(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different shingle hashes in order of row and hash: row, hash, and their number per row."""
-    sizes, hashes = shingle_hashes(texts, shingle)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((hashes, row))
-    row, hashes = row[order], hashes[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
-    row, hashes = row[new], hashes[new]
-    return row, hashes, np.bincount(row, minlength=len(sizes))
-
-
-def _set_bytes(hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
-    ends = np.cumsum(counts)
-    return [hashes[b - n : b].tobytes() for n, b in zip(counts.tolist(), ends.tolist())]
-
-
-def _set_ids(sets: Sequence[bytes]) -> pa.Array:
-    """One 64-bit number per set; texts of equal sets are one node."""
-    ids = np.array([xxhash.xxh3_64_intdigest(s, SEED) for s in sets], np.uint64)
-    return pa.array(ids.view(np.int64))
-
-
-def _common_shingles(
-    docs: DataFrame, key: str, text: str, shingle: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the shingles that are frequent in a sample of about SAMPLE_CHARS."""
-    total = docs.agg(F.sum(F.length(named(text)).cast("bigint"))).first()[0] or 0
-    share = min(1.0, SAMPLE_CHARS / max(total, 1))
-    sample = docs.filter(F.pmod(F.xxhash64(named(key), F.lit(23)), F.lit(1 << 30)) < share * (1 << 30))
-
-    def work():
-        def compute(texts: pa.Array):
-            _, hashes, counts = _shingle_rows(texts, shingle)
-            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            return (pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64))),)
-
-        return compute
-
-    listed = map_texts(sample, key, text, [("all", T.ArrayType(T.LongType()))], work)
-    counted = listed.select(F.explode("all").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    found = counted.filter(F.col("n") >= SAMPLE_HITS).toArrow()
-    hashes = found.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], found.column("n").to_numpy()[order]
-
-
-def _prefixes(
-    docs: DataFrame, key: str, text: str, shingle: int, similarity: float, keep: Sequence[str]
-) -> DataFrame:
-    """key, ``keep``, node, size and prefix: the rarest shingles, of which two similar texts share at least one.
-
-    Texts of x and y shingles with a similarity of t share at least t max(x, y) shingles. So in any
-    order common to all texts the first x - ceil(t x) + 1 of the one and the first y - ceil(t y) + 1 of
-    the other have a shingle in common. Rare ones come first by the sampled counts, then by hash.
-    """
-    common, weights = _common_shingles(docs, key, text, shingle)
-
-    def work():
-        def compute(texts: pa.Array):
-            row, hashes, counts = _shingle_rows(texts, shingle)
-            weight = np.zeros(len(hashes), np.int64)
-            if len(common):
-                at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-                weight = np.where(common[at] == hashes, weights[at], 0)
-            ordered = hashes[np.lexsort((hashes, weight, row))]
-            place = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
-            taken = np.where(counts > 0, counts - np.ceil(similarity * counts - 1e-9) + 1, 0)
-            taken = taken.astype(np.int64)
-            ends = np.concatenate([[0], np.cumsum(taken)]).astype(np.int32)
-            prefix = ordered[place < taken[row]].view(np.int64)
-            return (
-                _set_ids(_set_bytes(hashes, counts)),
-                pa.array(counts, pa.int64()),
-                pa.ListArray.from_arrays(ends, pa.array(prefix)),
-            )
-
-        return compute
-
-    added = [("node", T.LongType()), ("size", T.LongType()), ("prefix", T.ArrayType(T.LongType()))]
-    return map_texts(docs, key, text, added, work, keep)
-
-
-def _lists(nodes: DataFrame) -> DataFrame:
-    """(list, node, size, place, head, previous): entries of all lists with more than one node."""
-    entries = nodes.select("node", "size", F.posexplode("prefix").alias("place", "list"))
-    order = Window.partitionBy("list").orderBy("node")
-    return (
-        entries.withColumn("previous", F.lag("node").over(order))
-        .withColumn("next", F.lead("node").over(order))
-        .withColumn("head", F.first("node").over(order))
-        .filter("previous is not null or next is not null")
-        .drop("next")
-    )
-
-
-def _first_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b): every node with the commonest first and nearest smaller node of its lists.
-
-    At most two pairs per node. They tie most groups together, so that few pairs are left to compare.
-    """
-    near = lists.groupBy("node").agg(F.mode("head", True).alias("head"), F.mode("previous", True).alias("previous"))
-    ends = F.explode(F.array_distinct(F.array("head", "previous")))
-    pairs = near.select(ends.alias("a"), F.col("node").alias("b"))
-    return pairs.filter("a < b")
-
-
-def _rest_pairs(lists: DataFrame, components: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of a list that are in different components and may be similar enough.
-
-    Lists are cut into blocks of ``LIST_ROWS`` by hash and blocks are compared two at a time. A pair's
-    first common place in the order bounds the shingles it can share; a pair under the bound is left out.
-    """
-    classed = lists.join(components, "node", "left").select(
-        "list", "node", "size", "place", F.coalesce("component", "node").alias("component")
-    )
-    open_lists = (
-        classed.groupBy("list")
-        .agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-        .filter("low <> high")
-        .select("list", F.ceil(F.col("n") / F.lit(LIST_ROWS)).cast("int").alias("blocks"))
-    )
-    block = F.pmod(F.xxhash64("node", F.lit(17)), F.col("blocks")).cast("int")
-    entries = classed.join(open_lists, "list").withColumn("block", block)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    groups = (
-        entries.withColumn("other", other)
-        .groupBy("list", (low.cast("bigint") * F.col("blocks") + high).alias("pair"))
-        .agg(
-            F.collect_list(
-                F.struct("node", "size", "place", "component", side.cast("bigint").alias("side"))
-            ).alias("members")
-        )
-        .filter(F.size("members") > 1)
-        .select("members")
+    named_nodes = classed.join(least, "__class").select(
+        "fingerprint", "component_id", F.col("__class").alias("class_id")
     )
-
-    def compare(node, size, place, component, side):
-        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        x, y = left[:, None], right[None, :]
-        # what both can still share from this place on, this shingle included
-        most = np.minimum(size[x] - place[x], size[y] - place[y])
-        may = most * (1 + similarity) >= similarity * (size[x] + size[y]) - 1e-6
-        may &= component[x] != component[y]
-        i, j = np.nonzero(may)
-        a, b = node[left[i]], node[right[j]]
-        if not side.any():  # a block with itself holds every pair twice
-            a, b = a[a < b], b[a < b]
-        return np.minimum(a, b), np.maximum(a, b)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(0)
-            ends = column.offsets.to_numpy()
-            members = [f.to_numpy() for f in column.values.flatten()]
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for i in range(len(batch)):
-                x, y = compare(*[m[ends[i] : ends[i + 1]] for m in members])
-                a.append(x)
-                b.append(y)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"]
-            )
-
-    return groups.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of the pairs (a, b, left, right) whose shingle sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (batch.column(c).to_pylist() for c in ("left", "right"))
-            keep = []
-            for x, y in zip(left, right):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.mapInArrow(run, "a bigint, b bigint")
-
-
-def _counted(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose prefixes share as many shingles as similar texts do at least.
-
-    Shared shingles up to the end of the prefix that ends first are in both prefixes; the text of that
-    prefix has size - length others. Two of 300 shingles each share 28 of their first 61 at 0.8.
-    """
-    for end in ("a", "b"):
-        own = nodes.select(
-            F.col("node").alias(end), F.col("size").alias(f"{end}_size"), F.col("prefix").alias(f"{end}_prefix")
-        )
-        pairs = pairs.join(own, end)
-    shared = F.size(F.array_intersect("a_prefix", "b_prefix"))
-    others = F.greatest(*[F.col(f"{c}_size") - F.size(f"{c}_prefix") for c in "ab"])
-    least = (F.col("a_size") + F.col("b_size")) * (similarity / (1 + similarity)) - 1e-6
-    return pairs.filter(shared + others >= least).select("a", "b")
-
-
-def _links(
-    pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, shingle: int, similarity: float
-) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar enough; ``nodes`` has a key of every node."""
-
-    def work():
-        def compute(texts: pa.Array):
-            _, hashes, counts = _shingle_rows(texts, shingle)
-            sets = _set_bytes(hashes, counts)
-            return _set_ids(sets), pa.array(sets, pa.binary())
-
-        return compute
-
-    pairs = stored(_counted(pairs, nodes, similarity))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    keys = nodes.join(wanted, "node").select(F.col("least").alias("__wanted")).distinct()
-    own = docs.join(keys, F.col(key) == F.col("__wanted"), "left_semi")
-    added = [("node", T.LongType()), ("shingles", T.BinaryType())]
-    sets = stored(
-        map_texts(own, key, text, added, work)
-        .join(wanted, "node", "left_semi")
-        .groupBy("node")
-        .agg(F.min("shingles").alias("shingles"))
-    )
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    return stored(_verified(pairs.join(left, "a").join(right, "b"), similarity))
-
-
-def similar_documents(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    shingle: int = WIDE_SHINGLE,
-    similarity: float = SIMILARITY,
-    keep: Sequence[str] = (),
-) -> DataFrame:
-    """``key``, ``keep``, component_id (smallest key reachable) and class_id per row with a key.
-
-    Rows are told apart by their texts: rows that share a key may be in different classes, which then
-    can have the same component_id; class_id is a number of the class itself.
-
-    Texts with equal sets of shingles are one node (fewer words than a shingle: the whole sequence; texts
-    without words are equal). Nodes link if the Jaccard similarity of their sets is at least
-    ``similarity``; every pair that is meets in a list, and all pairs of a list that no link already
-    ties together are compared. Rows without a key are left out; an empty table gives an empty one.
-    """
-    known = docs.filter(F.col(key).isNotNull())
-    rows = stored(_prefixes(known, key, text, shingle, similarity, keep))
-    nodes = stored(
-        rows.groupBy("node").agg(
-            F.min(key).alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix")
-        )
-    )
-    lists = stored(_lists(nodes))
-    first = _links(_first_pairs(lists), known, nodes, key, text, shingle, similarity)
-    rest = _rest_pairs(lists, connected_components(first), similarity)
-    links = first.union(_links(rest, known, nodes, key, text, shingle, similarity))
-    classed = nodes.join(connected_components(links), "node", "left").select(
-        "node", "least", F.coalesce("component", "node").alias("class_id")
+    return prints.join(named_nodes, "fingerprint").select(
+        key, *keep, hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id", "class_id"
     )
-    classed = stored(classed)
-    named_classes = classed.groupBy("class_id").agg(F.min("least").alias("component_id"))
-    named_nodes = classed.join(named_classes, "class_id").select("node", "component_id", "class_id")
-    kept = [key, *keep]
-    return rows.select(*kept, "node").join(named_nodes, "node").select(*kept, "component_id", "class_id")

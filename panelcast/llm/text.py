@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.functions.expressions import named
+from panelcast.operators.lineage import attach_facts
 
 SLICE_BYTES = 1 << 20
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
@@ -119,17 +120,18 @@ def learned_fold(key: Column, parts: int, apart: int) -> Column:
 def least_hashes(rows: DataFrame, key: str, by: str, n: int | Column, seed: int) -> DataFrame:
     """The ``n`` rows of every group with the smallest hash of the key, ranked in __rank.
 
-    Group sizes come from a count; a hash limit then leaves a few times ``n`` rows of a large group, so
-    no task ranks more. A group with fewer rows is whole.
+    Group sizes come from a count and meet the rows without moving them (``attach_facts``); a hash limit
+    then leaves a few times ``n`` rows of a large group, and only those are sent and ranked. A group with
+    fewer rows is whole. Rows without a group are left out.
     """
-    sizes = rows.groupBy(by).agg(F.count("*").alias("__size"))
+    sizes = rows.filter(named(by).isNotNull()).groupBy(by).agg(F.count("*").alias("__size"))
     hashed = F.xxhash64(named(key), F.lit(seed))
     wanted = n if isinstance(n, Column) else F.lit(n)
     share = F.least(F.lit(1.0), 2 * (wanted + 50) / F.col("__size"))
     low = F.pmod(hashed, F.lit(1 << 30)) < share * (1 << 30)
     rank = F.row_number().over(Window.partitionBy(by).orderBy(hashed, named(key)))
     return (
-        rows.join(sizes, by)
+        attach_facts(rows, sizes, [by], "inner")
         .filter(low)
         .withColumn("__rank", rank)
         .filter(F.col("__rank") <= wanted)
@@ -140,18 +142,22 @@ def least_hashes(rows: DataFrame, key: str, by: str, n: int | Column, seed: int)
 def sample_rows(
     docs: DataFrame, chosen: DataFrame, key: str, columns: Sequence[str], bound: int
 ) -> list:
-    """Rows of ``docs`` for at most ``bound`` keys of ``chosen`` (key, extra columns), on the driver.
+    """One row of ``docs`` for each of at most ``bound`` keys of ``chosen`` (key, extra columns), on the driver.
 
     Keys and extra columns are picked first and travel as a small table, so no text of an unused
-    row leaves its task.
+    row leaves its task. Of rows that share a key the least one is taken.
     """
     picked = chosen.limit(bound).collect()
     if not picked:
         return []
     small = docs.sparkSession.createDataFrame(picked, chosen.schema)
+    extra = [c for c in chosen.columns if c != key]
     return (
         docs.select(key, *columns)
         .join(F.broadcast(small), key)
+        .groupBy(key, *extra)
+        .agg(F.min(F.struct(*columns)).alias("__row"))
+        .select(key, *extra, "__row.*")
         .orderBy(F.xxhash64(key), key)
         .collect()
     )
