@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm import mixture, pieces, quality_rules, secrets, simhash
@@ -31,19 +31,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id.
 
-    Near-duplicates have a Jaccard similarity of 0.8 or more on shingles of five words.
+    Near-duplicates are linked by SimHash fingerprints of three-word shingles that differ in at most two bits.
     Of rows that share that id, the one with the smallest hash of its text stays; rows that share an id but
     are no near-duplicates are in groups of their own. Rows without an id cannot be told apart and stay.
+    Null and empty texts are near-duplicates of each other. An empty table gives an empty one.
     """
     marked = docs.withColumn("__hash", F.xxhash64("text"))
-    found = simhash.similar_documents(marked, keep=["__hash"])
+    known = marked.filter("doc_id is not null")
+    found = simhash.near_duplicates(
+        known, shingle=simhash.SHINGLE, max_bits=simhash.MAX_BITS, keep=["__hash"]
+    )
     best = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "__hash")).alias("best"))
     best = best.select("best.*").distinct()
-    first = Window.partitionBy("doc_id", "__hash").orderBy(F.xxhash64("lang", "source", "n_chars"))
-    kept = marked.join(best, ["doc_id", "__hash"], "left_semi")
-    return kept.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*COLUMNS).union(
-        docs.filter("doc_id is null").select(*COLUMNS)
+    # copies of one row are alike but for the other columns; the least of them stays
+    one = known.groupBy("doc_id", "__hash").agg(
+        F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")
     )
+    kept = one.join(best, ["doc_id", "__hash"], "left_semi").select("doc_id", "row.*")
+    return kept.union(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
