@@ -88,4 +88,43 @@ SELECT doc_id, size, source_size, target,
 FROM joined
 """
 
-SQL = {"op3_substring_dedup": SUBSTRING_DEDUP, "op8_mixture": MIXTURE}
+DIVERGENCE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+once AS (
+  SELECT doc, lang, source, term, COUNT(*) AS n
+  FROM (SELECT doc, lang, source, unnest(terms) AS term FROM docs) GROUP BY ALL),
+counts AS (SELECT lang, source, term, SUM(n) AS n, COUNT(*) AS docs FROM once GROUP BY ALL),
+kept AS (SELECT lang, term, SUM(n) AS n FROM counts GROUP BY ALL HAVING SUM(docs) >= 30),
+langs AS (SELECT lang, SUM(n) AS total, COUNT(*) AS v FROM kept GROUP BY ALL),
+groups AS (
+  SELECT g.lang, g.source, coalesce(SUM(c.n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) g
+  LEFT JOIN (SELECT c.* FROM counts c JOIN kept USING (lang, term)) c ON g.lang = c.lang AND g.source = c.source
+  GROUP BY ALL),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + CAST(1000000000 AS HUGEINT) * CAST(coalesce(c.n, 0) + 5 AS HUGEINT)
+             // CAST(g.total + 5 * l.v AS HUGEINT) AS p,
+         1 + CAST(1000000000 AS HUGEINT) * CAST(k.n + 5 AS HUGEINT) // CAST(l.total + 5 * l.v AS HUGEINT) AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN langs l ON g.lang = l.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, SUM(abs(a.p - b.p)) AS value
+  FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM cells WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+SQL = {"op3_substring_dedup": SUBSTRING_DEDUP, "op8_mixture": MIXTURE, "op13_divergence": DIVERGENCE}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm import (
+    divergence,
     language,
     lattice,
     mixture,
@@ -112,6 +113,11 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+@query
+def op13_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.source_divergence(documents(spark, sf))
+
+
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
