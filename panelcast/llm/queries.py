@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm import (
+    alignment,
     divergence,
     language,
     lattice,
@@ -40,11 +41,15 @@ def labels(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/labels.parquet")
 
 
-def piece_model() -> str:
+def vocabulary(name: str) -> str:
     """The vocabulary file of a public tokenizer, where it is installed."""
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
+
+
+def piece_model() -> str:
+    return vocabulary("piece_bpe_32k.model")
 
 
 @query
@@ -113,6 +118,13 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+@query
+def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.align_tokens(
+        documents(spark, sf), vocabulary("byte_bpe_50k.json"), piece_model(), digests=True
+    )
+
+
 @query
 def op13_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.source_divergence(documents(spark, sf))
