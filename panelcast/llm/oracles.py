@@ -88,6 +88,31 @@ SELECT doc_id, size, source_size, target,
 FROM joined
 """
 
+BYTE_DEDUP = """
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(hex(coalesce(text, '')), '(..)', '\\1 ', 'g'), ' ') AS xs
+  FROM documents),
+bytes AS (
+  SELECT r, doc_id, unnest(xs) AS b, unnest(range(0, len(xs))) AS i FROM texts),
+windows AS (
+  SELECT r, doc_id, b, i, COUNT(*) OVER w AS n, string_agg(b, '') OVER w AS k
+  FROM bytes WHERE b <> '' WINDOW w AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+least AS (SELECT k, MIN(doc_id) AS smallest FROM windows WHERE n = 50 GROUP BY k),
+hits AS (
+  SELECT w.r, w.doc_id, w.b, w.i, CAST(n = 50 AND smallest < w.doc_id AS INTEGER) AS hit
+  FROM windows w LEFT JOIN least USING (k)),
+covered AS (
+  SELECT *, coalesce(MAX(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone FROM hits),
+edged AS (SELECT *, coalesce(LAG(gone) OVER (PARTITION BY r ORDER BY i), 0) AS before FROM covered),
+sums AS (
+  SELECT r, COUNT(*) AS n_bytes, SUM(gone) AS n_removed, SUM(CAST(gone = 1 AND before = 0 AS INTEGER)) AS n_spans,
+         string_agg(b, '' ORDER BY i) FILTER (WHERE gone = 0) AS kept
+  FROM edged GROUP BY r)
+SELECT t.doc_id, CAST(coalesce(n_bytes, 0) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM texts t LEFT JOIN sums s ON t.r = s.r
+"""
+
 DIVERGENCE = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -127,4 +152,4 @@ ranked AS (
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
 """
 
-SQL = {"op3_substring_dedup": SUBSTRING_DEDUP, "op8_mixture": MIXTURE, "op13_divergence": DIVERGENCE}
+SQL = {"op3_substring_dedup": SUBSTRING_DEDUP, "op8_mixture": MIXTURE, "op11_suffix_dedup": BYTE_DEDUP, "op13_divergence": DIVERGENCE}

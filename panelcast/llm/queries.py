@@ -20,6 +20,7 @@ from panelcast.llm import (
     secrets,
     simhash,
     substring_dedup,
+    suffix_family,
     toxicity,
 )
 from panelcast.llm.text import learned_fold
@@ -118,6 +119,13 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+@query
+def op11_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffix_family.remove_repeated_bytes(documents(spark, sf))
+    digest = F.sha2("kept", 256).alias("kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", digest)
+
+
 @query
 def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.align_tokens(
