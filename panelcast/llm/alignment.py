@@ -23,6 +23,7 @@ import json
 import os
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from panelcast.llm.text import filled, map_texts, row_of
 from panelcast.operators.lineage import stored
 
 HOT = 1 << 19  # id pairs whose counts travel to all tasks, 17 bytes each
-TABLE_PARTS = 150_000  # aligned parts kept per task
+TABLE_PARTS = 250_000  # aligned parts kept per task
 TABLE_CHARS = 1 << 22
 PARTIAL_PAIRS = 1 << 21  # pairs a task counts before it sends
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -54,7 +55,7 @@ def byte_values() -> dict[str, int]:
 
 
 class Aligner:
-    """Both vocabularies, and the bytes of their entries by id."""
+    """Both vocabularies, and how many bytes an entry stands for, by id."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
@@ -69,32 +70,26 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         values = byte_values()
         vocabulary = self.a.get_vocab(with_added_tokens=False)
-        self.a_bytes = [b""] * (max(self.a.get_vocab().values()) + 1)
-        for entry, i in vocabulary.items():
-            if all(c in values for c in entry):
-                self.a_bytes[i] = bytes(values[c] for c in entry)
+        if not all(c in vocabulary for c in values):
+            raise ValueError("A must have an entry for every byte")
+        # an entry has a character per byte
+        self.a_size = np.ones(max(self.a.get_vocab().values()) + 1, np.int64)
+        self.a_size[list(vocabulary.values())] = [len(entry) for entry in vocabulary]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode()
-            for i, p in enumerate(pieces)
-        ]
-        self.a_names = [str(i) for i in range(len(self.a_bytes))]
-        self.b_names = [str(i) for i in range(len(self.b_bytes))]
-        self.a_size = np.array([len(x) for x in self.a_bytes])
-        self.b_size = np.array([len(x) for x in self.b_bytes])
+        self.b_size = np.array(
+            [1 if self.b.is_byte(i) else len(p.replace(MARK, " ").encode()) for i, p in enumerate(pieces)]
+        )
+        self.a_names = [str(i) for i in range(len(self.a_size))]
+        self.b_names = [str(i) for i in range(len(self.b_size))]
         self.batch = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
 
-    def encoded(self, parts: Sequence[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Ids of A (a blank in front) and of B (which adds it) per part, and whether both give its bytes."""
+    def encoded(self, parts: Sequence[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and numbers of ids per part: of A, with a blank in front, and of B, which adds it."""
         a = [e.ids for e in self.batch([" " + p for p in parts], add_special_tokens=False)]
         b = self.b.encode(list(parts), num_threads=1)
-        whole = [(" " + p).encode() for p in parts]
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        same = [
-            b"".join([a_bytes[i] for i in x]) == w == b"".join([b_bytes[i] for i in y])
-            for x, y, w in zip(a, b, whole)
-        ]
-        return a, b, np.array(same, bool)
+        sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b)]
+        ids = [np.fromiter(chain.from_iterable(x), np.int64, n.sum()) for x, n in zip((a, b), sizes)]
+        return ids, sizes
 
 
 def coalesced(start: np.ndarray, end: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +113,7 @@ class PartTable:
 
     def __init__(self, aligner: Aligner) -> None:
         self.aligner = aligner
-        self.b_ids = len(aligner.b_bytes)
+        self.b_ids = len(aligner.b_size)
         self.clear()
 
     def clear(self) -> None:
@@ -130,15 +125,34 @@ class PartTable:
         self.starts = np.zeros(1, np.int64)
         self.pairs = np.empty(0, np.int64)
         self.times = np.empty(0, np.int64)
-
-    def codes(self, parts: Sequence[str]) -> list[int]:
+        self.seen = np.empty(0, np.int64)
+
+    def thin(self) -> None:
+        """Keeps the parts seen twice or more since the table was thinned, all gone if that is most of them."""
+        keep = np.flatnonzero(self.seen > 1)
+        texts = list(self.index)
+        if 2 * len(keep) > TABLE_PARTS or 2 * sum(len(texts[i]) for i in keep.tolist()) > TABLE_CHARS:
+            self.clear()
+            return
+        size = np.diff(self.starts)[keep]
+        at = np.repeat(self.starts[keep] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        self.index = {texts[i]: n for n, i in enumerate(keep.tolist())}
+        self.chars = sum(map(len, self.index))
+        self.groups = [self.groups[i] for i in keep.tolist()]
+        self.same, self.counts = self.same[keep], self.counts[keep]
+        self.starts = np.append(0, np.cumsum(size))
+        self.pairs, self.times = self.pairs[at], self.times[at]
+        self.seen = np.zeros(len(keep), np.int64)
+
+    def codes(self, parts: Sequence[str]) -> np.ndarray:
         """The number of every part; parts not seen yet are aligned."""
         index, known = self.index, len(self.index)
-        found = [index.setdefault(p, len(index)) for p in parts]
+        found = np.array([index.setdefault(p, len(index)) for p in parts], np.int64)
         if len(index) > known:
-            new = list(index)[known:]
+            new = list(islice(index, known, None))
             self.chars += sum(map(len, new))
             self._add(new)
+        self.seen += np.bincount(found, minlength=len(self.seen))
         return found
 
     def full(self) -> bool:
@@ -146,11 +160,15 @@ class PartTable:
 
     def _add(self, parts: Sequence[str]) -> None:
         al = self.aligner
-        a, b, same = al.encoded(parts)
+        (a_ids, b_ids), (a_len, b_len) = al.encoded(parts)
+        whole = np.fromiter((len(p.encode()) + 1 for p in parts), np.int64, len(parts))
+        # neither vocabulary rewrites text but for the mark of blanks, so bytes are as many only if they are the same
+        same = np.ones(len(parts), bool)
+        for ids, n, size in ((a_ids, a_len, al.a_size), (b_ids, b_len, al.b_size)):
+            same &= np.bincount(np.repeat(np.arange(len(parts)), n), weights=size[ids], minlength=len(parts)) == whole
         good = np.flatnonzero(same)
-        a, b = [a[i] for i in good], [b[i] for i in good]
-        a_len, b_len = (np.array([len(x) for x in y], np.int64) for y in (a, b))
-        a_ids, b_ids = (np.array([i for x in y for i in x], np.int64) for y in (a, b))
+        a_ids, b_ids = a_ids[np.repeat(same, a_len)], b_ids[np.repeat(same, b_len)]
+        a_len, b_len = a_len[good], b_len[good]
         a_end, b_end = np.cumsum(al.a_size[a_ids]), np.cumsum(al.b_size[b_ids])
         a_start, b_start = a_end - al.a_size[a_ids], b_end - al.b_size[b_ids]
         a_part, b_part = row_of(np.append(0, np.cumsum(a_len))), row_of(np.append(0, np.cumsum(b_len)))
@@ -194,6 +212,7 @@ class PartTable:
         self.groups += texts
         self.counts = np.concatenate([self.counts, counts])
         self.same = np.append(self.same, same)
+        self.seen = np.append(self.seen, np.zeros(len(parts), np.int64))
 
     def linked(self, text: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, pair, times): different pairs of every text and how often they are linked there, in
@@ -220,10 +239,10 @@ def _aligner(a_path: str, b_path: str) -> Aligner:
 def _aligned(table: PartTable, texts: pa.Array, digests: bool):
     """Counts, groups and packed links of a slice of texts."""
     if table.full():
-        table.clear()
+        table.thin()
     cut = [CUT.split(t) if t else [] for t in filled(texts).to_pylist()]
     sizes = np.array([len(c) for c in cut], np.int64)
-    flat = np.array(table.codes([p for c in cut for p in c]), np.int64)
+    flat = table.codes([p for c in cut for p in c])
     text = np.repeat(np.arange(len(cut)), sizes)
     bad = np.zeros(len(cut), bool)
     bad[text[~table.same[flat]]] = True
