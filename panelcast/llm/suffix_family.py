@@ -33,18 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.expressions import named
-from panelcast.llm.substring_dedup import _spans, prefix_hashes, prefix_lengths
+from panelcast.llm.substring_dedup import _spans
 from panelcast.llm.text import filled, mixed, row_of, slices
 from panelcast.operators.lineage import stored
 
 WINDOW = 50
-BUCKET = 1 << 22  # bytes of text in a bucket
-GROUP = 1 << 22  # bytes of text whose suffixes a group may hold, if all repeat
+BUCKET = 1 << 21  # bytes of text in a bucket
+GROUP = 1 << 21  # bytes of text whose suffixes a group may hold, if all repeat
 ANCHORS = 1 << 20  # anchors of a group of the first pass
 CROWDED = 1 << 20  # most anchors whose suffixes are dealt by content
 CROWD = 4096  # fewest occurrences of such an anchor
 BATCH = 1 << 16  # suffixes that make up a batch
-BLOCK = 1 << 20  # windows formed at once
+BLOCK = 1 << 17  # windows formed at once
 FLUSH = 1 << 23  # bytes of text a task gathers before it sends
 
 
@@ -87,6 +87,23 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets.astype(np.int64) - offsets[0], data
 
 
+def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of every k-gram of bytes: a polynomial, put together from halves, mixed at the end."""
+    base = pow(0x9E3779B97F4A7C15, 1, 1 << 64)
+    size, h, out, done = 1, data.astype(np.uint64), None, 0
+    while True:
+        if k & size:  # the binary parts of k, small ones first
+            shift = np.uint64(pow(base, done, 1 << 64))
+            count = len(data) - k + 1
+            part = h[k - done - size :][:count]
+            out = part.copy() if out is None else out + part * shift
+            done += size
+        if 2 * size > k:
+            return mixed(out)
+        h = h[: len(h) - size] * np.uint64(pow(base, size, 1 << 64)) + h[size:]
+        size *= 2
+
+
 def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
     """The least of every n neighbours."""
     span = 1
@@ -104,7 +121,7 @@ def anchored(offsets: np.ndarray, data: np.ndarray, window: int) -> Iterator[tup
     place = np.uint64((1 << 32) - 1)
     for low in range(0, len(data) - window + 1, BLOCK):
         part = data[low : low + BLOCK + window - 1]
-        h = prefix_hashes(mixed(part.astype(np.uint64) + np.uint64(1)), prefix_lengths(k))[-1]
+        h = gram_hashes(part, k)
         # the first of equal hashes is the anchor: the place breaks ties
         least = sliding_least((h & ~place) | np.arange(len(h), dtype=np.uint64), window - k + 1) & place
         n = len(least)
@@ -120,6 +137,22 @@ def contents(data: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(data, window)[starts].view(f"S{window}").ravel()
 
 
+def content_order(found: np.ndarray) -> np.ndarray:
+    """The order of the windows by content: by their first eight bytes, and whole where those are equal."""
+    window = found.dtype.itemsize
+    if window < 8:
+        return np.argsort(found, kind="stable")
+    head = np.ascontiguousarray(found.view(np.uint8).reshape(len(found), window)[:, :8])
+    head = head.view(">u8").ravel().astype(np.uint64)
+    order = np.argsort(head)
+    ordered = head[order]
+    same = ordered[1:] == ordered[:-1]
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(found) else order
+    some = order[tied]
+    order[tied] = some[np.argsort(found[some], kind="stable")]
+    return order
+
+
 def content_hashes(found: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every window."""
     window = found.dtype.itemsize
@@ -327,7 +360,7 @@ def bucket_suffixes(window: int, anchor_groups: int, groups: int, crowded: np.nd
             return _table([])
         start, row, code, at = (np.concatenate(x) for x in zip(*found))
         content = contents(data, start, window)
-        order = np.argsort(content, kind="stable")
+        order = content_order(content)
         new = runs(content, order)
         first = np.flatnonzero(new)
         own = keys[row[order]]
@@ -371,7 +404,7 @@ class Family:
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # contents, documents, ids
 
     def add(self, content: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        order = np.argsort(content, kind="stable")  # the batch's suffix array
+        order = content_order(content)  # the batch's suffix array
         content, doc, ids = content[order], doc[order], ids[order]
         first = np.flatnonzero(runs(content, np.arange(len(content))))
         least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(doc))))
