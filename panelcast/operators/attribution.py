@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.expressions import named
+from panelcast.operators.quantiles import exact_quantiles
 
 
 
@@ -186,32 +187,29 @@ def decompose_rows(
     )
 
 
-def phi_distribution(phi: DataFrame, accuracy: int = 10000) -> DataFrame:
+def phi_distribution(phi: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Spread of the shares per feature: count, mean, extremes and quartiles.
 
-    Quartiles come from a mergeable sketch whose rank error is 1 / accuracy, so a feature's values
-    are never gathered in one task.
+    Quartiles are values of the data, found exactly by selection of ranks. With ``accuracy`` they come from one
+    pass with a mergeable sketch whose rank error is 1 / accuracy. A feature's values are never gathered in one task.
     """
-    quartiles = F.approx_percentile(
-        "phi", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy
-    )
-    stats = phi.groupBy("feature").agg(
+    quartiles = {"q25_phi": 0.25, "q50_phi": 0.5, "q75_phi": 0.75}
+    aggs = [
         F.count(F.lit(1)).alias("n"),
         F.avg("phi").alias("mean_phi"),
         F.min("phi").alias("min_phi"),
         F.max("phi").alias("max_phi"),
-        quartiles.alias("__q"),
-    )
-    return stats.select(
-        "feature",
-        "n",
-        "mean_phi",
-        "min_phi",
-        F.get("__q", F.lit(0)).alias("q25_phi"),
-        F.get("__q", F.lit(1)).alias("q50_phi"),
-        F.get("__q", F.lit(2)).alias("q75_phi"),
-        "max_phi",
+    ]
+    columns = ["feature", "n", "mean_phi", "min_phi", *quartiles, "max_phi"]
+    if accuracy is not None:
+        sketch = F.approx_percentile("phi", F.array(*[F.lit(p) for p in quartiles.values()]), accuracy)
+        stats = phi.groupBy("feature").agg(*aggs, sketch.alias("__q"))
+        return stats.withColumns({c: F.get("__q", F.lit(i)) for i, c in enumerate(quartiles)}).select(*columns)
+    found = exact_quantiles(phi, "phi", list(quartiles.values()), ["feature"], interpolate=False)
+    wide = found.groupBy("feature").agg(
+        *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(c) for c, p in quartiles.items()]
     )
+    return phi.groupBy("feature").agg(*aggs).join(wide, "feature").select(*columns)
 
 
 def phi_dependence(

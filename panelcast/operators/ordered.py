@@ -7,8 +7,8 @@ How the rows of a series are spread decides whether these scale:
   A window partitioned by series is then bounded too, and costs one shuffle.
 * Anything else: a timestamp, a DATE with a column that breaks ties, a whole table. One series
   may hold any share of all rows. The series is cut into chunks
-  of its order; each chunk receives the few rows before it that a trailing frame can reach, and a
-  header with the number of rows before it. The window is partitioned by (series, chunk), so the
+  of its order; each chunk receives the few rows before it that a trailing frame can reach, the few after
+  it where a frame looks ahead, and a header with the number of rows before it. The window is partitioned by (series, chunk), so the
   rows still cross one shuffle and no task holds a whole series. Results are the same.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from panelcast.functions.expressions import missing_to_null, named
 from panelcast.operators.lineage import attach_facts
 
-_ROW, _HALO, _HEADER = 2, 1, 0
+_HEADER, _HALO, _ROW, _AHEAD = 0, 1, 2, 3
 SAMPLE_PER_CHUNK = 100
 SAMPLE_LIMIT = 1_000_000
 Build = Callable[[WindowSpec, Column, Column], dict[str, Column]]
@@ -86,12 +86,13 @@ def over_rows(
     reach: int,
     build: Build,
     chunk: Column | None = None,
+    ahead: int = 0,
 ) -> DataFrame:
     """Append columns computed over the ordered rows of each group.
 
     ``build(window, position, total)`` returns the new columns. ``window`` is ordered and may be
-    used with ``lag`` up to ``reach`` rows and with frames of at most ``reach`` preceding rows;
-    ``position`` is the 1-based row number in the group and ``total`` its row count. Group and
+    used with ``lag`` up to ``reach`` rows, ``lead`` up to ``ahead`` rows and with frames of as many
+    preceding and following rows; ``position`` is the 1-based row number in the group and ``total`` its row count. Group and
     order keys must not be NULL, and ``order`` must be unique within a group.
     ``chunk`` is any expression that never decreases along the order.
     """
@@ -117,38 +118,10 @@ def over_rows(
     parts = rows.withColumn("__kind", F.lit(_ROW)).unionByName(
         index.drop("__rows").withColumn("__kind", F.lit(_HEADER)), allowMissingColumns=True
     )
-    if reach:
-        backwards = Window.partitionBy(*groups, "__chunk").orderBy(*[c.desc() for c in ordering])
-        tails = rows.withColumn("__back", F.row_number().over(backwards)).filter(
-            F.col("__back") <= reach
-        )
-        # The next chunks that still reach back into this one; `__gap` rows lie in between.
-        ahead = F.collect_list(
-            F.struct(F.col("__chunk").alias("target"), F.col("__before").alias("start"))
-        ).over(along.rowsBetween(1, reach))
-        followers = (
-            index.withColumn("__ahead", ahead)
-            .select(
-                *groups,
-                "__chunk",
-                (F.col("__before") + F.col("__rows")).alias("__end"),
-                F.inline("__ahead"),
-            )
-            .select(
-                *groups,
-                "__chunk",
-                F.col("target").alias("__target"),
-                (F.col("start") - F.col("__end")).alias("__gap"),
-            )
-        )
-        halo = (
-            tails.join(followers.filter(F.col("__gap") < reach), [*by, "__chunk"])
-            .filter(F.col("__back") + F.col("__gap") <= reach)
-            .withColumn("__chunk", F.col("__target"))
-            .withColumn("__kind", F.lit(_HALO))
-            .drop("__target", "__gap", "__back")
-        )
-        parts = parts.unionByName(halo, allowMissingColumns=True)
+    for steps, kind in ((reach, _HALO), (ahead, _AHEAD)):
+        if steps:
+            halo = _neighbours(rows, index, by, order, steps, kind)
+            parts = parts.unionByName(halo, allowMissingColumns=True)
     window = Window.partitionBy(*groups, "__chunk").orderBy("__kind", *ordering)
     running = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     position = F.max("__before").over(running) + F.sum(
@@ -161,6 +134,44 @@ def over_rows(
     return kept.select(*[named(c) for c in [*df.columns, *made]])
 
 
+def _neighbours(
+    rows: DataFrame, index: DataFrame, by: Sequence[str], order: Sequence[str], steps: int, kind: int
+) -> DataFrame:
+    """Copies of the rows within ``steps`` rows of another chunk, given to that chunk as ``kind``.
+
+    ``_HALO`` copies the last rows of a chunk forwards, ``_AHEAD`` the first ones backwards. ``__gap`` rows
+    lie between the two chunks.
+    """
+    groups = [named(c) for c in by]
+    ordering = [named(c) for c in order]
+    forwards = kind == _HALO
+    nearest = [c.desc() for c in ordering] if forwards else ordering
+    edge = Window.partitionBy(*groups, "__chunk").orderBy(*nearest)
+    edges = rows.withColumn("__back", F.row_number().over(edge)).filter(F.col("__back") <= steps)
+    end = F.col("__before") + F.col("__rows")
+    along = Window.partitionBy(*groups).orderBy("__chunk")
+    others = along.rowsBetween(1, steps) if forwards else along.rowsBetween(-steps, -1)
+    seen = F.struct(
+        F.col("__chunk").alias("target"), (F.col("__before") if forwards else end).alias("border")
+    )
+    near = index.withColumn("__near", F.collect_list(seen).over(others)).select(
+        *groups, "__chunk", (end if forwards else F.col("__before")).alias("__own"), F.inline("__near")
+    )
+    near = near.select(
+        *groups,
+        "__chunk",
+        F.col("target").alias("__target"),
+        F.abs(F.col("border") - F.col("__own")).alias("__gap"),
+    )
+    return (
+        edges.join(near.filter(F.col("__gap") < steps), [*by, "__chunk"])
+        .filter(F.col("__back") + F.col("__gap") <= steps)
+        .withColumn("__chunk", F.col("__target"))
+        .withColumn("__kind", F.lit(kind))
+        .drop("__target", "__gap", "__back")
+    )
+
+
 def rolling_mean(
     df: DataFrame,
     col: str,

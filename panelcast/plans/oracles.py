@@ -7,7 +7,7 @@ from statistics import NormalDist
 
 from panelcast.operators.grid import grid_points
 from panelcast.operators.stationarity import RESPONSE
-from panelcast.plans import tree_oracles
+from panelcast.plans import series_oracles, tree_oracles
 from panelcast.plans.market import LINEAR_MODEL
 from panelcast.plans.queries import (
     EXOG,
@@ -1152,5 +1152,6 @@ binned AS (
        round(avg(phi), 4) AS mean_phi FROM binned GROUP BY feature, bin"""
     )
     sql |= tree_oracles.tree_sql(FINE)
+    sql |= series_oracles.series_sql(MARKET, PANEL, FINE)
     sql["scan_table"] = sql["scan_panel"]
     return sql

@@ -13,16 +13,22 @@ from panelcast.functions.expressions import fourier_features as add_fourier
 from panelcast.functions.names import feature_cols
 from panelcast.operators import (
     attribution,
+    decompose,
     grid,
     metrics,
     ordered,
+    penalized,
+    quantiles,
     sarx,
+    screening,
     search,
     shape,
+    smoothing,
     stationarity,
     stats,
     trees,
     trend_season,
+    vector_auto,
 )
 from panelcast.operators.lineage import cut
 from panelcast.plans import market
@@ -620,6 +626,157 @@ def driver_forecast(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded_scores(metrics.metrics(both, by=["series_id", "forecaster"]))
 
 
+# --- decomposition, smoothing, several columns at once -------------------------------------------
+
+
+@query
+def decompose_additive(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(decompose.seasonal_decompose(market.market_size(spark, sf), 12))
+
+
+@query
+def decompose_multiplicative(spark: SparkSession, sf: str) -> DataFrame:
+    panel = market.market_size(spark, sf)
+    return rounded(decompose.seasonal_decompose(panel, 12, "multiplicative"))
+
+
+@query
+def event_decompose(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw events by 24 rows: five series hold all rows, the average looks over chunk borders both ways."""
+    rows = decompose.seasonal_decompose(
+        market.event_rows(spark, sf), 24, y="value", order=["ds", "event_id"]
+    )
+    return rounded(rows.select("event_id", "trend", "seasonal", "resid"), 6)
+
+
+WEIGHTS = smoothing.Weights()
+
+
+@query
+def smoothing_search(spark: SparkSession, sf: str) -> DataFrame:
+    trials = smoothing.smoothing_trials(market.market_size(spark, sf), WEIGHTS)
+    return trials.withColumn("sse", F.round("sse", 1))
+
+
+def _smoothed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    train, test = _train_test(spark, sf)
+    train, test = train.select("series_id", "ds", "y"), test.select("series_id", "ds", "y")
+    return cut(smoothing.fit_smoothing(train, WEIGHTS)), train, test
+
+
+@query
+def smoothing_model(spark: SparkSession, sf: str) -> DataFrame:
+    model, _, _ = _smoothed(spark, sf)
+    state = [F.get("last_state", F.lit(i)).alias(c) for i, c in enumerate(("level", "trend", "next_season"))]
+    return rounded(
+        model.select("series_id", "trial_id", "alpha", "beta", "gamma", "n", F.round("sse", 1).alias("sse"), *state), 4
+    )
+
+
+@query
+def smoothing_fitted(spark: SparkSession, sf: str) -> DataFrame:
+    model, train, _ = _smoothed(spark, sf)
+    return rounded(smoothing.smoothed_rows(model, train), 4)
+
+
+@query
+def smoothing_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    model, _, test = _smoothed(spark, sf)
+    predicted = smoothing.forecast_smoothing(model, test)
+    return rounded(metrics.align_forecast(test, predicted).join(
+        predicted.drop("yhat", "reason"), ["series_id", "ds"]
+    ), 3)
+
+
+VAR_COLUMNS = ["y", "x_qty"]
+
+
+@query
+def var_coefficients(spark: SparkSession, sf: str) -> DataFrame:
+    train, _ = _train_test(spark, sf)
+    model = vector_auto.fit_var(train, VAR_COLUMNS, 1, fixed=True)
+    return rounded(vector_auto.var_coefficients(model, VAR_COLUMNS), 4)
+
+
+@query
+def var_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """Joint forecast of size and quantity of every segment over the held-out year."""
+    train, test = _train_test(spark, sf)
+    model = cut(vector_auto.fit_var(train, VAR_COLUMNS, 1, fixed=True))
+    return rounded(vector_auto.forecast_var(model, train, test, VAR_COLUMNS).drop("reason"), 2)
+
+
+# --- penalised regression, screening of features ------------------------------------------------
+
+PENALTIES = [0.0, 0.02, 0.1, 0.4]
+L1_RATIOS = [0.0, 0.5, 1.0]
+
+
+@query
+def elastic_net_path(spark: SparkSession, sf: str) -> DataFrame:
+    panel = market.model_panel(spark, sf)
+    path = penalized.elastic_net(panel, MODEL_FEATURES, PENALTIES, L1_RATIOS, by=["series_id"])
+    return rounded(path.select("series_id", "l1_ratio", "penalty", "term", "coefficient", "n", "r2"), 4)
+
+
+def _fold_scores(spark: SparkSession, sf: str, features: list[str]) -> DataFrame:
+    folded = ordered.series_folds(cut(market.model_panel(spark, sf)), 5)
+    return penalized.cross_validate(folded, features, PENALTIES, L1_RATIOS, by=["series_id"])
+
+
+@query
+def ridge_fold_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out scores of one regressor at every penalty, all from one pass over the rows."""
+    return rounded(_fold_scores(spark, sf, ["x_qty"]).withColumn("mse", F.round("mse", 2)))
+
+
+@query
+def elastic_net_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Exhaustive search over penalties and ratios: each segment's best point, refitted on all its rows."""
+    best = cut(penalized.grid_search(_fold_scores(spark, sf, MODEL_FEATURES), ["series_id"]))
+    path = penalized.elastic_net(
+        market.model_panel(spark, sf), MODEL_FEATURES, PENALTIES, L1_RATIOS, by=["series_id"]
+    )
+    found = penalized.refit_best(path, best, ["series_id"])
+    return rounded(found.select("series_id", "l1_ratio", "penalty", "mean_r2", "term", "coefficient"), 4)
+
+
+@query
+def feature_f_tests(spark: SparkSession, sf: str) -> DataFrame:
+    panel = market.model_panel(spark, sf).withColumn("x_flat", F.lit(1.0))
+    return rounded(screening.f_regression(panel, [*MODEL_FEATURES, "x_flat"], by=["series_id"]), 6)
+
+
+@query
+def k_best_features(spark: SparkSession, sf: str) -> DataFrame:
+    panel = market.model_panel(spark, sf, fine=True)
+    best = screening.select_k_best(panel, MODEL_FEATURES, 1, ["series_id", "ds"])
+    name = best.columns[-1]
+    return rounded(best.select("series_id", "ds", F.lit(name).alias("best_feature"), F.col(name).alias("best_value")))
+
+
+@query
+def inflation_factors(spark: SparkSession, sf: str) -> DataFrame:
+    panel = market.model_panel(spark, sf, fine=True)
+    return rounded(screening.inflation_factors(panel, ["y", "x_qty", "x_price"]), 4)
+
+
+@query
+def shared_information(spark: SparkSession, sf: str) -> DataFrame:
+    """Information that eight equal bins of each feature share with eight equal bins of the target."""
+    panel = market.model_panel(spark, sf, fine=True)
+    return rounded(screening.mutual_information(panel, MODEL_FEATURES, bins=8), 6)
+
+
+@query
+def event_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact quantiles of the raw events' values: five groups hold all rows."""
+    found = quantiles.exact_quantiles(
+        market.event_rows(spark, sf), "value", [0.01, 0.25, 0.5, 0.75, 0.99], ["series_id"], settle=1000
+    )
+    return rounded(found)
+
+
 # --- tree ensembles ------------------------------------------------------------------------------
 
 SMALL_GBT = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.2}
@@ -842,7 +999,7 @@ def row_decomposition(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def phi_distribution(spark: SparkSession, sf: str) -> DataFrame:
     phi = market.linear_phi(market.model_panel(spark, sf, fine=True))
-    spread = attribution.phi_distribution(phi, 1_000_000)
+    spread = attribution.phi_distribution(phi)
     # The mean is zero but for rounding; adding zero drops the sign of a negative zero.
     return spread.withColumn("mean_phi", F.round("mean_phi", 4) + F.lit(0.0))
 
