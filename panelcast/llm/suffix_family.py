@@ -38,8 +38,8 @@ from panelcast.llm.text import filled, mixed, row_of, slices
 from panelcast.operators.lineage import stored
 
 WINDOW = 50
-BUCKET = 1 << 21  # bytes of text in a bucket
-GROUP = 1 << 21  # bytes of text whose suffixes a group may hold, if all repeat
+BUCKET = 1 << 22  # bytes of text in a bucket
+GROUP = 1 << 22  # bytes of text whose suffixes a group may hold, if all repeat
 ANCHORS = 1 << 20  # anchors of a group of the first pass
 CROWDED = 1 << 20  # most anchors whose suffixes are dealt by content
 CROWD = 4096  # fewest occurrences of such an anchor
@@ -115,7 +115,8 @@ def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchored(offsets: np.ndarray, data: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(start, row, hash of the anchor, place of the anchor) of every window inside one row, block by block."""
+    """Windows that lie in one row, block by block, and the runs of neighbours with one anchor: (start and row of every
+    window, number of windows, hash and place of the anchor of every run)."""
     k = window // 2
     rows = row_of(offsets)
     place = np.uint64((1 << 32) - 1)
@@ -127,7 +128,9 @@ def anchored(offsets: np.ndarray, data: np.ndarray, window: int) -> Iterator[tup
         n = len(least)
         inside = np.flatnonzero(rows[low : low + n] == rows[low + window - 1 : low + window - 1 + n])
         at = least[inside].astype(np.int64)
-        yield low + inside, rows[low + inside], h[at], low + at
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        size = np.diff(np.append(first, len(at)))
+        yield low + inside, rows[low + inside], size, h[at[first]], low + at[first]
 
 
 def contents(data: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
@@ -236,9 +239,9 @@ def sent_anchors(docs: DataFrame, window: int, groups: int, buckets: int) -> Dat
             for part in slices(batch, "__text"):
                 key, bucket = (part.column(c).to_numpy(zero_copy_only=False) for c in ("__key", "__bucket"))
                 offsets, data = text_bytes(part.column("__text"))
-                for _, row, h, at in anchored(offsets, data, window):
-                    one = np.flatnonzero(np.diff(at, prepend=-1))
-                    held.append((codes_of(h[one], groups), key[row[one]], bucket[row[one]]))
+                for _, row, n, h, _ in anchored(offsets, data, window):
+                    own = row[np.cumsum(n) - n]
+                    held.append((codes_of(h, groups), key[own], bucket[own]))
                 size += len(data)
                 if held and size >= FLUSH:
                     yield from flush(held)
@@ -321,11 +324,12 @@ def bucket_rows(table: pa.Table) -> pa.Table:
 
 def _places(keys: np.ndarray, marks: np.ndarray, rows: np.ndarray, positions: np.ndarray, *more: np.ndarray) -> bytes:
     """Places (row, position) in order: key and mark of the rows used, steps between places, more arrays."""
-    used, code = np.unique(rows, return_inverse=True)
-    row_step = np.diff(code, prepend=0)
+    row_step = np.diff(rows, prepend=-1) != 0
+    used = rows[row_step]
     step = np.diff(positions, prepend=0)
-    step[row_step > 0] = positions[row_step > 0]
-    return packed(keys[used], marks[used], row_step.astype(np.uint32), step.astype(np.uint32), *more)
+    step[row_step] = positions[row_step]
+    row_step[:1] = False
+    return packed(keys[used], marks[used], row_step.view(np.uint8), step.astype(np.uint32), *more)
 
 
 def _unplaced(value: bytes) -> tuple[np.ndarray, ...]:
@@ -351,14 +355,21 @@ def bucket_suffixes(window: int, anchor_groups: int, groups: int, crowded: np.nd
             return _table([])
         keys, marks = (rows.column(c).to_numpy() for c in ("__key", "__mark"))
         offsets, data = text_bytes(rows.column("__text"))
-        found = []
-        for start, row, h, at in anchored(offsets, data, window):
+        # per candidate window its start, its row and its anchor; per anchor its code and place
+        found, codes, places, anchors = [], [], [], 0
+        for start, row, n, h, at in anchored(offsets, data, window):
             code = codes_of(h, anchor_groups)
             hit = among(code, known)
-            found.append((start[hit], row[hit], code[hit], at[hit]))
-        if not sum(len(x[0]) for x in found):
+            every, n = np.repeat(hit, n), n[hit]
+            anchor = np.repeat(np.arange(anchors, anchors + len(n)), n)
+            found.append([x.astype(np.int32) for x in (start[every], row[every], anchor)])
+            codes.append(code[hit])
+            places.append(at[hit])
+            anchors += len(n)
+        if not anchors:
             return _table([])
-        start, row, code, at = (np.concatenate(x) for x in zip(*found))
+        start, row, anchor = (np.concatenate(x) for x in zip(*found))
+        code, at = np.concatenate(codes), np.concatenate(places)
         content = contents(data, start, window)
         order = content_order(content)
         new = runs(content, order)
@@ -376,11 +387,12 @@ def bucket_suffixes(window: int, anchor_groups: int, groups: int, crowded: np.nd
         left = order[~larger][one]
         by_place = np.argsort(left)
         left, more = left[by_place], (n > 1)[by_place].astype(np.uint8)
-        start, row, code, at = start[left], row[left], code[left], at[left]
-        crowd = among(code, crowded)
-        group = (mixed(code) % np.uint64(groups)).astype(np.int64)
+        start, row, anchor = start[left].astype(np.int64), row[left], anchor[left]
+        crowd = among(code, crowded)[anchor]
+        group = (mixed(code) % np.uint64(groups)).astype(np.int64)[anchor]
         group[crowd] = (content_hashes(content[left[crowd]]) % np.uint64(groups)).astype(np.int64)
-        joined = (np.diff(start) == 1) & (np.diff(at) == 0) & (np.diff(row) == 0) & ~crowd[1:] & ~crowd[:-1]
+        # an anchor's windows that lie next to each other travel as one stretch; blocks may cut them
+        joined = (np.diff(start) == 1) & (np.diff(at[anchor]) == 0) & ~crowd[1:] & ~crowd[:-1]
         head = np.flatnonzero(np.append(True, ~joined))
         count = np.diff(np.append(head, len(start)))
         for g, these in _by(group[head]):
