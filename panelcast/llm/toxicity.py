@@ -38,9 +38,9 @@ CHAR_SIZES = (3, 4, 5)
 WORD_DIM, CHAR_DIM = 6, 6
 SAMPLE = 2400  # labelled rows the network is trained and calibrated on, at most
 ROUNDS = 60
-DECAY = 1e-4
-SEEN = 5  # training rows that must hold a slot before it gets a vector of its own
-DOUBTED = 0.1  # share of toxic rows, those least like the others, that the last rounds pass over
+DECAY = 1e-3
+SEEN = 3  # training rows that must hold a slot before it gets a vector of its own
+PARTS = 3  # networks that each leave out one part of the rows, for the calibration
 THRESHOLD = 0.7
 SLICE = 1 << 20
 CHUNK = 8192  # windows in one pass
@@ -314,13 +314,41 @@ def train(
     rounds: int = ROUNDS,
     seed: int = 1,
 ) -> ToxicityModel:
-    """Trains on three quarters of the texts and calibrates on the rest, by position.
+    """Trains a network on all texts and calibrates it on logits of texts that a network has not seen.
 
-    ``share`` is the share of toxic rows where the texts were drawn from, if they are no fair draw.
+    ``PARTS`` more networks each leave out a part of the texts, by position, and score it. The slope is fitted on these
+    scores of all texts, and the offset gives ``THRESHOLD`` to the logit that parts them best. ``share`` is the share of toxic rows where the texts were drawn from,
+    if they are no fair draw.
     """
-    fitting = np.arange(len(y)) % 4 != 0
-    laid = lay(pa.array([t for t, f in zip(texts, fitting) if f]))
-    own = y[fitting].astype(np.float32)
+    part = np.arange(len(y)) % PARTS
+    unseen = np.empty(len(y))
+    for i in range(PARTS):
+        known, rest = part != i, part == i
+        p = network([t for t, k in zip(texts, known) if k], y[known], rounds, seed + 1 + i)
+        unseen[rest] = row_logits(lay(pa.array([t for t, r in zip(texts, rest) if r])), p)
+    slope, _ = linear.calibrate(unseen, y)
+    cut = deciding_logit(unseen, y, float(y.mean()) if share is None else share)
+    offset = np.log(THRESHOLD / (1 - THRESHOLD)) - slope * cut
+    return ToxicityModel(network(texts, y, rounds, seed), slope, offset)
+
+
+def deciding_logit(logit: np.ndarray, y: np.ndarray, share: float) -> float:
+    """The logit that parts the classes with the best harmonic mean of precision and recall, where ``share``
+    of all rows are toxic; halfway between two neighbouring values."""
+    order = np.argsort(-logit, kind="stable")
+    ranked, toxic = logit[order], y[order] > 0
+    clean_weight = (1 - share) / share * y.sum() / (len(y) - y.sum())
+    hits, flagged = np.cumsum(toxic), np.cumsum(np.where(toxic, 1.0, clean_weight))
+    f1 = 2 * hits / (flagged + y.sum())
+    f1[:-1][ranked[:-1] == ranked[1:]] = -1  # equal logits stay together
+    best = int(f1.argmax())
+    return float(ranked[best] if best + 1 == len(ranked) else (ranked[best] + ranked[best + 1]) / 2)
+
+
+def network(texts: Sequence[str], y: np.ndarray, rounds: int = ROUNDS, seed: int = 1) -> dict[str, np.ndarray]:
+    """Parameters trained on the texts; all toxic ones take part, each by the window that decides it."""
+    laid = lay(pa.array(list(texts)))
+    own = y.astype(np.float32)
     rng = np.random.default_rng(seed)
     p = start(seed)
     (odds, seen), (char_odds, char_seen) = _warm_start(laid, own)
@@ -332,21 +360,18 @@ def train(
     p["words"][number[seen], 0] = odds[seen]
     first, last = laid.starts[:-1], laid.starts[1:] - 1  # a row's windows
     toxic, clean = np.flatnonzero(own > 0), np.flatnonzero(own == 0)
-    best, trusted = np.zeros(len(own), np.int64), [toxic]
+    best = np.zeros(len(own), np.int64)
 
     def windows(step: int) -> tuple[np.ndarray, np.ndarray]:
-        if step % 4 == 1:  # which window decides a text, under the present parameters
+        if step % 4 == 1:  # which window decides a text, under the present parameters; at first the warm start
             odds = logits(laid, p) if step > 1 else p["words"][laid.slots, 0][laid.places[:-1]].max(axis=1)
             rows = laid.window_rows
             order = np.lexsort((odds, rows))
             ends = np.searchsorted(rows[order], np.arange(len(own)), side="right") - 1
             best[:] = order[ends]
-            if step > 1:
-                ranked = toxic[np.argsort(-odds[best[toxic]], kind="stable")]
-                trusted[0] = ranked[: max(int(len(ranked) * (1 - DOUBTED)), 1)]
         few = rng.choice(clean, min(len(clean), 300), replace=False)
         more = rng.choice(clean, min(len(clean), 300), replace=False)
-        some = rng.choice(trusted[0], min(len(trusted[0]), 300), replace=False)
+        some = rng.choice(toxic, min(len(toxic), 300), replace=False)
         drawn = first[more] + (rng.random(len(more)) * (last[more] - first[more])).astype(np.int64)
         chosen = np.concatenate([best[some], best[few], drawn])
         return chosen, np.concatenate([np.ones(len(some)), np.zeros(len(few) + len(more))])
@@ -364,12 +389,7 @@ def train(
 
     linear.adam(p, gradient, rounds, 0.02)
     p["words"] = p["words"][number]
-    rest = lay(pa.array([t for t, f in zip(texts, fitting) if not f]))
-    slope, offset = linear.calibrate(row_logits(rest, p), y[~fitting])
-    if share is not None:
-        drawn = float(y.mean())
-        offset += np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
-    return ToxicityModel(p, slope, offset)
+    return p
 
 
 def fit_toxicity(
