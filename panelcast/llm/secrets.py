@@ -3,8 +3,10 @@
 The fixed patterns label credentials in the documents. From a bounded sample of them a probabilistic
 automaton per kind is inferred: a prefix tree of character classes whose states are merged while
 their counts are statistically compatible (Hoeffding bounds on stopping and on every next class).
-Another automaton is inferred from other strings of the same look. Every candidate string is scored by
-the logarithm of the likelihood ratio; those above a fixed limit become further spans.
+Another automaton is inferred from other strings of the same characters. Every candidate, a run of
+credential characters as long as the shortest labelled value, is scored by the logarithm of the
+likelihood ratio; those above a fixed limit become further spans. What fixed spans leave of a run is a
+candidate of its own.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "format")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 8, 16, 32
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")  # as long as MIN_VALUE
 SAMPLE = 1000  # strings per kind the automata are inferred from, at most
 LEARN_LENGTH = 128  # longer strings are scored but not learned from
 ALPHA = 0.05
@@ -46,7 +48,6 @@ _MAY = {
     "access": r"AKIA[A-Z0-9]{12}",
     "hex": r"[0-9a-f]{32}",
 }
-_LONG, _DIGIT = r"[A-Za-z0-9+/_.=-]{16}", r"[0-9]"
 
 CLASSES = "dhlHU+/_.=-"  # digit, a-f, g-z, A-F, G-Z, and the marks themselves
 _CLASS_OF = np.full(128, -1, np.int64)
@@ -205,27 +206,31 @@ def base_spans(text: str, may: dict[str, bool]) -> list[tuple[int, int, int, str
     return sorted(found)
 
 
+def _apart(spans: list, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """What spans, by start, leave of a stretch."""
+    for s, _, e, _ in spans:
+        if s < end and start < e:
+            if start < s:
+                yield start, s
+            start = max(start, e)
+    if start < end:
+        yield start, end
+
+
 def _scanned(texts: pa.Array) -> Iterator[tuple[int, list, list[tuple[int, int, str]]]]:
-    """(row, fixed spans, candidates apart from them) of the rows that may hold any."""
+    """(row, fixed spans, candidates apart from them) of the rows that hold any."""
     texts = filled(texts)
     may = {k: pc.match_substring_regex(texts, p).to_numpy(zero_copy_only=False) for k, p in _MAY.items()}
-    digits = pc.match_substring(texts, "0")
-    for digit in "123456789":
-        digits = pc.or_(digits, pc.match_substring(texts, digit))
-    look = digits.to_numpy(zero_copy_only=False)
-    if look.any():
-        at = np.flatnonzero(look)
-        look[at] = pc.match_substring_regex(texts.take(pa.array(at)), _LONG).to_numpy(zero_copy_only=False)
-    rows = np.flatnonzero(np.logical_or.reduce([look, *may.values()]))
-    for row, text in zip(rows, texts.take(pa.array(rows)).to_pylist()):
-        spans = base_spans(text, {k: v[row] for k, v in may.items()})
-        others = []
-        if look[row]:
-            for m in CANDIDATE.finditer(text):
-                a, b = m.span()
-                if re.search(_DIGIT, m.group()) and not any(s < b and a < e for s, _, e, _ in spans):
-                    others.append((a, b, m.group()))
-        yield row, spans, others
+    fixed = np.logical_or.reduce(list(may.values()))
+    for row, text in enumerate(texts.to_pylist()):
+        spans = base_spans(text, {k: v[row] for k, v in may.items()}) if fixed[row] else []
+        if spans:
+            parts = [x for m in CANDIDATE.finditer(text) for x in _apart(spans, *m.span())]
+            others = [(a, b, text[a:b]) for a, b in parts if b - a >= MIN_VALUE]
+        else:
+            others = [(m.start(), m.end(), m.group()) for m in CANDIDATE.finditer(text)]
+        if spans or others:
+            yield row, spans, others
 
 
 def infer_formats(
@@ -239,6 +244,7 @@ def infer_formats(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, dict[str, int]] = {k: {} for k in range(4)}
+        most = dict.fromkeys(kept, 1 << 63)  # larger hashes are no longer among the smallest
 
         def trim(own: dict[str, int]) -> dict[str, int]:
             return dict(sorted(own.items(), key=lambda x: (x[1], x[0]))[:sample])
@@ -253,10 +259,12 @@ def infer_formats(
                 for kind, tokens in found.items():
                     tokens = [t for t in tokens if len(t) <= LEARN_LENGTH]
                     if tokens:
-                        hashes = hash_array(np.array(tokens, dtype=object), categorize=False)
-                        kept[kind].update(zip(tokens, (hashes >> np.uint64(1)).tolist()))
+                        hashes = hash_array(np.array(tokens, dtype=object), categorize=False) >> np.uint64(1)
+                        small = np.flatnonzero(hashes <= np.uint64(most[kind])).tolist()
+                        kept[kind].update((tokens[i], int(hashes[i])) for i in small)
                         if len(kept[kind]) > 4 * sample:
                             kept[kind] = trim(kept[kind])
+                            most[kind] = max(kept[kind].values())
         rows = [(k, t, h) for k, own in kept.items() for t, h in trim(own).items()]
         columns = zip(*rows) if rows else ([], [], [])
         kinds = (pa.int32(), pa.string(), pa.int64())
@@ -291,8 +299,8 @@ def scan_secrets(
 
     Returns ``key``, ``keep`` and n_assign, n_access, n_hex, base_spans and spans. Spans read
     kind:start:end in code points, end exclusive, by start, then kind, joined by commas; ``spans`` adds
-    kind format: strings of 16 or more credential characters with a digit, apart from base spans,
-    whose likelihood ratio reaches ``limit``. With ``redact`` a column redacted holds the text with every
+    kind format: runs of 8 or more credential characters, or what base spans leave of them,
+    whose likelihood ratio reaches ``limit``. Texts are whole, however long. With ``redact`` a column redacted holds the text with every
     span replaced by that mark (overlapping spans by one mark; a null text stays null). A null text
     counts as empty. Repeated rows give repeated results, an empty table an empty one. Columns of
     ``keep`` named like a new column are dropped.
@@ -305,8 +313,9 @@ def scan_secrets(
             base, every = [""] * n, [""] * n
             clean = texts.to_pylist() if redact is not None else None
             scanned = list(_scanned(texts))
-            tokens = [t for _, _, others in scanned for _, _, t in others]
-            high = iter((model.ratio(tokens) >= limit).tolist())
+            coded = pa.array([t for _, _, others in scanned for _, _, t in others], pa.string()).dictionary_encode()
+            above = model.ratio(coded.dictionary.to_pylist()) >= limit
+            high = iter(above[coded.indices.to_numpy()].tolist())
             for row, spans, others in scanned:
                 own = [(s, k, e) for s, k, e, _ in spans]
                 for _, k, _ in own:

@@ -83,3 +83,40 @@ def test_nothing_labelled_adds_nothing(spark):
         model = secrets.infer_formats(table)
         assert all(r["spans"] == "" for r in secrets.scan_secrets(docs, model).collect())
     assert secrets.scan_secrets(docs.filter(F.lit(False)), model).count() == 0
+
+
+def brute_candidates(text):
+    """Runs of credential characters apart from the base spans, character by character."""
+    covered = set()
+    for span in filter(None, brute(text).split(",")):
+        _, a, b = span.split(":")
+        covered |= set(range(int(a), int(b)))
+    found, start = [], None
+    for i in range(len(text) + 1):
+        inside = i < len(text) and i not in covered and re.fullmatch(r"(?a)[A-Za-z0-9+/_.=-]", text[i])
+        if inside and start is None:
+            start = i
+        if not inside and start is not None:
+            if i - start >= 8:
+                found.append((start, i))
+            start = None
+    return found
+
+
+def test_every_candidate_is_scored(spark):
+    rng = random.Random(5)
+    rows = texts()
+    model = secrets.infer_formats(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string"))
+    rows += [f"{hexes(rng, n)} and x-{hexes(rng, n)}-y" for n in range(6, 40)]
+    rows += [f"{hexes(rng)}.mail/{hexes(rng, 12)} GHIJKLMN{hexes(rng)}zzzzzzzzz", "plainwords only here", "a" * 70_000]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    seen = 0
+    for r in secrets.scan_secrets(docs, model).collect():
+        text = rows[r["doc_id"]] or ""
+        parts = [(a, b) for a, b in brute_candidates(text)]
+        high = model.ratio([text[a:b] for a, b in parts]) >= secrets.LIMIT
+        want = {f"format:{a}:{b}" for (a, b), h in zip(parts, high) if h}
+        got = set(filter(None, r["spans"].split(",")))
+        assert got == want | set(filter(None, brute(text).split(",")))
+        seen += len(want)
+    assert seen >= 20
