@@ -43,7 +43,7 @@ GROUP = 1 << 22  # bytes of text whose suffixes a group may hold, if all repeat
 ANCHORS = 1 << 20  # anchors of a group of the first pass
 CROWDED = 1 << 20  # most anchors whose suffixes are dealt by content
 CROWD = 4096  # fewest occurrences of such an anchor
-BATCH = 1 << 16  # suffixes that make up a batch
+BATCH = 1 << 18  # suffixes that make up a batch
 BLOCK = 1 << 17  # windows formed at once
 FLUSH = 1 << 23  # bytes of text a task gathers before it sends
 
@@ -418,16 +418,17 @@ class Family:
     def add(self, content: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> np.ndarray:
         order = content_order(content)  # the batch's suffix array
         content, doc, ids = content[order], doc[order], ids[order]
-        first = np.flatnonzero(runs(content, np.arange(len(content))))
-        least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(doc))))
-        out = [ids[doc > least]]
-        content, doc, ids = (x[doc == least] for x in (content, doc, ids))
+        first = np.flatnonzero(np.append(True, content[1:] != content[:-1]))
+        kept = doc == np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(doc))))
+        out = [ids[~kept]]
         for i, (held, held_doc, held_ids) in enumerate(self.levels):  # merge-scan
+            if not len(held):
+                continue
             low = np.searchsorted(held, content, side="left")
             at = np.minimum(low, len(held) - 1)
-            hit = held[at] == content if len(held) else np.zeros(len(content), bool)
-            late = hit & (doc > held_doc[at]) if len(held) else hit
-            early = hit & (doc < held_doc[at]) if len(held) else hit
+            hit = kept & (held[at] == content)
+            other = held_doc[at]
+            early = hit & (doc < other)
             if early.any():
                 high = np.searchsorted(held, content[early], side="right")
                 change = np.zeros(len(held) + 1, np.int64)
@@ -436,9 +437,10 @@ class Family:
                 dead = np.cumsum(change[:-1]) > 0
                 out.append(held_ids[dead])
                 self.levels[i] = (held[~dead], held_doc[~dead], held_ids[~dead])
+            late = hit & (doc > other)
             out.append(ids[late])
-            content, doc, ids = (x[~late] for x in (content, doc, ids))
-        self.levels.append((content, doc, ids))
+            kept &= ~late
+        self.levels.append((content[kept], doc[kept], ids[kept]))
         while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
             low, high = self.levels.pop(), self.levels.pop()
             both = [np.concatenate(x) for x in zip(high, low)]
