@@ -3,8 +3,12 @@
 Sources get targets by weight, capped at a multiple of what they hold. Blocks of equal size are
 allocated to the sources by highest quotients ``target / 1, target / 3, target / 5, ...``, then every
 source's blocks to its shards by the shards' sizes in the same way. Inside a shard documents stand in
-a seeded order; the quota is cut from the stream of their words, block by block, starting over when
-the stream ends. A document's share is the overlap of the cut with its words.
+a seeded order, and the stream of their words is cut into blocks of equal size. As many whole copies of the stream
+as the quota holds are taken; for the rest blocks are selected by a seeded hash, the smallest first. A document's
+share is its copies and the overlap of its words with the selected blocks.
+
+Which blocks are selected is one number per shard, the largest hash taken, so documents test their
+own few blocks and no list of blocks travels.
 
 The highest quotients are not enumerated: with two divisors that surely give too few and too many
 blocks, only a few quotients per party are left to rank. A source is dealt over shards by a hash of
@@ -24,7 +28,7 @@ from panelcast.operators.lineage import stored
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 CAP = 3
-BLOCK = 4  # words of a block
+BLOCK = 64  # words of a block, about
 SHARD_ROWS = 2048  # documents a shard has on average, at most
 SEED = 8
 
@@ -103,15 +107,16 @@ def mix_sources(
     cap: int = CAP,
     seed: int = SEED,
 ) -> DataFrame:
-    """``key``, ``keep``, size, source_size, target and taken (words the mix takes, repeats counted).
+    """``key``, ``keep``, size, source_size, target, taken (words the mix takes, repeats counted), copies (whole
+    ones among them) and parts (the words beside these, as an array of from and to, counted from 0).
 
     Size is the number of words (null text: 0). A null source is a source of its own, last in order; an
-    empty text takes nothing. No row takes more than ``cap`` times its size, so a source may end a
-    few words below its target. Repeated rows are rows of their own and stand next to each other
+    empty text takes nothing. No row takes more than ``cap`` times its size. A source ends within about half a block
+    of its target, and half a block per shard. Texts are whole, however long. Repeated rows are rows of their own and stand next to each other
     in the seeded order. The order follows a hash of seed and key: reruns agree. An empty table gives an
     empty one. Columns of ``keep`` named like a new column are dropped.
     """
-    made = ("size", "source_size", "target", "taken")
+    made = ("size", "source_size", "target", "taken", "copies", "parts")
     passed = [c for c in dict.fromkeys(keep) if c != key and c not in made]
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), named(key).cast("string")))
     sized = docs.select(
@@ -140,14 +145,40 @@ def mix_sources(
         parts["source"], "shard", "shard_size", "source_size", "target", "source_blocks"
     )
     quotas = sainte_lague(by_source, ["source"], "shard_size", "source_blocks", ["source", "shard"])
-    own = F.least(F.col("quota") * BLOCK, F.lit(cap) * F.col("shard_size"))
-    quotas = quotas.select(
+    words = F.least(F.col("quota") * BLOCK, F.lit(cap) * F.col("shard_size"))
+    whole = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(0)
+    pieces = F.greatest(F.round(F.col("shard_size") / BLOCK), F.lit(1)).cast("bigint")
+    rest = words - F.col("whole") * F.col("shard_size")
+    some = F.when(F.col("shard_size") > 0, F.round(rest * F.col("pieces") / F.col("shard_size"))).otherwise(0)
+    quotas = stored(
+        quotas.withColumns({"whole": whole.cast("bigint"), "pieces": pieces}).withColumn("some", some.cast("bigint"))
+    )
+
+    def chance(source: Column, shard: Column, block: Column) -> Column:
+        """The seeded hash of a block."""
+        place = F.concat_ws(":", F.lit(str(seed)), F.coalesce(source, F.lit("")), shard.cast("string"), block.cast("string"))
+        return F.conv(F.substring(F.md5(place), 1, 12), 16, 10).cast("bigint")
+
+    every = quotas.filter("some > 0").select(
+        "source", "shard", "some", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("block")
+    )
+    every = every.withColumn("chance", chance(F.col("source"), F.col("shard"), F.col("block")))
+    by_chance = Window.partitionBy("source", "shard").orderBy("chance", "block")
+    last = every.withColumn("__n", F.row_number().over(by_chance)).filter("__n = some")
+    last = last.select(
+        F.col("source").alias("__last_source"), F.col("shard").alias("__last_shard"),
+        F.struct("chance", "block").alias("__last"),
+    )
+    same = F.col("source").eqNullSafe(F.col("__last_source")) & (F.col("shard") == F.col("__last_shard"))
+    quotas = quotas.join(last, same, "left").select(
         F.col("source").alias("__quota_source"),
         F.col("shard").alias("__quota_shard"),
         F.col("shard_size").alias("__shard_size"),
+        F.col("whole").alias("__whole"),
+        F.col("pieces").alias("__pieces"),
         "source_size",
         "target",
-        own.alias("__words"),
+        "__last",
     )
     stream = Window.partitionBy("__source", "__shard").orderBy("__place", "__key", "size")
     start = F.coalesce(
@@ -157,16 +188,36 @@ def mix_sources(
     joined = sized.withColumn("__start", start).join(
         quotas, same & (F.col("__shard") == F.col("__quota_shard"))
     )
-    whole = F.when(F.col("__shard_size") > 0, F.floor(F.col("__words") / F.col("__shard_size"))).otherwise(0)
-    rest = F.col("__words") - whole * F.col("__shard_size") - F.col("__start")
-    taken = whole * F.col("size") + F.greatest(F.least(F.col("size"), rest), F.lit(0))
+    begin, end = F.col("__start"), F.col("__start") + F.col("size")
+
+    def block_of(word: Column) -> Column:
+        return F.ceil((word + 1) * F.col("__pieces") / F.col("__shard_size")) - 1
+
+    def edge(block: Column) -> Column:
+        return F.floor(block * F.col("__shard_size") / F.col("__pieces"))
+
+    def selected(block: Column) -> Column:
+        hashed = chance(F.col("__source"), F.col("__shard"), block)
+        top = F.col("__last.chance")
+        return (hashed < top) | ((hashed == top) & (block <= F.col("__last.block")))
+
+    def part(block: Column) -> Column:
+        low, high = F.greatest(edge(block), begin) - begin, F.least(edge(block + 1), end) - begin
+        return F.struct(low.alias("from"), high.alias("to"))
+
+    own = F.filter(F.sequence(block_of(begin), block_of(end - 1)), selected)
+    parts = F.when((F.col("size") > 0) & F.col("__last").isNotNull(), F.transform(own, part))
+    joined = joined.withColumn("parts", F.coalesce(parts, F.array().cast("array<struct<from:bigint,to:bigint>>")))
+    some_words = F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + p["to"] - p["from"])
     return joined.select(
         F.col("__key").alias(key),
         *[named(c) for c in passed],
         "size",
         "source_size",
         "target",
-        taken.cast("bigint").alias("taken"),
+        (F.col("__whole") * F.col("size") + some_words).alias("taken"),
+        F.col("__whole").alias("copies"),
+        "parts",
     )
 
 
@@ -179,17 +230,19 @@ def apply_mix(
 ) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: repeated, cut or left out.
 
-    A row taken two and a half times comes as two whole copies and one with the first half of its
-    words, joined by blanks. Rows without words take nothing and go.
+    A row taken two and a half times comes as two whole copies and one with the words of its selected
+    blocks, joined by blanks. Rows without words take nothing and go. Null keys and repeated rows are rows of their
+    own; an empty table gives an empty one.
     """
     mixed = mix_sources(docs, key, text, keep=columns).filter("taken > 0")
-    copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
+    copies = F.sequence(F.lit(1).cast("bigint"), F.col("copies") + (F.size("parts") > 0).cast("bigint"))
     repeated = mixed.withColumn("__copy", F.explode(copies))
-    left = F.col("taken") - (F.col("__copy") - 1) * F.col("size")
     words = F.filter(F.split(named(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    part = F.when(left >= F.col("size"), named(text)).otherwise(
-        F.array_join(F.slice(words, F.lit(1), left.cast("int")), " ")
+    cut = F.transform(
+        "parts", lambda p: F.slice(F.col("__words"), (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int"))
     )
+    repeated = repeated.withColumn("__words", F.when(F.col("__copy") > F.col("copies"), words))
+    part = F.when(F.col("__copy") <= F.col("copies"), named(text)).otherwise(F.array_join(F.flatten(cut), " "))
     made = {text: F.col("__part"), n_chars: F.length("__part").cast("bigint")}
     return repeated.withColumn("__part", part).select(
         *[made[c].alias(c) if c in made else named(c) for c in columns]

@@ -68,24 +68,35 @@ levels AS (
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
   SELECT source, source_size, least(CAST(full_size AS DOUBLE), MAX(level) OVER () * weight) AS target,
-         CAST(round(SUM(source_size) OVER () / 4.0) AS BIGINT) AS blocks
+         CAST(round(SUM(source_size) OVER () / 64.0) AS BIGINT) AS blocks
   FROM levels),{_apportion('targets', 'by_source', '', 'target', 'blocks', 'source')},
 shards AS (
   SELECT p.source, p.shard, p.shard_size, s.source_size, s.target, s.quota AS source_blocks
   FROM parts p JOIN by_source s ON p.source IS NOT DISTINCT FROM s.source),
 {_apportion('shards', 'by_shard', 'PARTITION BY source', 'shard_size', 'source_blocks', 'source, shard')},
-cut AS (SELECT *, least(quota * 4, 3 * shard_size) AS words FROM by_shard),
+cut AS (
+  SELECT *, words // greatest(shard_size, 1) AS whole, greatest(CAST(round(shard_size / 64.0) AS BIGINT), 1) AS pieces
+  FROM (SELECT *, least(quota * 64, 3 * shard_size) AS words FROM by_shard)),
+wanted AS (
+  SELECT *, CAST(CASE WHEN shard_size > 0 THEN round((words - whole * shard_size) * pieces / CAST(shard_size AS DOUBLE)) ELSE 0 END AS BIGINT) AS part_blocks
+  FROM cut),
+blocks AS (
+  SELECT source, shard, part_blocks, block, CAST(block * shard_size // pieces AS BIGINT) AS low, CAST((block + 1) * shard_size // pieces AS BIGINT) AS high,
+         CAST('0x' || substr(md5(concat_ws(':', '8', coalesce(source, ''), shard, block)), 1, 12) AS BIGINT) AS chance
+  FROM (SELECT *, unnest(range(0, pieces)) AS block FROM wanted WHERE part_blocks > 0)),
+selected AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, shard ORDER BY chance, block) AS place FROM blocks) WHERE place <= part_blocks),
 stream AS (
-  SELECT *, coalesce(SUM(size) OVER (PARTITION BY source, shard ORDER BY place, doc_id, size
-                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun
+  SELECT *, row_number() OVER () AS r,
+         coalesce(SUM(size) OVER (PARTITION BY source, shard ORDER BY place, doc_id, size
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun
   FROM docs),
-joined AS (
-  SELECT s.*, c.source_size, c.target, c.words, c.shard_size,
-         CASE WHEN c.shard_size > 0 THEN c.words // c.shard_size ELSE 0 END AS whole
-  FROM stream s JOIN cut c ON s.source IS NOT DISTINCT FROM c.source AND s.shard = c.shard)
-SELECT doc_id, size, source_size, target,
-       CAST(whole * size + greatest(least(size, words - whole * shard_size - begun), 0) AS BIGINT) AS taken
-FROM joined
+shares AS (
+  SELECT r, SUM(least(high, begun + size) - greatest(low, begun)) AS words
+  FROM stream s JOIN selected b ON s.source IS NOT DISTINCT FROM b.source AND s.shard = b.shard
+       AND b.low < s.begun + s.size AND s.begun < b.high AND s.size > 0 GROUP BY r)
+SELECT s.doc_id, s.size, w.source_size, w.target, CAST(w.whole * s.size + coalesce(o.words, 0) AS BIGINT) AS taken
+FROM stream s JOIN wanted w ON s.source IS NOT DISTINCT FROM w.source AND s.shard = w.shard LEFT JOIN shares o ON s.r = o.r
 """
 
 BYTE_DEDUP = """

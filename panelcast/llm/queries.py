@@ -101,7 +101,8 @@ def op7_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op8_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    return mixture.mix_sources(documents(spark, sf))
+    mixed = mixture.mix_sources(documents(spark, sf))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query
