@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Estimator
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -811,15 +812,22 @@ def forest_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return _tree_predictions(spark, sf, trees.forest(**SMALL_FOREST))
 
 
+def _ensembles() -> dict[str, Estimator]:
+    return {
+        "gbt": trees.gbt(**SMALL_GBT),
+        "gbt_alt": trees.gbt(seed=24, **ALT_GBT),
+        "forest": trees.forest(**SMALL_FOREST),
+    }
+
+
 def _importances(spark: SparkSession, sf: str) -> DataFrame:
     table, names = trees.prepare(_tree_panel(spark, sf), MODEL_FEATURES)
-    table = cut(table.select("features", "y"))
-    fitted = {
-        "gbt": trees.gbt(**SMALL_GBT).fit(table),
-        "forest": trees.forest(**SMALL_FOREST).fit(table),
-    }
+    table = trees.laid_out(table)
     return metrics.union_trials(
-        [trees.importance_frame(table, model, names, label) for label, model in fitted.items()]
+        [
+            trees.importance_frame(table, estimator.fit(table), names, label)
+            for label, estimator in _ensembles().items()
+        ]
     )
 
 
@@ -836,7 +844,7 @@ def importance_ranked(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def project_topk_features(spark: SparkSession, sf: str) -> DataFrame:
     table, names = trees.prepare(_tree_panel(spark, sf), MODEL_FEATURES)
-    table = cut(table)
+    table = trees.laid_out(table)
     ranking = trees.importance_frame(
         table, trees.forest(**SMALL_FOREST).fit(table), names, "forest"
     )
@@ -856,17 +864,65 @@ def random_search_trials(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(trials, 6)
 
 
+@query
+def random_search_alt_trials(spark: SparkSession, sf: str) -> DataFrame:
+    """The second booster's draws: shallow steps, node sizes in place of numbers of leaves."""
+    trials, _ = trees.random_search(
+        market.model_panel(spark, sf, fine=True),
+        MODEL_FEATURES,
+        trees.gbt(seed=24, maxIter=10),
+        {"maxDepth": [3, 5], "stepSize": [0.02, 0.06, 0.15], "minInstancesPerNode": [1, 5, 20], "subsamplingRate": [0.7, 1.0]},
+        n_iter=10,
+        folds=5,
+        seed=24,
+    )
+    return rounded(trials, 6)
+
+
+@query
+def random_search_forest_trials(spark: SparkSession, sf: str) -> DataFrame:
+    trials, _ = trees.random_search(
+        market.model_panel(spark, sf, fine=True),
+        MODEL_FEATURES,
+        trees.forest(numTrees=20),
+        {"maxDepth": [2, 5, 10], "minInstancesPerNode": [1, 4, 8], "featureSubsetStrategy": ["all", "sqrt"]},
+        n_iter=10,
+        folds=5,
+    )
+    return rounded(trials, 6)
+
+
 @query
 def refit_topk_score(spark: SparkSession, sf: str) -> DataFrame:
-    panel = _tree_panel(spark, sf)
+    """All three models: ranked on the training rows, refitted on the two best features, scored on both parts."""
+    panel = market.model_panel(spark, sf, fine=True)
     return rounded(
-        trees.rank_refit_score(
-            panel, MODEL_FEATURES, trees.forest(**SMALL_FOREST), 2, ["series_id", "ds"], "forest"
+        metrics.union_trials(
+            [
+                trees.rank_refit_score(panel, MODEL_FEATURES, estimator, 2, ["series_id", "ds"], label)
+                for label, estimator in _ensembles().items()
+            ]
         ),
         6,
     )
 
 
+@query
+def model_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """Search, training score and holdout of all three models on the same split."""
+    panel = cut(market.model_panel(spark, sf, fine=True))
+    searches = {
+        "gbt": (trees.gbt(maxIter=10), {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}),
+        "gbt_alt": (trees.gbt(seed=24, maxIter=10), {"minInstancesPerNode": [1, 10], "stepSize": [0.05, 0.15]}),
+        "forest": (trees.forest(numTrees=20), {"maxDepth": [3, 8], "minInstancesPerNode": [1, 4]}),
+    }
+    reports = [
+        trees.search_report(panel, MODEL_FEATURES, estimator, points, 2, label, n_iter=3, folds=3)
+        for label, (estimator, points) in searches.items()
+    ]
+    return rounded(metrics.union_trials(reports), 6)
+
+
 # Trees over features of few whole values: every candidate split is exact, so SQL grows the same.
 
 STUMP_FEATURES = ["x_month", "x_price_k", "x_year"]
@@ -955,7 +1011,7 @@ def tree_search_trials(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def shapley_values(spark: SparkSession, sf: str) -> DataFrame:
     table, names = trees.prepare(_tree_panel(spark, sf), MODEL_FEATURES)
-    table = cut(table)
+    table = trees.laid_out(table)
     model = trees.gbt(**SMALL_GBT).fit(table)
     key = ["series_id", "ds"]
     return rounded(attribution.shapley(model, table, table, names, key), 6)
@@ -965,7 +1021,7 @@ def shapley_values(spark: SparkSession, sf: str) -> DataFrame:
 def shapley_linear(spark: SparkSession, sf: str) -> DataFrame:
     """The same attribution of a linear model, whose shares have a closed form."""
     table, names = trees.prepare(_tree_panel(spark, sf), MODEL_FEATURES)
-    table = cut(table)
+    table = trees.laid_out(table)
     model = LinearRegression(labelCol="y").fit(table)
     key = ["series_id", "ds"]
     phi = attribution.shapley(model, table, table, names, key)

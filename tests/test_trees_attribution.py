@@ -158,3 +158,57 @@ def test_background_is_a_fixed_draw(linear):
 
     assert drawn(prepared.repartition(5)) == drawn(prepared.coalesce(1))
     assert len(drawn(prepared)) == 7
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda: trees.gbt(maxIter=8, maxDepth=3, subsamplingRate=0.6),
+        lambda: trees.forest(numTrees=8, maxDepth=4, subsamplingRate=0.7),
+    ],
+    ids=["gbt", "forest"],
+)
+def test_predictions_do_not_depend_on_the_layout(table, make):
+    keep, estimator = ["series_id", "ds"], make()
+    one = rows_of(trees.fit_predict(table.repartition(1), FEATURES, estimator, keep), *keep)
+    assert one == rows_of(trees.fit_predict(table.repartition(7, "x_c"), FEATURES, estimator, keep), *keep)
+    assert one == rows_of(trees.fit_predict(table.orderBy(F.desc("y")), FEATURES, estimator, keep), *keep)
+
+
+def test_search_scores_equal_explicit_fits_without_a_leak(spark, table):
+    """Every draw and fold again: gaps filled with training means only, scored by plain numpy."""
+    late = table.withColumn("x_a", F.when(F.month("ds") % 3 == 0, None).otherwise(F.col("x_a") + F.year("ds")))
+    grid = {"maxDepth": [1, 2], "minInstancesPerNode": [1, 9]}
+    one_tree = trees.forest(numTrees=1, bootstrap=False, featureSubsetStrategy="all")
+    trials, best = trees.random_search(late, FEATURES, one_tree, grid, 4, 3)
+    from panelcast.operators.ordered import time_folds
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = time_folds(late, 3).toPandas()
+    want = {}
+    for r in trials.collect():
+        scores = []
+        for fold in (1, 2, 3):
+            train = rows[rows["fold"] != fold]
+            means = train[FEATURES].astype(float).mean()
+            filled = rows[["fold", "y"]].join(rows[FEATURES].astype(float).fillna(means))
+            assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(spark.createDataFrame(filled))
+            params = {one_tree.getParam(k): int(v) for k, v in r["params"].items()}
+            model = one_tree.copy(params).fit(assembled.filter(F.col("fold") != fold))
+            out = model.transform(assembled.filter(F.col("fold") == fold)).toPandas()
+            scores.append(1 - ((out.y - out.prediction) ** 2).sum() / ((out.y - out.y.mean()) ** 2).sum())
+        want[r["trial_id"]] = np.mean(scores)
+        np.testing.assert_allclose(r["mean_score"], want[r["trial_id"]], rtol=1e-9)
+    top = trials.filter(F.col("trial_id") == max(want, key=want.get)).first()["params"]
+    assert best.getOrDefault("maxDepth") == int(top["maxDepth"])
+
+
+def test_report_holds_search_training_and_holdout(table):
+    grid = {"maxDepth": [1, 3], "stepSize": [0.1, 0.3]}
+    report = trees.search_report(table, FEATURES, trees.gbt(maxIter=5), grid, 2, "gbt", n_iter=2, folds=3).collect()
+    by_split = {r["split"]: r for r in report}
+    assert set(by_split) == {"train", "test"} and by_split["test"]["n"] == 24
+    for r in report:
+        assert set(r["params"]) == {"maxDepth", "stepSize"} and r["features_used"][0] == "x_a"
+        assert r["cv_r2"] == report[0]["cv_r2"] and np.isfinite(r["cv_r2"])
+    assert by_split["train"]["r2"] > 0.5
