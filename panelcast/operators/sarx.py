@@ -23,6 +23,7 @@ from panelcast.operators.lineage import cut
 from panelcast.operators.ordered import join_series, over_rows
 
 ORDER = ("p", "q", "seasonal_p", "seasonal_q")
+SINGULAR = 1e-9  # smallest eigenvalue of scaled columns that counts as full rank
 SEASONAL_STRENGTH = 0.64  # fixed value: Wang, Smith and Hyndman (2006)
 
 
@@ -42,8 +43,10 @@ class Orders:
         max_Q: int = 5,
         max_order: int = 5,
         history: int | None = None,
-        long_ar: int = 8,
+        long_ar: int | None = None,
     ) -> None:
+        if long_ar is None:  # a season and the row before it
+            long_ar = max(8, m + 1)
         most = max(max_p, max_q, long_ar, m * max(max_P, max_Q))
         room = most if history is None else max(history // 3, 1)
         self.m = m
@@ -85,6 +88,20 @@ class Orders:
         return found
 
 
+def fitting_orders(
+    train: DataFrame,
+    exog: Sequence[str] = (),
+    m: int = 12,
+    y: str = "y",
+    by: Sequence[str] = ("series_id",),
+    **bounds: int,
+) -> Orders:
+    """Bounds that the shortest series of the training rows can fill; rows with a missing value do not count."""
+    rows = train.select(*[named(c) for c in by], named(y), *[named(c) for c in exog]).na.drop(subset=[y, *exog])
+    sizes = rows.groupBy(*[named(c) for c in by]).agg(F.count(F.lit(1)).alias("n"))
+    return Orders(m=m, history=sizes.agg(F.min("n")).first()[0] or 0, **bounds)
+
+
 def seasonal_differences(
     panel: DataFrame,
     m: int = 12,
@@ -159,7 +176,8 @@ def _order_search(
 ):
     """Column function (n, gram) -> the fit with the smallest AIC among all column sets.
 
-    On equal AIC the earlier candidate wins. Coefficients of columns left out are zero.
+    On equal AIC the earlier candidate wins. Coefficients of columns left out are zero. A candidate whose
+    columns depend on each other is passed over.
     """
     order_fields = ", ".join(f"{name}:int" for name in ORDER)
     subsets = [columns for _, columns in candidates]
@@ -198,7 +216,8 @@ def _order_search(
                 sse = np.maximum(g[:, k, k] - np.einsum("bi,bi->b", solved, part), 0.0)
                 free = rows - len(columns)
                 aic = rows * np.log(sse / rows) + 2 * len(columns)
-                usable = (free > 2) & np.isfinite(aic)
+                full_rank = np.linalg.eigvalsh(block)[:, 0] > SINGULAR if batch else np.ones(0, bool)
+                usable = (free > 2) & np.isfinite(aic) & full_rank
                 scores[:, number] = np.where(usable, aic, np.inf)
                 better = scores[:, number] < best
                 spread = np.sqrt(

@@ -777,6 +777,7 @@ FROM market WINDOW s AS (PARTITION BY series_id), w AS (PARTITION BY series_id O
         + "SELECT date, geography, product, total_market FROM long_panel WHERE measure = 'volume'"
     )
     kept = [d for d in DRIVERS if "FCT" not in d]
+    sql["scan_csv"] = _with(LONG) + f"SELECT {KEYS}, total_market, {_quoted(DRIVERS)} FROM long_panel"
     sql["regex_drop"] = head + f", {_quoted(kept)} FROM long_panel"
     kept = [d for d in DRIVERS if "cov" not in d] + ["disc_Ncov"]
     sql["regex_variant"] = head + f", {_quoted(kept)} FROM long_panel"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml import Estimator
@@ -31,7 +32,7 @@ from panelcast.operators import (
     trend_season,
     vector_auto,
 )
-from panelcast.operators.lineage import cut
+from panelcast.operators.lineage import cut, ensure_checkpoint_dir
 from panelcast.plans import market
 from panelcast.plans.market import MODEL_FEATURES
 from panelcast.sources import load_panel
@@ -96,6 +97,14 @@ def scan_table(spark: SparkSession, sf: str) -> DataFrame:
     return orders.select("o_orderkey", F.to_date("o_orderdate").alias("ds"), "o_totalprice")
 
 
+@query
+def scan_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide text table as headered CSV, written below the checkpoint folder and read as text."""
+    folder = f"{ensure_checkpoint_dir(spark)}/panel-{uuid.uuid4().hex}"
+    market.long_panel(spark, sf).write.csv(folder, header=True)
+    return load_panel(spark, folder, "csv")
+
+
 @query
 def filter_measure(spark: SparkSession, sf: str) -> DataFrame:
     return shape.slice_panel(market.long_panel(spark, sf), measure="volume").select(
@@ -496,7 +505,7 @@ def should_diff(spark: SparkSession, sf: str) -> DataFrame:
 # --- seasonal autoregression ---------------------------------------------------------------------
 
 EXOG = ["x_qty", "x_price"]
-ORDERS = sarx.Orders(m=12, history=48)
+ORDERS = sarx.Orders(m=12, history=48)  # what histories of 36 to 71 months come to, for the SQL twins
 
 
 def _train_test(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -516,20 +525,23 @@ def seasonal_strength(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def sarx_order_search(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = _train_test(spark, sf)
-    return rounded(sarx.order_search_log(sarx.fit_sarx(train, EXOG, ORDERS, keep_log=True)))
+    orders = sarx.fitting_orders(train, EXOG)
+    return rounded(sarx.order_search_log(sarx.fit_sarx(train, EXOG, orders, keep_log=True)))
 
 
 @query
 def sarx_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = _train_test(spark, sf)
-    return rounded(sarx.coef_table(sarx.fit_sarx(train, EXOG, ORDERS), EXOG, ORDERS))
+    orders = sarx.fitting_orders(train, EXOG)
+    return rounded(sarx.coef_table(sarx.fit_sarx(train, EXOG, orders), EXOG, orders))
 
 
 @query
 def sarx_forecast(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _train_test(spark, sf)
-    model = sarx.fit_sarx(train, EXOG, ORDERS)
-    predicted = sarx.forecast_sarx(model, train, test, EXOG, ORDERS)
+    orders = sarx.fitting_orders(train, EXOG)
+    model = sarx.fit_sarx(train, EXOG, orders)
+    predicted = sarx.forecast_sarx(model, train, test, EXOG, orders)
     predicted = predicted.withColumn("yhat", F.round("yhat", 3))
     return rounded(metrics.align_forecast(test.select("series_id", "ds", "y"), predicted))
 
@@ -598,33 +610,58 @@ def best_forecast(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def driver_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole path: rank drivers, keep the best, fill gaps, forecast by both models, score.
+def best_forecast_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """The best of the grid with 100 to 200 knots, refitted and scored on the test rows."""
+    train, validate, test = _parts(spark, sf)
+    predicted = search.best_forecast(train, validate, test, WIDE_GRID, EXOG, fourier_order=3)
+    scored = metrics.align_forecast(test.select("series_id", "ds", "y"), predicted)
+    return _rounded_scores(metrics.metrics(scored, by=["series_id"]))
 
-    Ranking and filling see the training rows only.
-    """
-    train, test = _train_test(spark, sf)
-    pairs = stats.correlations(train, ["y", *MODEL_FEATURES]).filter("earlier = 'y'")
-    ranking = pairs.select(
-        F.lit("correlation").alias("model"),
-        F.col("column").alias("attribute"),
-        F.abs("corr").alias("importance"),
-    )
-    best = shape.ranked_names(ranking, 2)
+
+def _forecast_with(train: DataFrame, test: DataFrame, best: list[str]) -> DataFrame:
+    """Scores of all forecasters on the held-out rows; the regressors' gaps are filled from the training rows."""
     train, test = (
         cut(stats.fill_own_mean(part, best, by=["series_id"], fit_on=train)) for part in (train, test)
     )
-    seasonal = sarx.forecast_sarx(sarx.fit_sarx(train, best, ORDERS), train, test, best, ORDERS)
+    orders = sarx.fitting_orders(train, best)
+    seasonal = sarx.forecast_sarx(sarx.fit_sarx(train, best, orders), train, test, best, orders)
     fitted = trend_season.fit_trend_season(train, ONE_TRIAL, best, fourier_order=3)
     trend = trend_season.predict_trend_season(fitted, test, best, fourier_order=3)
+    smooth = smoothing.forecast_smoothing(smoothing.fit_smoothing(train), test)
     actual = test.select("series_id", "ds", "y")
-    both = metrics.union_trials(
+    forecasts = metrics.union_trials(
         [
             metrics.align_forecast(actual, predicted).withColumn("forecaster", F.lit(name))
-            for name, predicted in (("sarx", seasonal), ("trend", trend))
+            for name, predicted in (("sarx", seasonal), ("trend", trend), ("smoothing", smooth))
         ]
     )
-    return _rounded_scores(metrics.metrics(both, by=["series_id", "forecaster"]))
+    return _rounded_scores(metrics.metrics(forecasts, by=["series_id", "forecaster"]))
+
+
+@query
+def driver_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole path: rank drivers by correlation, keep the best, fill gaps, forecast by all models, score.
+
+    Ranking and filling see the training rows only.
+    """
+    train, test = _train_test(spark, sf)
+    pairs = stats.correlations(train, ["y", *MODEL_FEATURES]).filter("earlier = 'y'")
+    ranking = pairs.select(
+        F.lit("correlation").alias("model"),
+        F.col("column").alias("attribute"),
+        F.abs("corr").alias("importance"),
+    )
+    return _forecast_with(train, test, shape.ranked_names(ranking, 2))
+
+
+@query
+def importance_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """The same path from the importance of boosted trees: the first model's ranking of the training rows."""
+    train, test = _train_test(spark, sf)
+    table, names = trees.prepare(train, MODEL_FEATURES)
+    table = trees.laid_out(table)
+    ranking = trees.importance_frame(table, trees.gbt(**SMALL_GBT).fit(table), names, "gbt")
+    return _forecast_with(train, test, shape.ranked_names(ranking, 2))
 
 
 # --- decomposition, smoothing, several columns at once -------------------------------------------
