@@ -156,7 +156,7 @@ def predict_languages(
     """The language of every whole text: ``key``, ``keep``, lang_pred, score, ambiguous.
 
     ``und`` with score 0 for a null text, a text without a letter, or a model that learned nothing.
-    Ties go to the language first in order. Repeated rows give repeated results, an empty table an
+    Ties go to the language first in order. Texts are whole, however long; a null key is kept. Repeated rows give repeated results, an empty table an
     empty one. Columns of ``keep`` named like a new column are dropped.
     """
 

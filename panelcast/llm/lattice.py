@@ -234,11 +234,11 @@ def near_vectors(
 
     Only vectors of one label, not null, are compared. A vector that is null, empty or zero, or holds a
     null or non-finite number, links with nothing, nor does one of another length. Keys are integers;
-    rows with the same key are one vector to the links (they do not link with each other) and each
-    gets the key's result. A row with a null key has no links and no component. An empty table gives an
+    rows with the same key are one vector to the links (they do not link with each other), the least of them by
+    label and numbers, and each gets the key's result. Other columns are ignored. A row with a null key has no links and no component. An empty table gives an
     empty one.
     """
-    # equal rows of a key are one vector
+    # rows of a key are one vector
     source = stored(
         vectors.filter(named(key).isNotNull() & named(label).isNotNull())
         .select(
@@ -246,7 +246,9 @@ def near_vectors(
             F.xxhash64(named(label)).alias("__label"),
             named(embedding).cast("array<double>").alias("__v"),
         )
-        .dropDuplicates(["__key"])
+        .groupBy("__key")
+        .agg(F.min(F.struct("__label", "__v")).alias("__one"))
+        .select("__key", "__one.*")
     )
     entries = _entries(source, cosine)
     # cells with one visitor hold no pair; crowded ones are cut into blocks

@@ -249,7 +249,7 @@ def encode_pieces(
 
     Returns ``key``, ``keep`` and n_tokens, ids (array), decoded; with ``digests`` n_tokens and the
     SHA-256 of the comma-joined ids and of the decoded text instead. A null text counts as empty:
-    no ids, decoded to the empty text. Repeated rows give repeated results, an empty table an empty
+    no ids, decoded to the empty text. Texts are whole, however long; a null key is kept. Repeated rows give repeated results, an empty table an empty
     one. Columns of ``keep`` named like a new column are dropped.
     """
     name = _shipped(docs.sparkSession, model_path)

@@ -57,7 +57,8 @@ def quality_posteriors(
 
     A null host or path is a group of its own. A null text has the evidence of an empty one. Repeated
     label rows of a key count once, with their mean; repeated documents count each. Without labels the
-    evidence alone decides against a global share of a half. An empty table gives an empty one.
+    evidence alone decides against a global share of a half. Texts are whole, however long; other columns are
+    ignored. An empty table gives an empty one.
     """
     model = quality_rules.fit_quality(docs, labels, key, text, label)
     grouped = docs.withColumns({"__host": host, "__path": path})

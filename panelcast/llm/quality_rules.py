@@ -214,7 +214,7 @@ def quality_rules(
     Returns ``key``, ``keep`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed (fewer than 20 words, or over 30 % of the words in repeated 8-word windows),
     quality (calibrated probability) and kept (not base_failed and quality >= ``keep_from``). A null
-    text has no words and fails. Repeated rows give repeated results, an empty table an empty
+    text has no words and fails. Texts are whole, however long; a null key is kept. Repeated rows give repeated results, an empty table an empty
     one. Columns of ``keep`` named like a new column are dropped.
     """
 

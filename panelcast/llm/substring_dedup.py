@@ -3,9 +3,9 @@
 Every word position with a full window behind it is a suffix. Suffixes are split into memory-sized
 groups by prefixes of variable length: a census counts the suffixes under hashed prefixes of 1, 2, 4,
 8 words and the whole window; a suffix belongs to its shortest prefix whose count fits. Equal
-windows share every prefix, so they meet in one group. Inside a group the internal nodes at window
-depth are the runs of equal suffixes after sorting; a node whose smallest document is smaller than a
-suffix's own marks that suffix. Marked neighbours join to maximal repeats.
+windows share every prefix, so they meet in one group. Inside a group the nodes at window
+depth are the runs of equal window hashes after sorting (the tree above them is not built); a node whose smallest
+document is smaller than a suffix's own marks that suffix. Marked neighbours join to maximal repeats.
 
 What moves: packed arrays of (window hash, position) per task and group, then packed positions per
 bucket of documents, then the texts once, packed per bucket. A task first settles repeats among its own documents and
@@ -302,7 +302,7 @@ def remove_repeats(
     kept_text (kept words joined by a blank). Windows are judged on the input. Keys are integers. A null
     text has no words; a row with a null key takes no part and loses nothing. Rows with the same key
     are the same document: they do not remove from each other, and each loses what smaller
-    documents hold. An empty table gives an empty one.
+    documents hold. Texts are whole, however long; other columns are ignored. An empty table gives an empty one.
     """
     source = docs.select(
         named(key).cast("bigint").alias("__key"),

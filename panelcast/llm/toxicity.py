@@ -433,7 +433,8 @@ def score_toxicity(
 ) -> DataFrame:
     """Scores all overlapping windows of every whole text: ``key``, ``keep``, score, predicted.
 
-    A null or empty text is one window without words; its score is that of the network's level.
+    A null or empty text is one window without words; its score is that of the network's level. Texts are whole,
+    however long; a null key is kept.
     Repeated rows give repeated results, an empty table an empty one. Columns of ``keep`` named like
     a new column are dropped.
     """
