@@ -21,7 +21,10 @@ MASK = "[SECRET]"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules and the model keep."""
+    """Documents that the quality rules and the model keep.
+
+    Null and empty texts fail. Repeated rows are judged alike; a null id is kept. An empty table gives an empty one.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_rules.fit_quality(docs, labels)
     judged = quality_rules.quality_rules(docs, model, keep=COLUMNS)
@@ -52,7 +55,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, every secret replaced by a mark."""
+    """All documents, every secret replaced by a mark.
+
+    A null text stays null. Repeated rows and null ids are kept; an empty table gives an empty one.
+    """
     model = secrets.infer_formats(docs)
     scanned = secrets.scan_secrets(docs, model, keep=["lang", "source"], redact=MASK)
     return scanned.select(
@@ -65,12 +71,19 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; a last part holds the first words only."""
+    """Documents as often as the mix takes them; a last part holds the words of its selected blocks only.
+
+    Texts without words go. Repeated rows are rows of their own, null ids and sources are kept; an empty table
+    gives an empty one.
+    """
     return mixture.apply_mix(docs, COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens and digests of ids and decoded text, per row."""
+    """Number of tokens and digests of ids and decoded text, per row.
+
+    Null texts count as empty. Rows stay as many as they are; an empty table gives an empty one.
+    """
     return pieces.encode_pieces(docs, piece_model(), digests=True)
 
 
@@ -87,7 +100,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; every stage's rows are written as Parquet and reread."""
+    """All stages over ``documents``; every stage's rows are written as Parquet and reread.
+
+    Whole texts pass, however long. The stages say what nulls, repeated rows and empty tables give.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
