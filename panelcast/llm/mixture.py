@@ -159,7 +159,9 @@ def mix_sources(
         place = F.concat_ws(":", F.lit(str(seed)), F.coalesce(source, F.lit("")), shard.cast("string"), block.cast("string"))
         return F.conv(F.substring(F.md5(place), 1, 12), 16, 10).cast("bigint")
 
-    every = quotas.filter("some > 0").select(
+    # a shard's blocks arise where they are ranked
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = quotas.filter("some > 0").repartition(tasks, "source", "shard").select(
         "source", "shard", "some", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("block")
     )
     every = every.withColumn("chance", chance(F.col("source"), F.col("shard"), F.col("block")))
