@@ -23,7 +23,7 @@ from panelcast.operators.stats import fill_own_mean
 MAX_DEPTH = 30  # fixed value: the deepest tree the library grows
 KEY = ("series_id", "ds")
 PART_ROWS = 200_000
-LEAST_PARTS = 8
+LEAST_PARTS = 4
 
 
 def prepare(
