@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.expressions import named
 from panelcast.operators.lineage import cut
-from panelcast.operators.metrics import metrics
+from panelcast.operators.metrics import metrics, union_trials
 from panelcast.operators.ordered import random_split, time_folds
 from panelcast.operators.shape import ranked_names, top_k
 from panelcast.operators.stats import fill_own_mean
@@ -194,37 +194,61 @@ def search_report(
     )
 
 
-def rank_refit_score(
+def rank_refit_scores(
     df: DataFrame,
     features: Sequence[str],
-    estimator: Estimator,
+    estimators: Mapping[str, Estimator],
     k: int,
     key: Sequence[str],
-    label: str,
     frac: float = 0.2,
     seed: int = 21,
     target: str = "y",
+    parallelism: int = 8,
 ) -> DataFrame:
-    """Rank features on the training rows, refit on the k best, score the held-out rows.
+    """Rank features on the training rows, refit on the k best, score both parts: each labelled model on one split.
 
-    The holdout is drawn before the ranking, so it has no part in choosing the features. Two fits
-    and the scoring read the split table, so it is written once to the checkpoint folder.
+    The holdout is drawn before the ranking, so it has no part in choosing the features. The draw
+    reads the rows twice, so they are written before it, and the fits read the split table, so that is written
+    too: the rows are computed once, however many the models. All models rank on the same laid-out table, side by side.
     """
-    split = cut(random_split(df, key, frac, seed))
+    split = cut(random_split(cut(df), key, frac, seed))
     train = split.filter("split = 'train'")
-    goal = estimator.getOrDefault("labelCol")
     assembled, names = prepare(train, features)
-    ranking = importance_frame(df, estimator.fit(laid_out(assembled, key, goal)), names, label)
-    best = ranked_names(ranking, k)
-    both = fill_own_mean(split, best, fit_on=train)
-    both = laid_out(VectorAssembler(inputCols=best, outputCol="features").transform(both), key, goal)
-    model = estimator.fit(both.filter("split = 'train'"))
-    scored = model.transform(both).withColumnRenamed("prediction", "yhat")
-    return metrics(scored, target, "yhat", ["split"]).select(
-        F.lit(label).alias("model"),
-        "split",
-        "n",
-        "r2",
-        "mae",
-        F.array(*[F.lit(b) for b in best]).alias("features_used"),
-    )
+    goals = {estimator.getOrDefault("labelCol") for estimator in estimators.values()}
+    tables = {goal: laid_out(assembled, key, goal) for goal in goals}
+
+    def scores(label: str) -> DataFrame:
+        estimator = estimators[label]
+        goal = estimator.getOrDefault("labelCol")
+        ranking = importance_frame(df, estimator.fit(tables[goal]), names, label)
+        best = ranked_names(ranking, k)
+        both = fill_own_mean(split, best, fit_on=train)
+        both = laid_out(VectorAssembler(inputCols=best, outputCol="features").transform(both), key, goal)
+        model = estimator.fit(both.filter("split = 'train'"))
+        scored = model.transform(both).withColumnRenamed("prediction", "yhat")
+        return metrics(scored, target, "yhat", ["split"]).select(
+            F.lit(label).alias("model"),
+            "split",
+            "n",
+            "r2",
+            "mae",
+            F.array(*[F.lit(b) for b in best]).alias("features_used"),
+        )
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return union_trials(list(pool.map(scores, estimators)))
+
+
+def rank_refit_score(
+    df: DataFrame,
+    features: Sequence[str],
+    estimator: Estimator,
+    k: int,
+    key: Sequence[str],
+    label: str,
+    frac: float = 0.2,
+    seed: int = 21,
+    target: str = "y",
+) -> DataFrame:
+    """The scores of one model."""
+    return rank_refit_scores(df, features, {label: estimator}, k, key, frac, seed, target)

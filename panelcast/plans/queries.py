@@ -938,15 +938,7 @@ def random_search_forest_trials(spark: SparkSession, sf: str) -> DataFrame:
 def refit_topk_score(spark: SparkSession, sf: str) -> DataFrame:
     """All three models: ranked on the training rows, refitted on the two best features, scored on both parts."""
     panel = market.model_panel(spark, sf, fine=True)
-    return rounded(
-        metrics.union_trials(
-            [
-                trees.rank_refit_score(panel, MODEL_FEATURES, estimator, 2, ["series_id", "ds"], label)
-                for label, estimator in _ensembles().items()
-            ]
-        ),
-        6,
-    )
+    return rounded(trees.rank_refit_scores(panel, MODEL_FEATURES, _ensembles(), 2, ["series_id", "ds"]), 6)
 
 
 @query

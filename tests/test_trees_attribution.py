@@ -212,3 +212,43 @@ def test_report_holds_search_training_and_holdout(table):
         assert set(r["params"]) == {"maxDepth", "stepSize"} and r["features_used"][0] == "x_a"
         assert r["cv_r2"] == report[0]["cv_r2"] and np.isfinite(r["cv_r2"])
     assert by_split["train"]["r2"] > 0.5
+
+
+def _counted(df):
+    """The rows, and how many of them were computed so far, repeats included."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(count, df.schema), seen
+
+
+def test_ranking_and_refit_compute_their_rows_once(table):
+    rows, seen = _counted(table)
+    one_tree = trees.forest(numTrees=1, maxDepth=2)
+    trees.rank_refit_score(rows, FEATURES, one_tree, 1, ["series_id", "ds"], "forest").collect()
+    assert seen.value == 120
+
+
+def test_refit_query_builds_its_panel_once_for_all_models(spark, sf, monkeypatch):
+    from panelcast.plans import market, queries
+
+    panel = market.model_panel(spark, sf, fine=True)
+    rows, seen = _counted(panel)
+    small = {
+        "gbt": trees.gbt(maxIter=3, maxDepth=2),
+        "gbt_alt": trees.gbt(seed=24, maxIter=2, maxDepth=2, subsamplingRate=0.8),
+        "forest": trees.forest(numTrees=3, maxDepth=2),
+    }
+    monkeypatch.setattr(market, "model_panel", lambda *_, **__: rows)
+    monkeypatch.setattr(queries, "_ensembles", lambda: small)
+    together = rows_of(queries.refit_topk_score(spark, sf), "model", "split")
+    assert seen.value == panel.count() > 0
+    apart = []
+    for label, estimator in small.items():
+        scores = trees.rank_refit_score(panel, queries.MODEL_FEATURES, estimator, 2, ["series_id", "ds"], label)
+        apart += rows_of(queries.rounded(scores, 6), "model", "split")
+    assert together == sorted(apart)
